@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftnet.operators import sessions, shred, timestamps
+from siftnet.operators import detect, sessions, shred, timestamps
 
-MODULES = [sessions, shred, timestamps]
+MODULES = [sessions, shred, timestamps, detect]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
