@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftnet.operators import detect, devices, query, rules, series, sessions, shred, timestamps
+from siftnet.operators import community, detect, devices, query, rules, series, sessions, shred, timestamps
 
-MODULES = [sessions, shred, timestamps, detect, query, rules, series, devices]
+MODULES = [sessions, shred, timestamps, detect, query, rules, series, devices, community]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
