@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
 from siftnet.operators import community, detect, devices, query, rules, series, sessions, shred, timestamps
+from siftnet.plans.base import Query
+from siftnet.sources import feeds, ingest, logs
 
-MODULES = [sessions, shred, timestamps, detect, query, rules, series, devices, community]
+MODULES = [sessions, shred, timestamps, detect, query, rules, series, devices, community, ingest, logs, feeds]
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def queries() -> dict[str, Query]:
     return {k: f for m in MODULES for k, f in m.QUERIES.items()}
 
 
