@@ -5,8 +5,9 @@ from __future__ import annotations
 from siftnet.operators import community, detect, devices, query, rules, series, sessions, shred, timestamps
 from siftnet.plans.base import Query
 from siftnet.sources import feeds, ingest, logs
+from siftnet.streaming import queries as streams
 
-MODULES = [sessions, shred, timestamps, detect, query, rules, series, devices, community, ingest, logs, feeds]
+MODULES = [sessions, shred, timestamps, detect, query, rules, series, devices, community, ingest, logs, feeds, streams]
 
 
 def queries() -> dict[str, Query]:
