@@ -77,7 +77,7 @@ def runs_of_chunks(chunk: np.ndarray, slot: np.ndarray, lo: np.ndarray, hi: np.n
     bits = np.zeros((int(chunk[-1]) + 1, WORDS + pad), dtype=np.uint64)
     np.bitwise_or.at(bits, (chunk, slot // 64), np.uint64(1) << (slot % 64).astype(np.uint64))
     closed = close_bitmap(bits, reach)
-    starts = closed & ~shift_up(closed, 1)
+    starts = closed & ~shift_up(closed, 1) if reach else bits
     rank = np.cumsum(np.unpackbits(np.ascontiguousarray(starts[:, :WORDS]).view(np.uint8), axis=1, bitorder="little"), axis=1, dtype=np.int32)
     run = rank[chunk, slot]
     first = np.flatnonzero(np.r_[True, (chunk[1:] != chunk[:-1]) | (run[1:] != run[:-1])])
@@ -118,8 +118,8 @@ def sessionize(events: DataFrame, key: Column, ts: str = "ts", event_id: str | N
     """
     if gap_us < 0 or resolution_us <= 0:
         raise ValueError("gap_us must not be negative, resolution_us must be positive")
-    res = max(1, min(resolution_us, gap_us))
-    reach = max(1, gap_us // res - 1)
+    res = max(1, min(resolution_us, gap_us // 2))
+    reach = gap_us if res == 1 else gap_us // res - 1  # at the resolution of the times themselves slots are exact
     chunk_us = CHUNK_SLOTS * res
     t = micros(events, ts)
     rows = events.select(pack_hex(key).alias("k"), t.alias("t"), (pack_hex(F.col(f"`{event_id}`").cast("string")) if event_id else F.lit(None).cast("binary")).alias("id")).where("k is not null and t is not null")

@@ -1,25 +1,25 @@
 """Detections over streams, with state for each key.
 
-State needs the RocksDB provider (``STATE_CONF``). Rows of a micro-batch are
-ordered by time and id within a key; across batches the order is that of
-arrival, as in the batch forms only if the input is in order.
+Rows of a micro-batch are ordered by time and id within a key; across batches
+the order is that of arrival, as in the batch forms only if the input is in
+order. State that rests for its time to live is dropped.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from siftnet.functions.net import is_private
 
-STATE_CONF = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 WINDOW, LEAST, CV = 32, 6, 0.15
+Step = Callable[[tuple, pd.DataFrame, tuple | None], tuple[list[tuple], tuple]]
 
 
 def score_cv(cv: float) -> float:
@@ -30,136 +30,99 @@ def score_cv(cv: float) -> float:
     return 0.1 + 0.4 * (0.30 - cv) / (0.30 - CV) if cv < 0.30 else 0.0
 
 
-def _frames(rows: Iterator[pd.DataFrame]) -> pd.DataFrame | None:
-    parts = list(rows)
-    return pd.concat(parts).sort_values(["t_us", "event_id"]) if parts else None
-
-
-class BeaconProcessor(StatefulProcessor):
-    """The last 32 times of a source and name; every event gets the score as of it."""
-
-    def __init__(self, ttl_ms: int = 7_200_000) -> None:
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.times = handle.getValueState("times", "xs array<bigint>", ttlDurationMs=self.ttl_ms)
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        df = _frames(rows)
-        if df is None:
-            return
-        xs = list(self.times.get()[0]) if self.times.exists() else []
+def beacon_step(key: tuple, df: pd.DataFrame, state: tuple | None) -> tuple[list[tuple], tuple]:
+    """State: the last 32 times of a source and name. Every event gets the score as of it."""
+    xs = list(state[0]) if state else []
+    out = []
+    for t, i in zip(df["t_us"], df["event_id"]):
+        xs = [*xs, int(t)][-WINDOW:]
+        cv = None
+        if len(xs) >= LEAST:
+            gap = np.diff(np.array(xs)) / 1e6
+            mean = gap.mean()
+            if mean >= 1.0:
+                cv = round(float(gap.std() / mean), 9)
+        out.append((i, len(xs), cv, 0.0 if cv is None else score_cv(cv)))
+    return out, (xs,)
+
+
+def rebinding_step(key: tuple, df: pd.DataFrame, state: tuple | None) -> tuple[list[tuple], tuple]:
+    """State: a name's last public answer, and whether it had a private one. The first private answer after a public one is reported once."""
+    public, private = state or ("", False)
+    out = []
+    for i, ip, p in zip(df["event_id"], df["ip"], df["private"]):
+        if not p:
+            public = ip
+        else:
+            if public and not private:
+                out.append((key[0], i, ip, public))
+            private = True
+    return out, (public, bool(private))
+
+
+def cooldown_step(cooldown_us: int) -> Step:
+    """State: the last time that passed. A row passes if that is at least ``cooldown_us`` before it."""
+
+    def step(key: tuple, df: pd.DataFrame, state: tuple | None) -> tuple[list[tuple], tuple]:
+        last = state[0] if state else None
         out = []
         for t, i in zip(df["t_us"], df["event_id"]):
-            xs = [*xs, int(t)][-WINDOW:]
-            cv = None
-            if len(xs) >= LEAST:
-                gap = np.diff(np.array(xs)) / 1e6
-                mean = gap.mean()
-                if mean >= 1.0:
-                    cv = round(float(gap.std() / mean), 9)
-            out.append((i, len(xs), cv, 0.0 if cv is None else score_cv(cv)))
-        self.times.update((xs,))
-        yield pd.DataFrame(out, columns=["event_id", "samples", "cv", "score"])
-
-    def close(self) -> None:
-        pass
-
-
-class RebindingProcessor(StatefulProcessor):
-    """A name's last public answer and whether it had a private one; the first private answer after a public one is reported once."""
-
-    def __init__(self, ttl_ms: int = 86_400_000) -> None:
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("seen", "public_ip string, private boolean", ttlDurationMs=self.ttl_ms)
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        df = _frames(rows)
-        if df is None:
-            return
-        public, private = self.state.get() if self.state.exists() else (None, False)
-        out = []
-        for i, ip, p in zip(df["event_id"], df["ip"], df["private"]):
-            if not p:
-                public = ip
-            else:
-                if public and not private:
-                    out.append((key[0], i, ip, public))
-                private = True
-        self.state.update((public, bool(private)))
-        yield pd.DataFrame(out, columns=["domain", "event_id", "private_ip", "public_ip"])
-
-    def close(self) -> None:
-        pass
-
-
-class CooldownProcessor(StatefulProcessor):
-    """Lets a key's row pass only if the last that passed is at least ``cooldown_us`` before it."""
-
-    def __init__(self, cooldown_us: int = 3_600_000_000) -> None:
-        self.cooldown_us = cooldown_us
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "t bigint")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        df = _frames(rows)
-        if df is None:
-            return
-        last = self.last.get()[0] if self.last.exists() else None
-        out = []
-        for t, i in zip(df["t_us"], df["event_id"]):
-            if last is None or t - last >= self.cooldown_us:
+            if last is None or t - last >= cooldown_us:
                 last = int(t)
                 out.append((key[0], i, last))
-        if last is not None:
-            self.last.update((last,))
-        yield pd.DataFrame(out, columns=["k", "event_id", "t_us"])
+        return out, (last,)
+
+    return step
+
 
-    def close(self) -> None:
-        pass
+def every_step(every: int) -> Step:
+    """State: how many events a key had. Every ``every``-th is reported."""
 
+    def step(key: tuple, df: pd.DataFrame, state: tuple | None) -> tuple[list[tuple], tuple]:
+        n = state[0] if state else 0
+        out = [(key[0], i, n + k) for k, i in enumerate(df["event_id"], 1) if (n + k) % every == 0]
+        return out, (n + len(df),)
 
-class FlowCounter(StatefulProcessor):
-    """Reports every ``every``-th event of a key."""
+    return step
 
-    def __init__(self, every: int = 10) -> None:
-        self.every = every
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.n = handle.getValueState("n", "n bigint")
+def _stateful(ev: DataFrame, keys: list[str], step: Step, out: str, state: str, ttl_ms: int | None) -> DataFrame:
+    names = [c.split()[0] for c in out.split(", ")]
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        df = _frames(rows)
-        if df is None:
+    def work(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
             return
-        n = self.n.get()[0] if self.n.exists() else 0
-        at = np.arange(n + 1, n + len(df) + 1)
-        self.n.update((int(n + len(df)),))
-        hit = at % self.every == 0
-        yield pd.DataFrame({"k": key[0], "event_id": df["event_id"].to_numpy()[hit], "n": at[hit]})
+        df = pd.concat(list(frames)).sort_values(["t_us", "event_id"])
+        rows, new = step(key, df, held.get if held.exists else None)
+        held.update(new)
+        if ttl_ms:
+            held.setTimeoutDuration(ttl_ms)
+        yield pd.DataFrame(rows, columns=names)
 
-    def close(self) -> None:
-        pass
+    wait: Any = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
+    return ev.groupBy(*keys).applyInPandasWithState(work, out, state, "append", wait)
 
 
-def stream_beacons(ev: DataFrame, ttl_ms: int = 7_200_000) -> DataFrame:
+def stream_beacons(ev: DataFrame, ttl_ms: int | None = 7_200_000) -> DataFrame:
     """``event_id``, ``samples``, ``cv``, ``score`` of a stream with ``source_hash``, ``domain``, ``t_us``, ``event_id``."""
-    return ev.where("source_hash is not null and domain is not null").select("source_hash", "domain", "t_us", "event_id").groupBy("source_hash", "domain").transformWithStateInPandas(BeaconProcessor(ttl_ms), "event_id string, samples bigint, cv double, score double", "append", "processingTime")
+    e = ev.where("source_hash is not null and domain is not null").select("source_hash", "domain", "t_us", "event_id")
+    return _stateful(e, ["source_hash", "domain"], beacon_step, "event_id string, samples bigint, cv double, score double", "xs array<bigint>", ttl_ms)
 
 
-def stream_rebindings(ev: DataFrame, ttl_ms: int = 86_400_000) -> DataFrame:
+def stream_rebindings(ev: DataFrame, ttl_ms: int | None = 86_400_000) -> DataFrame:
+    """``domain``, ``event_id``, ``private_ip``, ``public_ip`` of the answers that went from public to private."""
     e = ev.where("domain is not null and resolved_ip is not null").select("domain", "t_us", "event_id", F.col("resolved_ip").alias("ip"), is_private("resolved_ip").alias("private"))
-    return e.groupBy("domain").transformWithStateInPandas(RebindingProcessor(ttl_ms), "domain string, event_id string, private_ip string, public_ip string", "append", "processingTime")
+    return _stateful(e, ["domain"], rebinding_step, "domain string, event_id string, private_ip string, public_ip string", "public_ip string, private boolean", ttl_ms)
 
 
 def stream_cooldown(ev: DataFrame, key: str, cooldown_us: int = 3_600_000_000) -> DataFrame:
+    """At most one row of a key within a time: ``k``, ``event_id``, ``t_us``."""
     e = ev.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), "t_us", "event_id")
-    return e.groupBy("k").transformWithStateInPandas(CooldownProcessor(cooldown_us), "k string, event_id string, t_us bigint", "append", "none")
+    return _stateful(e, ["k"], cooldown_step(cooldown_us), "k string, event_id string, t_us bigint", "t bigint", None)
 
 
 def stream_every(ev: DataFrame, key: str, every: int = 10) -> DataFrame:
+    """Every tenth row of a key: ``k``, ``event_id``, ``n``."""
     e = ev.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), "t_us", "event_id")
-    return e.groupBy("k").transformWithStateInPandas(FlowCounter(every), "k string, event_id string, n bigint", "append", "none")
+    return _stateful(e, ["k"], every_step(every), "k string, event_id string, n bigint", "n bigint", None)

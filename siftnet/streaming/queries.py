@@ -1,13 +1,12 @@
 """Streaming forms of queries, run over the whole table as one available input.
 
-The detectors with state for each key (``detectors``) aren't among them: a batch
-form of each is, and the tests compare the two on small input.
+The detectors with state for each key (``detectors``) are compared with their
+batch forms in the tests.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +14,6 @@ from pyspark.sql import functions as F
 from siftnet.operators.rules import R as rule_queries
 from siftnet.plans.base import EV, Registry
 from siftnet.session import shared_dir
-from siftnet.streaming import detectors as S
 from siftnet.streaming.tables import ingest_stream, window_reports
 from siftnet.tables import domain_key, load, segment_key
 
@@ -33,22 +31,10 @@ def event_stream(spark: SparkSession, sf_dir: str, late: str = "60 days") -> Dat
 def run_available(spark: SparkSession, stream: DataFrame) -> DataFrame:
     """Everything a stream gives for the input there is, through files in the shared folder."""
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    with_state(spark, lambda: stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination())
+    stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-def with_state(spark: SparkSession, run: Callable[[], None]) -> None:
-    """Run with the state store that the detectors need, and put the settings back."""
-    before = {k: spark.conf.get(k, None) for k in S.STATE_CONF}
-    try:
-        for k, v in S.STATE_CONF.items():
-            spark.conf.set(k, v)
-        run()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 @R.query(f"with {EV}, m as (select max(t_us) // 1000 * 1000 as now from ev) select t_us - t_us % 900000000 as b_us, domain, count(*) as n, max(anomaly_score) as top from ev, m where domain is not null and t_us - t_us % 900000000 + 900000000 <= now - 600000000 group by 1, 2")
 def stream_reports(spark, sf_dir: str) -> DataFrame:
     """Reports of windows that are final; those that still wait for late events aren't in it."""
@@ -61,7 +47,7 @@ def stream_ingest(spark, sf_dir: str) -> DataFrame:
     base = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
     for k in range(2):
         ev = event_stream(spark, sf_dir).select("event_id", "t_us", "domain", "query_type", "source_ip", "anomaly_score")
-        with_state(spark, lambda ev=ev, k=k: ingest_stream(ev, f"{base}/table", f"{base}/state{k}").trigger(availableNow=True).start().awaitTermination())
+        ingest_stream(ev, f"{base}/table", f"{base}/state{k}").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{base}/table").agg(F.count("*").alias("n"))
 
 
