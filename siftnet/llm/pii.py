@@ -21,7 +21,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
 
 import numpy as np
@@ -251,73 +251,90 @@ def _bits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _PERSONS = "doc_id bigint, start_pos bigint, end_pos bigint, given string, family string"
 
 
-def persons(text: str, cover: np.ndarray, given: object, family: object) -> list[tuple[int, int, str | None, str]]:
-    """Spans of names: given and family name in either order, or initial and family name; leftmost first, none within ``cover``."""
-    tokens = [(m.start(), m.end()) for m in _NAME_TOKEN.finditer(text)]
-    out, i, n = [], 0, len(tokens)
+GIVEN, FAMILY, PARTICLE, LETTER = 1, 2, 4, 8
+
+
+class Lexicon:
+    """What each written word may be in a name, looked up once per word: flags, its text in lower case, and how many characters of a possessive ending it has."""
 
-    def word(k: int) -> tuple[str, int]:
-        w = text[tokens[k][0] : tokens[k][1]]
-        bare = _end_of_name(w)
-        return bare.lower(), tokens[k][1] - (len(w) - len(bare))
+    def __init__(self, given: Callable[[str], bool], family: Callable[[str], bool]) -> None:
+        self.given, self.family, self.seen = given, family, {}
+
+    def __call__(self, written: str) -> tuple[int, str, int]:
+        known = self.seen.get(written)
+        if known is None:
+            bare = _end_of_name(written)
+            low = bare.lower()
+            flags = (GIVEN if self.given(low) else 0) | (FAMILY if self.family(low) else 0) | (PARTICLE if low in PARTICLES else 0) | (LETTER if len(written) == 1 and written.isupper() else 0)
+            known = (flags, low, len(written) - len(bare))
+            if len(self.seen) > 500_000:  # what is kept is bounded
+                self.seen.clear()
+            self.seen[written] = known
+        return known
+
+
+def persons(text: str, cover: np.ndarray, lexicon: Lexicon) -> list[tuple[int, int, str | None, str]]:
+    """Spans of names: given and family name in either order, or initial and family name; leftmost first, none within ``cover``."""
+    tokens = [(m.start(), m.end(), *lexicon(m[0])) for m in _NAME_TOKEN.finditer(text)]
+    out: list[tuple[int, int, str | None, str]] = []
+    n, after = len(tokens), 0
 
     def family_at(k: int) -> tuple[str, int, int] | None:
         """A family name that begins at token ``k``: its text, its end and the token after it."""
-        parts = []
+        parts: list[str] = []
         for j in range(k, min(n, k + 3)):
-            if j > k and text[tokens[j - 1][1] : tokens[j][0]] not in (" ", " "):
+            _, e, flags, w, cut = tokens[j]
+            if j > k and text[tokens[j - 1][1] : tokens[j][0]] not in (" ", "\u00a0"):
                 return None
-            w, e = word(j)
             parts.append(w)
-            if w not in PARTICLES or j == k + 2:
-                name = " ".join(parts)
-                return (name, e, j + 1) if family(name) else None
+            if not flags & PARTICLE or j == k + 2:
+                known = flags & FAMILY if j == k else lexicon.family(" ".join(parts))
+                return (" ".join(parts), e - cut, j + 1) if known else None
         return None
 
     def free(s: int, e: int) -> bool:
-        before, after = text[s - 1 : s], text[e : e + 2]
-        bad = before and (before.isalnum() or before in "@/\\_+-" or (before in ".'’" and text[s - 2 : s - 1].isalnum() and before != "." ))
-        tail = after[:1].isalnum() or after[:1] in "@_" and after[:1] != "" or (after[:1] in ".-" and after[1:2].isalnum() and after[:1] != "" and after[1:2].islower())
-        return not bad and not tail and not cover[s:e].any()
-
-    while i < n:
-        s, e0 = tokens[i]
-        w, e = word(i)
-        hit = None
+        before, more = text[s - 1 : s] if s else "", text[e : e + 2]
+        if before and (before.isalnum() or before in "@/\\_+-" or (before in "'’" and s > 1 and text[s - 2].isalnum())):
+            return False
+        if more and (more[0].isalnum() or more[0] in "@_" or (more[0] in ".-" and more[1:2].islower())):
+            return False
+        return not cover[s:e].any()
+
+    for i in [k for k, t in enumerate(tokens) if t[2]]:
+        if i < after:
+            continue
+        s, e0, flags, w, cut = tokens[i]
         gap = text[e0 : tokens[i + 1][0]] if i + 1 < n else ""
-        if len(w) == 1 and text[s].isupper() and gap in (". ", ". ", "."):
+        hit = None
+        if flags & LETTER and gap in (". ", ".\u00a0", "."):
             f = family_at(i + 1)
             if f:
                 hit = (s, f[1], None, f[0], f[2])
-        if hit is None and e == e0 and gap in (" ", " ") and given(w):
+        if hit is None and flags & GIVEN and not cut and gap in (" ", "\u00a0"):
             f = family_at(i + 1)
             if f:
                 hit = (s, f[1], w, f[0], f[2])
-        if hit is None:
+        if hit is None and flags & (FAMILY | PARTICLE):
             f = family_at(i)
             if f and f[2] < n:
-                between = text[f[1] : tokens[f[2]][0]]
-                g, ge = word(f[2])
-                if between in (" ", " ", ", ", ", ") and given(g):
-                    hit = (s, ge, g, f[0], f[2] + 1)
+                t = tokens[f[2]]
+                if t[2] & GIVEN and text[f[1] : t[0]] in (" ", "\u00a0", ", ", ",\u00a0"):
+                    hit = (s, t[1] - t[4], t[3], f[0], f[2] + 1)
         if hit and free(hit[0], hit[1]):
             out.append(hit[:4])
-            i = hit[4]
-        else:
-            i += 1
+            after = hit[4]
     return out
 
 
 def _scan_persons(packed: bytes):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = zlib.decompress(packed)
-        given = lru_cache(maxsize=1 << 18)(partial(_has, bitmap, "g"))
-        family = lru_cache(maxsize=1 << 18)(partial(_has, bitmap, "f"))
+        lexicon = Lexicon(partial(_has, bitmap, "g"), lru_cache(maxsize=1 << 18)(partial(_has, bitmap, "f")))
         for b in batches:
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if text:
-                    rows += [(doc, *p) for p in persons(text, fixed_forms(text)[1], given, family)]
+                    rows += [(doc, *p) for p in persons(text, fixed_forms(text)[1], lexicon)]
             cols = list(zip(*rows)) if rows else [[]] * 5
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "start_pos", "end_pos", "given", "family"])
