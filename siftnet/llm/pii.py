@@ -179,39 +179,28 @@ def fixed_forms(text: str) -> tuple[list[tuple[str, int, int, str, str]], np.nda
     return found, cover
 
 
-_CANDIDATES = "doc_id bigint, kind string, start_pos bigint, end_pos bigint, form string, word string, p1 string, p2 string, p3 string"
-_EDGES = "given string, family string, p1 string, p2 string, p3 string, n bigint"
+_SCAN = "doc_id bigint, kind string, start_pos bigint, end_pos bigint, form string, word string, p1 string, p2 string, p3 string, n bigint"
+_SCAN_TYPES = [pa.int64(), pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 5, pa.int64()]
 
 
-def _scan_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = []
-        for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            if text:
-                found = fixed_forms(text)[0]
-                mails = [(s, e) for kind, s, e, _, _ in found if kind == "email"]
-                for kind, s, e, form, word in found:
-                    ctx = (None, None, None) if kind == "email" else context(text, s, e, mails)
-                    rows.append((doc, kind, s, e, form, word, *ctx))
-        cols = list(zip(*rows)) if rows else [[]] * 9
-        types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 5]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "kind", "start_pos", "end_pos", "form", "word", "p1", "p2", "p3"])
-
+def _scan_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates by form with their patterns, and, as kind ``pair``, pairs of capitalised words (``form`` given, ``word`` family) with theirs, summed."""
 
-def _scan_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of capitalised words with their patterns, summed."""
-
-    def out(edges: Counter) -> pa.RecordBatch:
-        cols = list(zip(*edges)) if edges else [[]] * 5
-        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols), pa.array(list(edges.values()), pa.int64())], names=["given", "family", "p1", "p2", "p3", "n"])
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows)) if rows else [[]] * 10
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _SCAN_TYPES)], names=[x.split()[0] for x in _SCAN.split(", ")])
 
     edges: Counter = Counter()
     for b in batches:
-        for text in b.column(0).to_pylist():
+        rows = []
+        for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             if not text:
                 continue
             found, cover = fixed_forms(text)
             mails = [(s, e) for kind, s, e, _, _ in found if kind == "email"]
+            for kind, s, e, form, word in found:
+                ctx = (None, None, None) if kind == "email" else context(text, s, e, mails)
+                rows.append((doc, kind, s, e, form, word, *ctx, 1))
             for m in _PAIR.finditer(text):
                 first, second = _end_of_name(m["a"]), _end_of_name(m["b"])
                 s, e = m.start(), m.end("b") - (len(m["b"]) - len(second))
@@ -219,10 +208,11 @@ def _scan_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 pair = (second, first) if m["sep"][0] == "," else (first, second)
                 edges[(pair[0].lower(), pair[1].lower(), *context(text, s, e, mails))] += 1
+        yield out(rows)
         if len(edges) > 200_000:  # sums may go out at any time
-            yield out(edges)
+            yield out([(None, "pair", None, None, *k, n) for k, n in edges.items()])
             edges = Counter()
-    yield out(edges)
+    yield out([(None, "pair", None, None, *k, n) for k, n in edges.items()])
 
 
 def _bit(role: str, word: str) -> tuple[int, int]:
@@ -406,8 +396,9 @@ def find_personal(docs: DataFrame, names: DataFrame, doc_id: str = "doc_id", tex
     are read whole.
     """
     slim = docs.where(F.col(f"`{text}`").isNotNull() & F.col(f"`{doc_id}`").isNotNull()).select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    cand = materialize(slim.mapInArrow(_scan_forms, _CANDIDATES), "candidates")
-    edges = materialize(slim.select("text").mapInArrow(_scan_pairs, _EDGES).groupBy("given", "family", "p1", "p2", "p3").agg(F.sum("n").alias("n")), "pairs")
+    scan = materialize(slim.mapInArrow(_scan_texts, _SCAN), "scan")
+    cand = scan.where("kind <> 'pair'").drop("n")
+    edges = materialize(scan.where("kind = 'pair'").groupBy(F.col("form").alias("given"), F.col("word").alias("family"), "p1", "p2", "p3").agg(F.sum("n").alias("n")), "pairs")
     seeds = names.where("name_text is not null and name_part in ('given', 'family')").select(F.when(F.col("name_part") == "given", "g").otherwise("f").alias("role"), F.lower(F.trim("name_text")).alias("word"))
     lexicon = learn_names(edges, seeds)
     bitmap = np.zeros(BITS // 8, dtype=np.uint8)
