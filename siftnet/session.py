@@ -38,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
     Only where that is unset (tests, one machine) a temporary folder is made
     and set; it goes when the process ends.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = next((d for d in _OWN_DIRS if os.path.isdir(d)), None)
         if found is None:
