@@ -245,7 +245,7 @@ def frequent_values(df: DataFrame, value: Column, share: float | str, row_id: st
     hashed = values.withColumn("h", F.xxhash64("v"))
     pieces = hashed.select("h").mapInArrow(_sketch(reps, bits), _PIECE).repartition(min(32, (reps << bits) // BLOCK), "piece").mapInArrow(_add_pieces, _PIECE)
     counts = np.zeros(((reps << bits) // BLOCK, BLOCK, POSITIONS, SYMBOLS), dtype=np.int64)
-    for row in pieces.toLocalIterator():  # a fixed number of pieces, whatever the rows
+    for row in pieces.collect():  # a fixed number of pieces, whatever the rows
         counts[row.piece] += np.frombuffer(zlib.decompress(bytes(row.counts)), dtype="<i8").reshape(BLOCK, POSITIONS, SYMBOLS)
     counts = counts.reshape(reps, 1 << bits, POSITIONS, SYMBOLS)
     n_raw = int(counts[0, :, 0].sum())
