@@ -12,17 +12,20 @@ they stand together, in any letter case.
 
 Counting is over every text, and every text is read whole. Only patterns and
 name parts move between tasks, summed where they are found. What the last scan
-gets of the learned names is a bitmap of fixed size; what it finds with it is
-then joined with the names themselves.
+gets of the learned names is a bitmap of fixed size; whatever it finds with it,
+overlapping or not, is joined with the names themselves, and only then are the
+leftmost chosen. A false hit of the bitmap so never takes a true name's place.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache, partial
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -216,8 +219,8 @@ def _scan_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bit(role: str, word: str) -> tuple[int, int]:
-    raw = f"{role}{word}".encode()
-    return zlib.crc32(raw) % BITS, zlib.adler32(raw[::-1] + raw) * 2654435761 % BITS
+    both = int.from_bytes(hashlib.blake2b(f"{role}{word}".encode(), digest_size=8).digest())
+    return (both >> 32) % BITS, (both & 0xFFFFFFFF) % BITS
 
 
 def _has(bitmap: bytes, role: str, word: str) -> bool:
@@ -238,7 +241,9 @@ def _bits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(held[at], pa.int32())], names=["at", "bits"])
 
 
-_PERSONS = "doc_id bigint, start_pos bigint, end_pos bigint, given string, family string"
+_PERSONS = "doc_id bigint, digest binary, start_pos bigint, end_pos bigint, given string, family string, branch int, free boolean"
+_PERSONS_TYPES = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.bool_()]
+_CHOSEN = "doc_id bigint, start_pos bigint, end_pos bigint"
 
 
 GIVEN, FAMILY, PARTICLE, LETTER = 1, 2, 4, 8
@@ -263,11 +268,11 @@ class Lexicon:
         return known
 
 
-def persons(text: str, cover: np.ndarray, lexicon: Lexicon) -> list[tuple[int, int, str | None, str]]:
-    """Spans of names: given and family name in either order, or initial and family name; leftmost first, none within ``cover``."""
+def persons(text: str, cover: np.ndarray, lexicon: Lexicon) -> list[tuple[int, int, str | None, str, int, bool]]:
+    """Spans that may be names: initial and family name, given and family name, family and given name (``branch`` 0, 1, 2), and whether each stands free and outside ``cover``. All of them, also overlapping ones, by start and branch."""
     tokens = [(m.start(), m.end(), *lexicon(m[0])) for m in _NAME_TOKEN.finditer(text)]
-    out: list[tuple[int, int, str | None, str]] = []
-    n, after = len(tokens), 0
+    out: list[tuple[int, int, str | None, str, int, bool]] = []
+    n = len(tokens)
 
     def family_at(k: int) -> tuple[str, int, int] | None:
         """A family name that begins at token ``k``: its text, its end and the token after it."""
@@ -291,31 +296,55 @@ def persons(text: str, cover: np.ndarray, lexicon: Lexicon) -> list[tuple[int, i
         return not cover[s:e].any()
 
     for i in [k for k, t in enumerate(tokens) if t[2]]:
-        if i < after:
-            continue
         s, e0, flags, w, cut = tokens[i]
         gap = text[e0 : tokens[i + 1][0]] if i + 1 < n else ""
-        hit = None
+        hits = []
         if flags & LETTER and gap in (". ", ".\u00a0", "."):
             f = family_at(i + 1)
             if f:
-                hit = (s, f[1], None, f[0], f[2])
-        if hit is None and flags & GIVEN and not cut and gap in (" ", "\u00a0"):
+                hits.append((s, f[1], None, f[0], 0))
+        if flags & GIVEN and not cut and gap in (" ", "\u00a0"):
             f = family_at(i + 1)
             if f:
-                hit = (s, f[1], w, f[0], f[2])
-        if hit is None and flags & (FAMILY | PARTICLE):
+                hits.append((s, f[1], w, f[0], 1))
+        if flags & (FAMILY | PARTICLE):
             f = family_at(i)
             if f and f[2] < n:
                 t = tokens[f[2]]
                 if t[2] & GIVEN and text[f[1] : t[0]] in (" ", "\u00a0", ", ", ",\u00a0"):
-                    hit = (s, t[1] - t[4], t[3], f[0], f[2] + 1)
-        if hit and free(hit[0], hit[1]):
-            out.append(hit[:4])
-            after = hit[4]
+                    hits.append((s, t[1] - t[4], t[3], f[0], 2))
+        out += [(*h, free(h[0], h[1])) for h in hits]
     return out
 
 
+def leftmost(hits: Iterable[tuple]) -> Iterator[tuple]:
+    """Of hits (key, start, end, free), ordered by key, start and branch, those that stand: leftmost first, at each start only the first branch, none that isn't free."""
+    last, start, after = None, -1, 0
+    for key, s, e, free in hits:
+        if key != last:
+            last, start, after = key, -1, 0
+        if s < after or s == start:
+            continue
+        start = s
+        if free:
+            after = e
+            yield key, s, e
+
+
+def _leftmost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``leftmost`` over a whole partition; one row is held between batches."""
+
+    def rows() -> Iterator[tuple]:
+        for b in batches:
+            doc, digest, s, e, free = (c.to_pylist() for c in b.columns)
+            yield from zip(zip(doc, digest), s, e, free)
+
+    chosen = leftmost(rows())
+    while part := list(islice(chosen, 10_000)):
+        cols = zip(*((doc, s, e) for (doc, _), s, e in part))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start_pos", "end_pos"])
+
+
 def _scan_persons(packed: bytes):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = zlib.decompress(packed)
@@ -324,10 +353,12 @@ def _scan_persons(packed: bytes):
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if text:
-                    rows += [(doc, *p) for p in persons(text, fixed_forms(text)[1], lexicon)]
-            cols = list(zip(*rows)) if rows else [[]] * 5
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "start_pos", "end_pos", "given", "family"])
+                    hits = persons(text, fixed_forms(text)[1], lexicon)
+                    # texts of one id, if they differ, are kept apart
+                    digest = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest() if hits else b""
+                    rows += [(doc, digest, *h) for h in hits]
+            cols = list(zip(*rows)) if rows else [[]] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _PERSONS_TYPES)], names=[x.split()[0] for x in _PERSONS.split(", ")])
 
     return work
 
@@ -408,7 +439,9 @@ def find_personal(docs: DataFrame, names: DataFrame, doc_id: str = "doc_id", tex
     family = lexicon.where("role = 'f'").select(F.col("word").alias("family"))
     given = lexicon.where("role = 'g'").select(F.col("word").alias("given"))
     sure = found.join(family, "family", "left_semi")
-    who = sure.where("given is null").unionByName(sure.where("given is not null").join(given, "given", "left_semi")).select("doc_id", F.lit("person").alias("kind"), "start_pos", "end_pos")
+    sure = sure.join(given.withColumn("listed", F.lit(True)), "given", "left").where("given is null or listed")
+    ranked = sure.repartition("doc_id", "digest").sortWithinPartitions("doc_id", "digest", "start_pos", "branch").select("doc_id", "digest", "start_pos", "end_pos", "free")
+    who = ranked.mapInArrow(_leftmost, _CHOSEN).select("doc_id", F.lit("person").alias("kind"), "start_pos", "end_pos")
     # the full stop after an abbreviated street word belongs to it if it is mostly written with one within sentences
     split = F.split("word", r"\|")
     stops = cand.where("word <> ''").select(F.get(split, F.lit(0)).alias("w"), F.get(split, F.lit(1)).alias("how")).groupBy("w").agg(F.count_if(F.col("how") == "1m").alias("dotted"), F.count_if(F.col("how") == "0m").alias("bare")).select("w", (F.col("dotted") >= F.col("bare")).alias("own"))

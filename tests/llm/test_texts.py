@@ -137,3 +137,32 @@ def test_nothing_to_find(spark):
     assert pii.find_personal(docs, spark.createDataFrame([], "name_text string, name_part string")).count() == 0
     one = spark.createDataFrame([(None, "a@b.example"), (1, "Anna Kranz")], "doc_id bigint, text string")
     assert pii.find_personal(one, spark.createDataFrame([], "name_text string, name_part string")).count() == 0
+
+
+def letters(i):
+    return "".join(chr(97 + i // 26**k % 26) for k in range(5))
+
+
+def test_false_hits_take_no_name(spark):
+    """With 20 000 family names the former bitmap also hit these words, and each took the given name beside it."""
+    names = [(letters(i * 401), "family") for i in range(20_000)] + NAMES
+    words = ["Dlaaa", "Gmbaa", "Ykdaa", "Qafaa", "Nymaa"]
+    assert not {w.lower() for w in words} & {n for n, _ in names}
+    got = found(spark, [f"{w} Anna Kranz" for w in words], names)
+    assert {i: [v for _, _, v in r] for i, r in got.items()} == {i: ["Anna Kranz"] for i in range(len(words))}
+
+
+def test_candidates_are_chosen_after_the_join():
+    """Whatever a bitmap adds, the names are those that a scan with the exact lists finds."""
+    rnd = random.Random(5)
+    given, family = {"anna", "kranz", "bela"}, {"kranz", "bela", "dorn", "van dorn"}
+    words = ["Anna", "Kranz", "Bela", "Dorn", "van", "Other", "Word", "B"]
+    for _ in range(500):
+        text = "".join(rnd.choice(words) + rnd.choice([" ", " ", " ", ", ", ". ", "'s ", "@"]) for _ in range(rnd.randrange(1, 12)))
+        cover = pii.fixed_forms(text)[1]
+        spans = []
+        for g, f in ((given.__contains__, family.__contains__), (lambda w: True, lambda w: True)):
+            hits = pii.persons(text, cover, pii.Lexicon(g, f))
+            true = [(0, *h[:2], h[5]) for h in hits if h[3] in family and (h[2] is None or h[2] in given)]
+            spans.append(list(pii.leftmost(true)))
+        assert spans[0] == spans[1]
