@@ -28,12 +28,29 @@ HOURLY = "hr as (select domain, t_us - t_us % 3600000000 as h_us, count(*) as n,
 @R.query(f"""with {EV}, {HOURLY}, w as (select *, avg(n) over (partition by domain order by h_us rows between 24 preceding and 1 preceding) as mean from hr)
  select domain, h_us, n, round(n / greatest(coalesce(mean, 0), 1), 6) as spike from w where nodes >= 2 and n / greatest(coalesce(mean, 0), 1) > 3 order by spike desc, n desc, domain, h_us limit 100""")
 def spike_trailing(spark, sf_dir: str) -> DataFrame:
-    """Hours in which a name is asked for more than three times its mean over the 24 rows before."""
+    """Hours of all time in which a name is asked for more than three times its mean over the 24 rows before, where none counts as 1; the top 100. Those of now are ``spike_emerging``."""
     w = Window.partitionBy("domain").orderBy("h_us").rowsBetween(-24, -1)
     s = hourly(events(spark, sf_dir)).withColumn("spike", F.round(F.col("n") / F.greatest(F.coalesce(F.avg("n").over(w), F.lit(0.0)), F.lit(1.0)), 6))
     return s.where("nodes >= 2 and spike > 3").orderBy(F.desc("spike"), F.desc("n"), "domain", "h_us").limit(100).select("domain", "h_us", "n", "spike")
 
 
+def emerging(hours: DataFrame, now: int) -> DataFrame:
+    """Names of the last two hours with more than three times their mean over the 24 rows before within 48 hours; first seen ones have no mean and are none. The top 100."""
+    w = Window.partitionBy("domain").orderBy("h_us").rowsBetween(-24, -1)
+    s = hours.where(F.col("h_us") >= now - 2 * DAY).withColumn("mean", F.avg("n").over(w)).where((F.col("h_us") >= now - 2 * HOUR) & (F.col("mean") > 0))
+    s = s.withColumn("spike", F.round(F.col("n") / F.greatest("mean", F.lit(1.0)), 6))
+    return s.where("nodes >= 2 and spike > 3").orderBy(F.desc("spike"), F.desc("n"), "domain", "h_us").limit(100).select("domain", "h_us", "n", "spike")
+
+
+@R.query(f"""with {EV}, {HOURLY}, m as (select max(t_us) as now from ev), w as (select hr.*, now, avg(n) over (partition by domain order by h_us rows between 24 preceding and 1 preceding) as mean from hr, m where h_us >= now - 172800000000)
+ select domain, h_us, n, round(n / greatest(mean, 1), 6) as spike from w where h_us >= now - 7200000000 and mean > 0 and nodes >= 2 and n / greatest(mean, 1) > 3 order by spike desc, n desc, domain, h_us limit 100""")
+def spike_emerging(spark, sf_dir: str) -> DataFrame:
+    """The spikes of the last two hours, as surveyed (WIN-03)."""
+    ev = events(spark, sf_dir)
+    now = last_time(ev)
+    return emerging(hourly(ev.where(F.col("t_us") >= now - now % HOUR - 2 * DAY)), now)
+
+
 @R.query(f"""with {EV}, m as (select max(t_us) as now from ev), c as (select domain, count(*) filter (t_us >= now - 21600000000) as recent, count(*) filter (t_us >= now - 604800000000 and t_us < now - 21600000000) / 28.0::double as base from ev, m where domain is not null group by domain)
  select domain, recent, round(base, 6) as base, round(recent / greatest(base, 1), 6) as ratio from c where recent >= 5 and recent / greatest(base, 1) > 2 order by ratio desc, domain limit 500""")
 def spike_6h_7d(spark, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from siftnet.operators.devices import inventory, insert_ignore, register_sensors, retained, upsert_devices, upsert_latest
 from siftnet.operators.query import EventQuery, timeline, validate
+from siftnet.operators import series
 from siftnet.operators.rules import SUPPRESSIONS, _SUP, echo_dedup, group_near, suppressed_by
 from siftnet.sources.feeds import host_of, parse_ja3_feed, write_page
 from siftnet.sources.ingest import parse_ingest, parse_pihole, parse_sensor_batches
@@ -135,3 +136,13 @@ def test_sinks(spark, tmp_path):
     back = spark.read.csv(str(tmp_path / "csv"), header=True, escape='"')
     assert back.where("event_id = '1'").first().domain == 'a"b,c' and back.where("event_id = '1'").first().tags == "x;y"
     assert spark.read.json(str(tmp_path / "json")).count() == 2 and [r.value for r in spark.read.text(str(tmp_path / "hosts")).collect()] == ['0.0.0.0 a"b,c']
+
+
+def test_emerging(spark):
+    """More than 100 old or first-seen spikes take no place of a spike of now."""
+    h, now = series.HOUR, 100 * series.HOUR + 1
+    at = lambda d, k, n, nodes=2: (d, k * h, n, nodes)
+    old = [at(f"o{i}", k, n) for i in range(120) for k, n in ((50, 1), (60, 900))] + [at(f"f{i}", 99, 900) for i in range(120)]
+    rows = [at("now", 97, 1), at("now", 99, 5), at("one", 97, 1), at("one", 99, 5, 1), at("flat", 97, 2), at("flat", 99, 6), at("far", 40, 1), at("far", 99, 9)]
+    got = series.emerging(spark.createDataFrame(old + rows, "domain string, h_us bigint, n bigint, nodes bigint"), now).collect()
+    assert [tuple(r) for r in got] == [("now", 99 * h, 5, 5.0)]
