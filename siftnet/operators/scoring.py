@@ -62,6 +62,48 @@ def tunnel_scores_v2(spark, sf_dir: str) -> DataFrame:
     return t.select("domain", F.round(clamp(0.5 * D.tunnel(F.col("domain"))["score"] + 0.25 * F.least(F.lit(1.0), F.col("names") / 50.0) + 0.25 * F.col("odd") / F.col("n")), 5).alias("score"))
 
 
+# What the names of known tunnel tools look like, the first that matches.
+TOOLS = [("iodine", r"^[a-v0-9]{20,}\.[a-v0-9]*\.", 0.95), ("dnscat2", r"^[0-9a-f]{16,}\.[0-9a-f]*\.", 0.95), ("dns2tcp", r"^[A-Za-z0-9+/]{30,}={0,2}\.", 0.90)]
+WINDOW_MINUTES = 60
+
+
+def signature(domain: Column, of: int) -> Column:
+    """The tool (0) or score (2) of the first signature that a name matches."""
+    c = F.lit(None)
+    for tool in reversed(TOOLS):
+        c = F.when(domain.rlike(tool[1]), tool[of]).otherwise(c)
+    return c
+
+
+def tunnel_six(ev: DataFrame, minutes: int = WINDOW_MINUTES) -> DataFrame:
+    """Scores of distinct names: the greatest of their windows, of six signals (length, entropy and labels of the sub-domain, question types and new names a minute of the parent, encoding) and a boost for NULL and ANY; and the signatures of tools."""
+    q, step = F.upper("query_type"), minutes * 60_000_000
+    k = ev.where("domain is not null").groupBy("domain", (F.col("t_us") - F.pmod("t_us", F.lit(step))).alias("w_us")).agg(F.count("*").alias("n"), F.count_if(q.isin("TXT", "NULL", "ANY")).alias("odd"), F.max(F.when(q.isin("NULL", "ANY"), 0.3).otherwise(0.0)).alias("boost"))
+    k = k.withColumn("parent", F.array_join(F.slice(F.split("domain", r"\."), -2, 2), "."))
+    w = k.groupBy("parent", "w_us").agg(F.count("*").alias("names"), (F.sum("odd") / F.sum("n")).alias("types"))
+    x = k.join(w, ["parent", "w_us"]).groupBy("domain").agg(F.max(0.20 * F.col("types") + 0.20 * clamp(F.col("names") / (minutes * 5.0)) + F.col("boost")).alias("traffic"))
+    p = F.split("domain", r"\.")
+    x = x.withColumn("labels", F.greatest(F.size(p) - 2, F.lit(0))).withColumn("sub", F.array_join(F.slice(p, F.lit(1), F.col("labels")), ".")).withColumn("size", F.octet_length("sub"))
+    # the characters of base64 include those of base32 and hexadecimal, so that its share is the greatest
+    encoding = F.when(F.col("size") < 10, 0.0).otherwise(F.regexp_count("sub", F.lit("[A-Za-z0-9_=-]")) / F.col("size") * clamp(F.col("size") / 50.0))
+    score = 0.20 * clamp(F.col("size") / 100.0) + 0.15 * clamp((D.entropy(F.col("sub")) - 2.5) / 2) + 0.05 * clamp(F.col("labels") / 6.0) + F.col("traffic") + 0.20 * encoding
+    return x.select("domain", F.round(clamp(score), 5).alias("score"), signature(F.col("domain"), 0).alias("tool"), signature(F.col("domain"), 2).alias("tool_score"))
+
+
+def _signature_sql(of: int) -> str:
+    return "case " + " ".join(f"when regexp_matches(domain, '{t[1]}') then {f'{t[of]}::double' if of else repr(t[of])}" for t in TOOLS) + " end"
+
+
+@R.query(f"""with {EV}, k as (select domain, array_to_string(string_split(domain, '.')[-2:], '.') as parent, t_us - t_us % 3600000000 as w_us, count(*) as n, count(*) filter (upper(query_type) in ('TXT', 'NULL', 'ANY')) as odd, max(case when upper(query_type) in ('NULL', 'ANY') then 0.3::double else 0 end) as boost from ev where domain is not null group by 1, 2, 3),
+ w as (select parent, w_us, count(*) as names, sum(odd) / sum(n) as types from k group by parent, w_us), x as (select domain, max(0.20::double * types + 0.20::double * least(1, names / 300.0::double) + boost) as traffic from k join w using (parent, w_us) group by domain),
+ s as (select domain, traffic, greatest(len(string_split(domain, '.')) - 2, 0) as labels, array_to_string(string_split(domain, '.')[1:greatest(len(string_split(domain, '.')) - 2, 0)], '.') as sub from x)
+ select domain, round(least(1, 0.20::double * least(1, strlen(sub) / 100.0::double) + 0.15::double * least(1, greatest(0, ({D.entropy_sql('sub')} - 2.5::double) / 2)) + 0.05::double * least(1, labels / 6.0::double) + traffic
+  + 0.20::double * case when strlen(sub) < 10 then 0 else length(regexp_replace(sub, '[^A-Za-z0-9_=-]', '', 'g')) / strlen(sub) * least(1, strlen(sub) / 50.0::double) end), 5) as score, {_signature_sql(0)} as tool, {_signature_sql(2)} as tool_score from s""")
+def tunnel_composite(spark, sf_dir: str) -> DataFrame:
+    """The six signals in hourly windows, with signatures, as surveyed (SCA-28)."""
+    return tunnel_six(events(spark, sf_dir))
+
+
 _SERV = sql_rows(SERVICES, "port, s_type")
 _OPTS = sql_rows(OPTION_LISTS, "opts, o_type, o_conf")
 _RULES = sql_rows(HOSTNAME_RULES, "ord, pattern, h_type, h_conf")

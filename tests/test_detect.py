@@ -102,3 +102,18 @@ def test_globs(spark, p, value, hit):
 
     df = spark.createDataFrame([(p, value)], "p string, v string").select(F.regexp_like("v", glob_regex(F.col("p"))).alias("h"))
     assert df.first().h is hit
+
+
+def test_six_tunnel_signals(spark):
+    """Names over all time don't add up to a rate; NULL boosts; names of tools are known."""
+    from siftnet.operators.scoring import tunnel_six
+
+    hour = 3_600_000_000
+    tool = "0123456789abcdef0123.ab.t.example"
+    rows = [(f"n{i}.slow.example", i * hour, "A") for i in range(60)] + [(f"n{i}.fast.example", i, "A") for i in range(300)] + [("a.null.example", 0, "null"), (tool, 0, "A"), ("w" * 31 + ".t2.example", 0, "A"), ("0123456789abcdefx.slow2.example", 0, "A")]
+    got = {r.domain: (r.score, r.tool, r.tool_score) for r in tunnel_six(spark.createDataFrame(rows, "domain string, t_us bigint, query_type string")).collect()}
+    assert len(got) == 364
+    near = lambda name, want: abs(got[name][0] - want) < 1e-4
+    label = lambda size: 0.2 * size / 100 + 0.05 / 6
+    assert near("n1.slow.example", label(2) + 0.2 / 300) and near("n1.fast.example", label(2) + 0.2) and near("a.null.example", label(1) + 0.2 + 0.2 / 300 + 0.3)
+    assert got[tool][1:] == ("iodine", 0.95) and got["w" * 31 + ".t2.example"][1:] == ("dns2tcp", 0.9) and got["n1.slow.example"][1:] == (None, None)
