@@ -80,3 +80,34 @@ def test_polling(spark):
         assert spark.sql("select * from polled").select(F.get_json_object("body", "$.v").alias("v")).count() == 2
     finally:
         server.shutdown()
+
+
+def test_polling_reads_bursts(monkeypatch):
+    """Pages that end inside a second, records that come later for the second of the mark, equal records, and replays lose and double nothing."""
+    from siftnet.sources.polling import _Reader
+
+    data = [{"timestamp": t, "v": v} for t, v in [(5, 0), (6, 0), (6, 1), (6, 1), (7, 0), *((8, v) for v in range(9)), (9, 0)]]
+
+    def page(mark, limit):
+        rows = sorted((x["timestamp"], json.dumps(x, sort_keys=True)) for x in data if x["timestamp"] >= mark)[:limit]
+        return rows, len(rows)
+
+    r = _Reader({"url": "x", "start": "5", "limit": "3"})
+    monkeypatch.setattr(r, "_page", page, raising=False)
+    every = lambda: sorted((x["timestamp"], json.dumps(x, sort_keys=True)) for x in data if x["timestamp"] > 5)
+    first = json.loads(json.dumps(r.initialOffset()))
+    rows, mid = r.read(first)
+    rows = list(rows)
+    assert sorted(rows) == every()
+    data += [{"timestamp": 9, "v": 1}, {"timestamp": 9, "v": 0}]
+    more, end = r.read(mid)
+    more = list(more)
+    assert sorted(rows + more) == every() and len(more) == 2
+    assert sorted(r.readBetweenOffsets(first, mid)) == sorted(rows) and sorted(r.readBetweenOffsets(mid, end)) == sorted(more)
+    assert list(r.read(end)[0]) == [] and r.read(end)[1] == end
+    monkeypatch.setattr(r, "_page", lambda mark, limit: page(mark, 3))
+    try:
+        list(r.read(first)[0])
+        raise AssertionError("a second that no response holds")
+    except RuntimeError:
+        pass
