@@ -160,7 +160,7 @@ def domain_reputation(spark, sf_dir: str) -> DataFrame:
 @R.query(f"""with {EV}, {_TRUTH}, b as (select source_hash, t_us - t_us % 3600000000 as h_us, count(*) as n, count(distinct case when p.domain is not null and anomaly_score > 0.1 then p.domain end) as pop from ev left join popular p using (domain) group by 1, 2)
  select source_hash, h_us, n, case when n > 50 then 'rejected' when n > 20 then 'flagged' when pop > 5 then 'popular' else 'accepted' end as verdict, case when n > 50 then 0 when n > 20 then 0.9 when pop > 5 then 0.7 else 1 end::double as factor from b where n > 10""")
 def batch_validation(spark, sf_dir: str) -> DataFrame:
-    """Hourly batches of nodes: too many reports are refused, many lower the node's trust, as do reports on popular names."""
+    """Hourly batches of more than 10 reports: more than 50 are refused, more than 20 lower the node's trust, as do reports on popular names. The surveyed limits are those of ``batch_verdicts``."""
     ev = events(spark, sf_dir)
     _, popular = _truth(ev)
     b = ev.join(popular.withColumn("p", F.lit(1)), "domain", "left").groupBy("source_hash", hour_of().alias("h_us")).agg(F.count("*").alias("n"), F.countDistinct(F.when((F.col("p") == 1) & (F.col("anomaly_score") > 0.1), F.col("domain"))).alias("pop")).where("n > 10")
@@ -168,6 +168,23 @@ def batch_validation(spark, sf_dir: str) -> DataFrame:
     return b.select("source_hash", "h_us", "n", v.alias("verdict"), F.when(F.col("n") > 50, 0.0).when(F.col("n") > 20, 0.9).when(F.col("pop") > 5, 0.7).otherwise(1.0).alias("factor"))
 
 
+def validated(ev: DataFrame, popular: DataFrame, most: int = 500, flags: int = 100, poisoned: int = 5) -> DataFrame:
+    """Every hourly batch of nodes: more than ``most`` events are refused; more than ``flags`` flagged ones (score above 0.5), and more than ``poisoned`` flagged ones of popular names, lower the node's trust, both together if both hold."""
+    bad = F.col("anomaly_score") > 0.5
+    b = ev.join(popular.select("domain", F.lit(True).alias("p")), "domain", "left").groupBy("source_hash", hour_of().alias("h_us")).agg(F.count("*").alias("n"), F.count_if(bad).alias("flagged"), F.count_if(bad & F.col("p")).alias("pop"))
+    over, many, pop = F.col("n") > most, F.col("flagged") > flags, F.col("pop") > poisoned
+    factor = F.when(over, 0.0).otherwise(F.when(many, 0.9).otherwise(1.0) * F.when(pop, 0.7).otherwise(1.0))
+    return b.select("source_hash", "h_us", "n", "flagged", "pop", F.when(over, "rejected").when(many, "flagged").when(pop, "popular").otherwise("accepted").alias("verdict"), F.round(factor, 6).alias("factor"))
+
+
+@R.query(f"""with {EV}, {_TRUTH}, b as (select source_hash, t_us - t_us % 3600000000 as h_us, count(*) as n, count(*) filter (anomaly_score > 0.5) as flagged, count(*) filter (anomaly_score > 0.5 and p.domain is not null) as pop from ev left join popular p using (domain) group by 1, 2)
+ select source_hash, h_us, n, flagged, pop, case when n > 500 then 'rejected' when flagged > 100 then 'flagged' when pop > 5 then 'popular' else 'accepted' end as verdict, round(case when n > 500 then 0 else case when flagged > 100 then 0.9::double else 1 end * case when pop > 5 then 0.7::double else 1 end end, 6) as factor from b""")
+def batch_verdicts(spark, sf_dir: str) -> DataFrame:
+    """Every batch by the limits as surveyed (SCA-33)."""
+    ev = events(spark, sf_dir)
+    return validated(ev, _truth(ev)[1])
+
+
 @R.query(f"with {EV}, {_TRUTH} select count(distinct e.domain) as known_names, count(*) as reports from ev e join truth using (domain)")
 def truth_overlap(spark, sf_dir: str) -> DataFrame:
     ev = events(spark, sf_dir)

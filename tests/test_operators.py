@@ -146,3 +146,13 @@ def test_emerging(spark):
     rows = [at("now", 97, 1), at("now", 99, 5), at("one", 97, 1), at("one", 99, 5, 1), at("flat", 97, 2), at("flat", 99, 6), at("far", 40, 1), at("far", 99, 9)]
     got = series.emerging(spark.createDataFrame(old + rows, "domain string, h_us bigint, n bigint, nodes bigint"), now).collect()
     assert [tuple(r) for r in got] == [("now", 99 * h, 5, 5.0)]
+
+
+def test_batch_limits(spark):
+    """The surveyed limits, on either side, and small batches too."""
+    from siftnet.operators.community import validated
+
+    batches = {"r": [(501, 0.0, "d")], "k": [(500, 0.0, "d")], "f": [(101, 0.6, "d")], "g": [(100, 0.6, "d")], "p": [(6, 0.6, "pop")], "q": [(5, 0.6, "pop"), (3, 0.5, "pop")], "b": [(101, 0.6, "pop")]}
+    e = ev(spark, [{"event_id": f"{s}{i}", "source_hash": s, "anomaly_score": a, "domain": d} for s, parts in batches.items() for n, a, d in parts for i in range(n)])
+    got = {r.source_hash: (r.n, r.verdict, r.factor) for r in validated(e, texts(spark, "domain", ["pop"])).collect()}
+    assert got == {"r": (501, "rejected", 0.0), "k": (500, "accepted", 1.0), "f": (101, "flagged", 0.9), "g": (100, "accepted", 1.0), "p": (6, "popular", 0.7), "q": (8, "accepted", 1.0), "b": (101, "flagged", 0.63)}
