@@ -4,12 +4,13 @@ import random
 from math import inf
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from siftnet.llm import distinct, frequent
 from siftnet.llm.nearest import nearest_in_time
-from siftnet.llm.runs import collapse_runs, segment
+from siftnet.llm.runs import Frontier, _by_groups, collapse_runs, segment
 
 L, R = "fw_id bigint, t bigint, k string, event_id string, b string", "event_id string, t bigint, k string, fw_id string, rid string, lid string, d bigint"
 
@@ -106,6 +107,63 @@ def test_runs(spark):
         assert runs(spark, rows, 10, least, chunk) == brute_runs(rows, 10, least)
     assert runs(spark, [], 10, 1, 50) == []
 
+def tolerant_by_hand(rows, gap, penalty, mismatch):
+    """The whole sequence of each entity divided at once."""
+    by = {}
+    for h, i, t, k in set(rows):
+        by.setdefault(h, []).append((t, i, k))
+    out = []
+    for h, xs in by.items():
+        xs.sort()
+        codes = {k: n for n, k in enumerate(sorted({x[2] for x in xs}))}
+        near = [False] + [b[0] - a[0] <= gap for a, b in zip(xs, xs[1:])]
+        begin = segment([codes[x[2]] for x in xs], near, penalty, mismatch)
+        for a, b in zip(begin, [*begin[1:], len(xs)]):
+            out.append((h, xs[a][1], xs[b - 1][1], b - a, xs[b - 1][0] - xs[a][0]))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("kinds,step", [("aaaaaaaab", [0, 1, 5, 40]), ("ab", [0, 1, 2]), ("aaabbbc", [1, 2, 3, 11])])
+def test_tolerant_runs_whatever_the_chunks(spark, kinds, step):
+    rnd = random.Random(len(kinds))
+    rows = []
+    for h, n in (("hot", 500), ("few", 30), ("one", 1)):
+        t, kind = 0, "a"
+        for i in range(n):
+            t += rnd.choice(step)
+            kind = kind if rnd.random() < 0.4 else rnd.choice(kinds)
+            rows.append((h, f"{h}{i:04d}", t, kind))
+    rows += rnd.sample(rows, 40)
+    for penalty, mismatch in ((1.0, 0.4), (1.0, 1.5), (2.0, 0.3)):
+        want = tolerant_by_hand(rows, 10, penalty, mismatch)
+        for chunk in (3, 60, 10**6):
+            df = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], E_)
+            got = collapse_runs(df, F.col("h"), F.col("kind"), "t", "event_id", 10, penalty, mismatch, chunk_us=chunk, key_name="h")
+            assert sorted((r.h, r.first_event_id, r.last_event_id, r.n_events, r.duration_us) for r in got.collect()) == want
+
+
+def test_long_pieces_are_settled_as_they_come():
+    """A sequence without any sure cut is divided with few rows held, as if at once."""
+    rnd = random.Random(3)
+    us, kinds = np.arange(3000), [rnd.choice("abc") if i % 7 else "a" for i in range(3000)]
+    want = segment([ord(k) for k in kinds], [False] + [True] * 2999, 1.0, 0.6)
+    f, got, most = Frontier(10, 1.0, 0.6), [], 0
+    for lo in range(0, 3000, 50):
+        f.push(us[lo : lo + 50], kinds[lo : lo + 50])
+        got += f.settled()[:-1]
+        most = max(most, f.size - f.base)
+    assert got + f.finish() == want and most < 1500
+
+
+def test_groups_come_in_parts():
+    """A group of more rows than may be held is divided between times only."""
+    rows = [("hot", i // 3, f"{i:04d}") for i in range(100)] + [("b", 1, "x"), ("c", 2, "y")]
+    t = pa.table({"k": [r[0] for r in rows], "t": pa.array([r[1] for r in rows], pa.int64()), "id": [r[2] for r in rows]})
+    parts = list(_by_groups(lambda ts: iter([pa.concat_tables(ts)]), ["k"], 20)(iter(t.to_batches(max_chunksize=7))))
+    assert pa.concat_tables(parts).equals(t) and max(p.num_rows for p in parts) < 40
+    ends = [(p.column("k")[-1].as_py(), p.column("t")[-1].as_py()) for p in parts]
+    assert len(set(ends)) == len(ends)
+
 
 def test_code():
     h = np.array([random.Random(i).getrandbits(64) for i in range(200)], dtype=np.uint64)
