@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftnet.operators.detect import INDICATORS, indicators, rows, sql_rows
-from siftnet.plans.base import EV, HOSTS, Registry, events, hosts, last_time
+from siftnet.plans.base import EV, HOSTS, Registry, events, hosts, now_us
 from siftnet.tables import load
 
 R = Registry()
@@ -54,7 +54,7 @@ def device_inventory(spark, sf_dir: str) -> DataFrame:
 @R.query(f"with {HOSTS}, {INVENTORY}, m as (select max(t_us) as now from hosts) select device, first_us from inv, m where first_us > now - 86400000000")
 def new_devices(spark, sf_dir: str) -> DataFrame:
     h = hosts(spark, sf_dir)
-    return inventory(h).where(F.col("first_us") > last_time(h) - DAY).select("device", "first_us")
+    return inventory(h).where(F.col("first_us") > now_us(spark, sf_dir, "device_reports", "scan_time") - DAY).select("device", "first_us")
 
 
 @R.query(f"""with {EV}, {HOSTS}, d as (select ip, arg_max(coalesce(hostname, ''), (t_us, report_id, pos)) as hostname, arg_max(coalesce(mac, ''), (t_us, report_id, pos)) as mac from hosts where ip is not null group by ip)
@@ -144,7 +144,7 @@ def indicator_upsert(spark, sf_dir: str) -> DataFrame:
 def retention(spark, sf_dir: str) -> DataFrame:
     """Rows that a retention of one day deletes and leaves."""
     ev = events(spark, sf_dir)
-    cut = last_time(ev) - DAY
+    cut = now_us(spark, sf_dir) - DAY
     return ev.agg(F.count_if(F.col("t_us") < cut).alias("deleted"), F.count_if(F.col("t_us") >= cut).alias("left_over"))
 
 
@@ -156,14 +156,14 @@ def retained(df: DataFrame, days: int | None, as_of_us: int) -> DataFrame:
 @R.query(f"with {EV}, {INDICATORS}, m as (select max(t_us) as now from ev) select indicator, source from ind, m where last_us + ttl_hours * 3600000000::bigint >= now")
 def indicator_purge(spark, sf_dir: str) -> DataFrame:
     """Indicators within their time to live."""
-    return indicators(spark, sf_dir).where(F.col("last_us") + F.col("ttl_hours").cast("bigint") * 3_600_000_000 >= last_time(events(spark, sf_dir))).select("indicator", "source")
+    return indicators(spark, sf_dir).where(F.col("last_us") + F.col("ttl_hours").cast("bigint") * 3_600_000_000 >= now_us(spark, sf_dir)).select("indicator", "source")
 
 
 @R.query(f"""with {EV}, {INDICATORS}, m as (select max(t_us) as now from ev), a as (select source, (now - last_us) / 3600000000.0::double as age, ttl_hours, confidence from ind, m)
  select source, count(*) as n, count(*) filter (age <= ttl_hours) as fresh, count(*) filter (age > 2 * ttl_hours) as expired, round(avg(case when age <= ttl_hours then confidence else greatest(0.1::double, 1 - 0.9::double * (age - ttl_hours) / ttl_hours) * confidence end), 6) as mean from a group by source""")
 def feed_freshness(spark, sf_dir: str) -> DataFrame:
     """Freshness of each source, with confidence that decays to a tenth within another time to live."""
-    now = last_time(events(spark, sf_dir))
+    now = now_us(spark, sf_dir)
     a = indicators(spark, sf_dir).withColumn("age", (F.lit(now) - F.col("last_us")) / 3_600_000_000.0)
     conf = F.when(F.col("age") <= F.col("ttl_hours"), F.col("confidence")).otherwise(F.greatest(F.lit(0.1), 1 - 0.9 * (F.col("age") - F.col("ttl_hours")) / F.col("ttl_hours")) * F.col("confidence"))
     return a.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("age") <= F.col("ttl_hours")).alias("fresh"), F.count_if(F.col("age") > 2 * F.col("ttl_hours")).alias("expired"), F.round(F.avg(conf), 6).alias("mean"))
@@ -224,7 +224,7 @@ def sensor_upsert(spark, sf_dir: str) -> DataFrame:
 @R.query(f"with {EV}, v as (select domain, source_hash, event_type, t_us - t_us % 3600000000 as h_us, t_us as version, event_id from ev where domain is not null) select domain, source_hash, event_type, h_us, max(version) as version, arg_max(event_id, (version, event_id)) as event_id from v group by all")
 def version_dedupe(spark, sf_dir: str) -> DataFrame:
     """The latest version of each name, source, type and hour."""
-    ev = events(spark, sf_dir).where("domain is not null")
+    ev = events(spark, sf_dir, named=True)
     h = (F.col("t_us") - F.pmod("t_us", F.lit(3_600_000_000))).alias("h_us")
     return ev.groupBy("domain", "source_hash", "event_type", h).agg(F.max(F.struct("t_us", "event_id")).alias("v")).select("domain", "source_hash", "event_type", "h_us", F.col("v.t_us").alias("version"), F.col("v.event_id").alias("event_id"))
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftnet.plans.base import EV, FW, Registry, events, firewall, last_time
+from siftnet.plans.base import EV, FW, Registry, events, firewall, now_us
 from siftnet.tables import load
 
 R = Registry()
@@ -41,6 +41,10 @@ class EventQuery:
         tags = [F.to_json("tags").ilike(f'%"{t}"%') if self.tag_patterns else F.array_contains("tags", t) for t in self.tags]
         return reduce(lambda a, b: a & b, [*eq, *rng, *tags], F.lit(True))
 
+    def events(self, spark, sf_dir: str) -> DataFrame:
+        """The events that the filter leaves; it is applied before anything is shuffled."""
+        return events(spark, sf_dir, self.predicate(), self.domain is not None, self.from_us, self.to_us)
+
     def rows(self, ev: DataFrame) -> DataFrame:
         key = self.sort if self.sort in SORTS else "ts"
         key = "t_us" if key == "ts" else key
@@ -57,14 +61,15 @@ _SHOWN = ["event_id", "t_us", "event_type", "domain", "anomaly_score"]
 
 @R.query(f"with {EV} select event_id, t_us, event_type, domain, anomaly_score from ev where event_type = 'dns_query' and anomaly_score >= 0.3 order by anomaly_score desc nulls last, event_id limit 50 offset 100")
 def events_filter_page(spark, sf_dir: str) -> DataFrame:
-    return EventQuery(event_type="dns_query", min_score=0.3, sort="anomaly_score", page=3).rows(events(spark, sf_dir)).select(_SHOWN)
+    q = EventQuery(event_type="dns_query", min_score=0.3, sort="anomaly_score", page=3)
+    return q.rows(q.events(spark, sf_dir)).select(_SHOWN)
 
 
 @R.query(f"with {EV}, m as (select max(t_us) as now from ev) select count(*) as total from ev, m where t_us between now - 86400000000 and now and anomaly_score >= 0.1")
 def events_total(spark, sf_dir: str) -> DataFrame:
-    ev = events(spark, sf_dir)
-    now = last_time(ev)
-    return EventQuery(from_us=now - DAY, to_us=now, min_score=0.1).total(ev)
+    now = now_us(spark, sf_dir)
+    q = EventQuery(from_us=now - DAY, to_us=now, min_score=0.1)
+    return q.total(q.events(spark, sf_dir))
 
 
 @R.query(f"with {EV} select event_id, t_us, event_type, domain, anomaly_score from ev order by domain asc nulls first, event_id limit 500")
@@ -74,21 +79,20 @@ def events_sorted_asc(spark, sf_dir: str) -> DataFrame:
 
 @R.query(f"with {EV} select event_id from ev where list_has_all(tags, ['known_bad'])")
 def events_tag_all(spark, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).where(EventQuery(tags=["known_bad"]).predicate()).select("event_id")
+    return EventQuery(tags=["known_bad"]).events(spark, sf_dir).select("event_id")
 
 
 @R.query(f"with {EV} select event_id from ev where to_json(tags)::varchar ilike '%\"DGA_candidate\"%'")
 def events_tag_pattern(spark, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).where(EventQuery(tags=["DGA_candidate"], tag_patterns=True).predicate()).select("event_id")
+    return EventQuery(tags=["DGA_candidate"], tag_patterns=True).events(spark, sf_dir).select("event_id")
 
 
 @R.query(f"""with {EV}, m as (select source_hash as s, domain as d from ev where domain is not null group by all order by count(*) desc, s, d limit 1)
  select event_id, t_us from ev, m where source_hash = s and domain = d""")
 def events_of_source_and_name(spark, sf_dir: str) -> DataFrame:
-    ev = events(spark, sf_dir)
-    top = ev.where("domain is not null").groupBy("source_hash", "domain").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source_hash", "domain").first()
+    top = events(spark, sf_dir, named=True).groupBy("source_hash", "domain").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source_hash", "domain").first()
     q = EventQuery(source_hash=top.source_hash, domain=top.domain) if top else EventQuery(source_hash="")
-    return ev.where(q.predicate()).select("event_id", "t_us")
+    return q.events(spark, sf_dir).select("event_id", "t_us")
 
 
 def validate(raw: DataFrame, now_us: int) -> DataFrame:
@@ -121,7 +125,7 @@ def severity_bands(spark, sf_dir: str) -> DataFrame:
 @R.query(f"with {EV}, m as (select max(t_us) as now from ev) select count(*) as total, count(*) filter (anomaly_score > 0.5) as threats, count(*) filter (t_us >= now - 86400000000) as last_day, count(*) filter (blocked) as blocked from ev, m")
 def stats_totals(spark, sf_dir: str) -> DataFrame:
     ev = events(spark, sf_dir)
-    return ev.agg(F.count("*").alias("total"), F.count_if(F.col("anomaly_score") > 0.5).alias("threats"), F.count_if(F.col("t_us") >= last_time(ev) - DAY).alias("last_day"), F.count_if("blocked").alias("blocked"))
+    return ev.agg(F.count("*").alias("total"), F.count_if(F.col("anomaly_score") > 0.5).alias("threats"), F.count_if(F.col("t_us") >= now_us(spark, sf_dir) - DAY).alias("last_day"), F.count_if("blocked").alias("blocked"))
 
 
 @R.query(f"with {EV} select event_type, count(*) as n from ev group by event_type")
@@ -131,12 +135,12 @@ def count_by_type(spark, sf_dir: str) -> DataFrame:
 
 @R.query(f"with {EV} select domain, count(*) as n from ev where domain is not null group by domain order by n desc, domain limit 10")
 def top_domains(spark, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).where("domain is not null").groupBy("domain").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "domain").limit(10)
+    return events(spark, sf_dir, named=True).groupBy("domain").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "domain").limit(10)
 
 
 @R.query(f"with {EV} select domain, count(*) as n from ev where domain is not null and blocked group by domain order by n desc, domain limit 10")
 def top_blocked(spark, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).where("domain is not null and blocked").groupBy("domain").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "domain").limit(10)
+    return events(spark, sf_dir, "blocked", named=True).groupBy("domain").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "domain").limit(10)
 
 
 def timeline(ev: DataFrame, as_of: int, step_us: int = HOUR, steps: int = 24) -> DataFrame:
@@ -150,16 +154,16 @@ def timeline(ev: DataFrame, as_of: int, step_us: int = HOUR, steps: int = 24) ->
 @R.query(f"""with {EV}, m as (select max(t_us) as now from ev), g as (select now - now % 3600000000 - i * 3600000000 as b_us from m, range(24) t(i)), c as (select t_us - t_us % 3600000000 as b_us, count(*) as n, count(*) filter (anomaly_score > 0.5) as threats, count(*) filter (blocked) as blocked from ev group by 1)
  select strftime(make_timestamp(g.b_us), '%Y-%m-%dT%H:00:00Z') as hour, coalesce(n, 0) as n, coalesce(threats, 0) as threats, coalesce(blocked, 0) as blocked from g left join c using (b_us)""")
 def timeline_24h(spark, sf_dir: str) -> DataFrame:
-    ev = events(spark, sf_dir)
-    t = timeline(ev, last_time(ev))
+    now = now_us(spark, sf_dir)
+    t = timeline(events(spark, sf_dir, from_us=now - DAY), now)
     return t.select(F.date_format(F.timestamp_micros("b_us"), "yyyy-MM-dd'T'HH':00:00Z'").alias("hour"), "n", "threats", "blocked")
 
 
 @R.query(f"with {EV}, m as (select max(t_us) as now from ev), g as (select now - now % 300000000 - i * 300000000 as b_us from m, range(576) t(i)), c as (select t_us - t_us % 300000000 as b_us, count(*) as n from ev group by 1) select g.b_us, coalesce(n, 0) as n from g left join c using (b_us)")
 def series_5min(spark, sf_dir: str) -> DataFrame:
     """Counts of the last 48 hours by five minutes, none missing."""
-    ev = events(spark, sf_dir)
-    return timeline(ev, last_time(ev), 300_000_000, 576).select("b_us", "n")
+    now = now_us(spark, sf_dir)
+    return timeline(events(spark, sf_dir, from_us=now - 2 * DAY), now, 300_000_000, 576).select("b_us", "n")
 
 
 @R.query("""select 'dns_events' as t, count(*) as n from dns_events union all select 'firewall_events', count(*) from firewall_events union all select 'sensors', count(*) from sensors union all select 'device_reports', count(*) from device_reports""")
@@ -178,13 +182,13 @@ def segment_counts(spark, sf_dir: str) -> DataFrame:
 @R.query(f"with {EV} select distinct domain, source_ip from ev where anomaly_score > 0.7 and domain is not null")
 def bulk_pairs(spark, sf_dir: str) -> DataFrame:
     """Distinct pairs of name and source that a bulk rule would be made of."""
-    return events(spark, sf_dir).where("anomaly_score > 0.7 and domain is not null").select("domain", "source_ip").dropDuplicates()
+    return events(spark, sf_dir, "anomaly_score > 0.7", named=True).select("domain", "source_ip").dropDuplicates()
 
 
 @R.query(f"with {EV} select event_type, list_aggregate(list(dns_source order by dns_source), 'string_agg', ',') as sources, sum(n)::bigint as n from (select event_type, dns_source, count(*) as n from ev where dns_source is not null group by all) group by event_type")
 def sources_by_type(spark, sf_dir: str) -> DataFrame:
     """A map per event type as a text."""
-    g = events(spark, sf_dir).where("dns_source is not null").groupBy("event_type", "dns_source").agg(F.count("*").alias("n"))
+    g = events(spark, sf_dir, "dns_source is not null").groupBy("event_type", "dns_source").agg(F.count("*").alias("n"))
     return g.groupBy("event_type").agg(F.array_join(F.array_sort(F.collect_list("dns_source")), ",").alias("sources"), F.sum("n").alias("n"))
 
 
@@ -197,13 +201,13 @@ def time_ago(t_us: Column, as_of: int) -> Column:
 @R.query(f"with {EV}, m as (select max(t_us) as now from ev), a as (select (now - t_us) // 1000000 as s from ev, m) select case when s < 60 then 'just now' when s < 3600 then s // 60 || 'm ago' when s < 86400 then s // 3600 || 'h ago' else s // 86400 || 'd ago' end as ago, count(*) as n from a group by 1")
 def ages(spark, sf_dir: str) -> DataFrame:
     ev = events(spark, sf_dir)
-    return ev.groupBy(time_ago(F.col("t_us"), last_time(ev)).alias("ago")).agg(F.count("*").alias("n"))
+    return ev.groupBy(time_ago(F.col("t_us"), now_us(spark, sf_dir)).alias("ago")).agg(F.count("*").alias("n"))
 
 
 @R.query(f"with {FW}, m as (select max(t_us) as now from fw), w as (select src_ip, t_us - t_us % 60000000 as minute_us, count(*) as n from fw where src_ip is not null group by all) select src_ip, minute_us, n, greatest(n - 5, 0) as refused from w where n > 2")
 def rate_limit(spark, sf_dir: str) -> DataFrame:
     """Requests of an address in each minute, and how many of them exceed five."""
-    w = firewall(spark, sf_dir).where("src_ip is not null").groupBy("src_ip", (F.col("t_us") - F.pmod("t_us", F.lit(60_000_000))).alias("minute_us")).agg(F.count("*").alias("n"))
+    w = firewall(spark, sf_dir, "src_ip is not null").groupBy("src_ip", (F.col("t_us") - F.pmod("t_us", F.lit(60_000_000))).alias("minute_us")).agg(F.count("*").alias("n"))
     return w.where("n > 2").withColumn("refused", F.greatest(F.col("n") - 5, F.lit(0)))
 
 

@@ -47,7 +47,7 @@ _RISK = "case string_split(domain, '.')[-1] " + " ".join(f"when '{k}' then {v}::
  select domain, round(0.30::double * least(1, greatest(0, ({D.entropy_sql('label')} - 2.5::double) / 2)) + 0.30::double * {D.bigram_sql('label')} + 0.25::double * (1 - case when length(label) = 0 then 0 else coalesce(list_sum(list_transform(regexp_extract_all(label, '{_PATTERN}'), lambda w: length(w))), 0) / length(label) end) + 0.15::double * {_RISK}, 5) as score from l""")
 def dga_scores_v2(spark, sf_dir: str) -> DataFrame:
     """Scores of distinct names by entropy, pairs, words and suffix."""
-    d = events(spark, sf_dir).where("domain is not null").select("domain").distinct()
+    d = events(spark, sf_dir, named=True).select("domain").distinct()
     return d.select("domain", F.round(dga_v2(F.col("domain")), 5).alias("score"))
 
 
@@ -56,7 +56,7 @@ def dga_scores_v2(spark, sf_dir: str) -> DataFrame:
  select t.domain, round(least(1, 0.5::double * s + 0.25::double * least(1, names / 50.0::double) + 0.25::double * odd / n), 5) as score from t join p using (parent)""")
 def tunnel_scores_v2(spark, sf_dir: str) -> DataFrame:
     """Scores of distinct names that also weigh how many names their parent has, and its question types."""
-    e = events(spark, sf_dir).where("domain is not null").select("domain", F.array_join(F.slice(F.split("domain", r"\."), -2, 2), ".").alias("parent"), F.upper("query_type").alias("q"))
+    e = events(spark, sf_dir, named=True).select("domain", F.array_join(F.slice(F.split("domain", r"\."), -2, 2), ".").alias("parent"), F.upper("query_type").alias("q"))
     p = e.groupBy("parent").agg(F.countDistinct("domain").alias("names"), F.count("*").alias("n"), F.count_if(F.col("q").isin("TXT", "NULL", "ANY")).alias("odd"))
     t = e.select("domain", "parent").distinct().join(p, "parent")
     return t.select("domain", F.round(clamp(0.5 * D.tunnel(F.col("domain"))["score"] + 0.25 * F.least(F.lit(1.0), F.col("names") / 50.0) + 0.25 * F.col("odd") / F.col("n")), 5).alias("score"))

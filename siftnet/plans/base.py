@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftnet.tables import domain_key, load, segment_key
@@ -29,10 +29,34 @@ class Registry:
         return add
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event once, in canonical spelling; only the columns that a query uses are shuffled."""
-    ev = load(spark, sf_dir, "dns_events").drop("received_at").dropDuplicates(["event_id"])
-    return ev.withColumns({"t_us": F.unix_micros("ts"), "source_hash": F.lower("source_hash"), "domain": domain_key("domain"), "network_segment": segment_key("network_segment")})
+def deliveries(spark: SparkSession, sf_dir: str, where: Column | str | None = None, named: bool = False, from_us: int | None = None, to_us: int | None = None) -> DataFrame:
+    """The events as they were delivered, some more than once, in canonical spelling.
+
+    ``named``: only events with a domain; ``from_us``, ``to_us``: only those times,
+    ends included. Conditions reach the scan where they are about columns as they
+    are stored.
+    """
+    raw = load(spark, sf_dir, "dns_events").drop("received_at")
+    if named:
+        raw = raw.where("domain is not null")
+    if from_us is not None:
+        raw = raw.where(F.col("ts") >= F.timestamp_micros(F.lit(from_us)))
+    if to_us is not None:
+        raw = raw.where(F.col("ts") <= F.timestamp_micros(F.lit(to_us)))
+    ev = raw.withColumns({"t_us": F.unix_micros("ts"), "source_hash": F.lower("source_hash"), "domain": domain_key("domain"), "network_segment": segment_key("network_segment")})
+    if named:
+        ev = ev.where("domain is not null")
+    return ev if where is None else ev.where(where)
+
+
+def events(spark: SparkSession, sf_dir: str, where: Column | str | None = None, named: bool = False, from_us: int | None = None, to_us: int | None = None) -> DataFrame:
+    """Every event of ``deliveries`` once; only the columns that a query uses are shuffled.
+
+    Redelivered rows repeat their content (a precondition: of rows that differed any
+    one would stay), so that conditions hold for all rows of an event or for none
+    and are applied before redelivered rows are dropped.
+    """
+    return deliveries(spark, sf_dir, where, named, from_us, to_us).dropDuplicates(["event_id"])
 
 
 #: The same as a CTE, to be followed by a query or further CTEs.
@@ -41,8 +65,10 @@ EV = r"""ev as (select * exclude (rn, received_at) replace (lower(source_hash) a
   from (select *, row_number() over (partition by event_id order by received_at) as rn from dns_events) where rn = 1)"""
 
 
-def firewall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "firewall_events").drop("polled_at").dropDuplicates(["fw_id"]).withColumn("t_us", F.unix_micros("ts"))
+def firewall(spark: SparkSession, sf_dir: str, where: Column | str | None = None) -> DataFrame:
+    """Every firewall record once; conditions come first, as in ``events``."""
+    fw = load(spark, sf_dir, "firewall_events").drop("polled_at").withColumn("t_us", F.unix_micros("ts"))
+    return (fw if where is None else fw.where(where)).dropDuplicates(["fw_id"])
 
 
 FW = "fw as (select * exclude (rn, polled_at), epoch_us(ts) as t_us from (select *, row_number() over (partition by fw_id order by polled_at) as rn from firewall_events) where rn = 1)"
@@ -66,3 +92,8 @@ hosts as (select report_id, sensor_id, segment, t_us, pos, nullif(trim(hosts[pos
 def last_time(df: DataFrame, column: str = "t_us") -> int:
     """The latest time in a table, which stands for now; one number comes to the driver."""
     return df.agg(F.max(column)).first()[0] or 0
+
+
+def now_us(spark: SparkSession, sf_dir: str, table: str = "dns_events", column: str = "ts") -> int:
+    """The latest time of a stored table, from that column alone: redelivered rows cannot change it."""
+    return last_time(load(spark, sf_dir, table).select(F.unix_micros(column).alias("t_us")))
