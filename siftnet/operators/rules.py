@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,27 +27,81 @@ _ALW = "rule_id string, r_domain string, r_ip string, r_tag string, enabled bool
 
 
 def glob_regex(pattern: Column) -> Column:
-    """A glob as a regular expression: ``*`` matches anything, ``?`` stays a quantifier, everything else is literal, letter case doesn't count."""
+    """A glob in a column as a regular expression, for patterns that aren't constant; ``*`` matches anything, ``?`` stays a quantifier, everything else is literal, letter case doesn't count."""
     literal = F.regexp_replace(pattern, r"([.+^${}()|\[\]\\])", r"\\$1")
     return F.concat(F.lit("(?is)^"), F.replace(literal, F.lit("*"), F.lit(".*")), F.lit("$"))
 
 
 def sql_glob(p: str) -> str:
+    """A glob as a regular expression: ``*`` matches anything, ``?`` stays a quantifier, everything else is literal; letter case shall not count."""
     return "^" + re.sub(r"([.+^${}()|\[\]\\])", r"\\\1", p).replace("*", ".*") + "$"
 
 
-def suppressed_by(ev: DataFrame, rules: DataFrame) -> DataFrame:
-    """Adds ``rule_id`` of the newest active rule all of whose criteria hold; a rule without criteria holds always. The rules are a small table: the planner broadcasts it by its size."""
-    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
-    hit = (blank("r_domain") | (F.col("domain") == F.col("r_domain"))) & (blank("r_ip") | (F.col("source_ip") == F.col("r_ip"))) & (F.size(F.array_except("r_tags", F.coalesce("tags", F.array().cast("array<string>")))) == 0)
-    best = ev.select("event_id", "domain", "source_ip", "tags").join(rules.where("active"), hit).groupBy("event_id").agg(F.max(F.struct("created", "rule_id"))["rule_id"].alias("rule_id"))
-    return ev.join(best, "event_id", "left")
+#: Up to so many rules are evaluated as one expression over each event, without any join.
+LITERAL_RULES = 200
+
+
+def _few(rules: DataFrame, most: int) -> list | None:
+    """The rules of a table, or ``None`` if there are more than ``most``."""
+    got = rules.limit(most + 1).collect()
+    return got if len(got) <= most else None
+
 
+def _suppresses(r) -> Column:
+    hit = F.lit(True)
+    if r.r_domain:
+        hit &= F.col("domain") == r.r_domain
+    if r.r_ip:
+        hit &= F.col("source_ip") == r.r_ip
+    for t in r.r_tags or []:
+        hit &= F.array_contains("tags", t)
+    return F.coalesce(hit, F.lit(False))
 
-def allowed(ev: DataFrame, rules: DataFrame) -> Column:
-    """The condition that joins events with the allow rules that hold for them."""
-    g = lambda crit, value: F.col(crit).isNull() | F.coalesce(F.regexp_like(F.coalesce(F.col(value), F.lit("")), glob_regex(F.col(crit))) & (F.coalesce(F.col(value), F.lit("")) != ""), F.lit(False))
-    return F.col("enabled") & g("r_domain", "domain") & g("r_ip", "source_ip") & (F.col("r_tag").isNull() | F.array_contains("tags", F.col("r_tag")))
+
+def suppressed_by(ev: DataFrame, rules: DataFrame) -> DataFrame:
+    """Adds ``rule_id`` of the newest active rule all of whose criteria hold; a rule without criteria holds always.
+
+    Few rules are one expression. More are joined by equality: those with a name by
+    it, others with an address by that, others by their first tag; the newest
+    without any criterion is a constant.
+    """
+    active = rules.where("active").select("rule_id", F.nullif("r_domain", F.lit("")).alias("r_domain"), F.nullif("r_ip", F.lit("")).alias("r_ip"), F.coalesce("r_tags", F.array().cast("array<string>")).alias("r_tags"), "created")
+    few = _few(active, LITERAL_RULES)
+    if few is not None:
+        newest = sorted(few, key=lambda r: (r.created, r.rule_id), reverse=True)
+        return ev.withColumn("rule_id", F.coalesce(*(F.when(_suppresses(r), F.lit(r.rule_id)) for r in newest), F.lit(None).cast("string")))
+    always = active.where("r_domain is null and r_ip is null and size(r_tags) = 0").agg(F.max(F.struct("created", "rule_id")).alias("r")).first().r
+    tags = F.coalesce("tags", F.array().cast("array<string>"))
+    left = ev.select("event_id", "domain", "source_ip", tags.alias("tags"))
+    holds = lambda j: j.where("(r_ip is null or source_ip = r_ip) and size(array_except(r_tags, tags)) = 0").select("event_id", "created", "rule_id")
+    by_name = holds(left.join(active.where("r_domain is not null"), F.col("domain") == F.col("r_domain")))
+    by_ip = holds(left.join(active.where("r_domain is null and r_ip is not null"), F.col("source_ip") == F.col("r_ip")))
+    by_tag = holds(left.withColumn("t", F.explode(F.array_distinct("tags"))).join(active.where("r_domain is null and r_ip is null and size(r_tags) > 0").withColumn("t", F.col("r_tags")[0]), "t"))
+    best = by_name.unionByName(by_ip).unionByName(by_tag).groupBy("event_id").agg(F.max(F.struct("created", "rule_id")).alias("best"))
+    known = F.struct(F.lit(always.created).alias("created"), F.lit(always.rule_id).alias("rule_id")) if always else F.lit(None).cast("struct<created: int, rule_id: string>")
+    return ev.join(best, "event_id", "left").withColumn("rule_id", F.greatest("best", known)["rule_id"]).drop("best")
+
+
+#: Allow rules are globs, which no equality join finds: a larger table than this is refused.
+MOST_ALLOWED = 2000
+
+
+def allowed(rules: DataFrame) -> Column:
+    """Whether an allow rule holds for an event: all enabled rules as one condition, each pattern compiled once."""
+    few = _few(rules.where("enabled"), MOST_ALLOWED)
+    if few is None:
+        raise ValueError(f"allow rules must be a table of at most {MOST_ALLOWED}")
+
+    def holds(r) -> Column:
+        hit = F.lit(True)
+        for pattern, value in ((r.r_domain, "domain"), (r.r_ip, "source_ip")):
+            if pattern is not None:
+                hit &= (F.coalesce(F.col(value), F.lit("")) != "") & F.col(value).rlike("(?is)" + sql_glob(pattern))
+        if r.r_tag is not None:
+            hit &= F.array_contains("tags", r.r_tag)
+        return F.coalesce(hit, F.lit(False))
+
+    return reduce(lambda a, b: a | b, (holds(r) for r in few), F.lit(False))
 
 
 _SUP_SQL = f"sup as (select * from {sql_rows(SUPPRESSIONS, 'rule_id, r_domain, r_ip, r_tags, active, created')})"
@@ -65,16 +120,12 @@ def suppress_anti(spark, sf_dir: str) -> DataFrame:
 @R.query(f"with {EV}, {_ALW_SQL} select event_id from ev e where not exists (select 1 from alw a where {_ALW_HIT})")
 def allow_anti(spark, sf_dir: str) -> DataFrame:
     """Events that no rule allows."""
-    ev = events(spark, sf_dir).select("event_id", "domain", "source_ip", "tags")
-    rules = rows(ev, ALLOWED, _ALW)
-    return ev.join(rules, allowed(ev, rules), "left_anti").select("event_id")
+    return events(spark, sf_dir, ~allowed(spark.createDataFrame(ALLOWED, _ALW))).select("event_id")
 
 
 @R.query(f"with {EV}, {_ALW_SQL} select count(*) as hidden from ev e where exists (select 1 from alw a where {_ALW_HIT})")
 def allow_hits(spark, sf_dir: str) -> DataFrame:
-    ev = events(spark, sf_dir).select("event_id", "domain", "source_ip", "tags")
-    rules = rows(ev, ALLOWED, _ALW)
-    return ev.join(rules, allowed(ev, rules), "left_semi").agg(F.count("*").alias("hidden"))
+    return events(spark, sf_dir, allowed(spark.createDataFrame(ALLOWED, _ALW))).agg(F.count("*").alias("hidden"))
 
 
 @R.query(f"with {EV}, {_SUP_SQL}, x as (select e.event_id, e.acknowledged, e.ack_reason, arg_max(s.rule_id, s.created) as rule_id from ev e left join sup s on {_SUP_HIT} group by all) select case when acknowledged then 'acknowledged' when rule_id is not null then 'suppressed' else 'active' end as state, coalesce(case when acknowledged then ack_reason else rule_id end, '') as why, count(*) as n from x group by all")
