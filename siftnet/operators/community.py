@@ -6,12 +6,14 @@ bad and popular names stand for the ground truth and the popularity list.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftnet.functions import domain as D
+from siftnet.operators.ordered import numbered
 from siftnet.operators.series import hour_of
 from siftnet.plans.base import EV, FW, Registry, events, firewall
+from siftnet.session import materialize
 
 R = Registry()
 HOUR, DAY = 3_600_000_000, 86_400_000_000
@@ -38,7 +40,7 @@ def merged(parts: DataFrame, *keys: str) -> DataFrame:
  select e.domain, e.h_us, count(*) as n, count(distinct source_hash) as nodes, count(distinct geo) as nets, round(avg(anomaly_score), 9) as mean, max(anomaly_score) as top, count(*) filter (blocked) as blocked, coalesce(any_value(t.tags), '') as tags from e left join t on e.domain = t.domain and e.h_us = t.h_us group by e.domain, e.h_us""")
 def reputation_hourly(spark, sf_dir: str) -> DataFrame:
     """Hourly reports of names, counted exactly."""
-    e = events(spark, sf_dir).where("domain is not null")
+    e = events(spark, sf_dir, named=True)
     return e.groupBy("domain", hour_of().alias("h_us")).agg(
         F.count("*").alias("n"), F.countDistinct("source_hash").alias("nodes"), F.countDistinct("geo").alias("nets"), F.round(F.avg("anomaly_score"), 9).alias("mean"), F.max("anomaly_score").alias("top"), F.count_if("blocked").alias("blocked"),
         F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("tags")))), ";").alias("tags"),
@@ -56,13 +58,13 @@ def reputation_merged(spark, sf_dir: str) -> DataFrame:
  select domain, nodes, round(mean, 9) as mean, round(mean * ln(nodes + 1), 6) as rank from g order by rank desc, domain limit 50""")
 def top_reputation(spark, sf_dir: str) -> DataFrame:
     """Names that several nodes report with high scores."""
-    g = events(spark, sf_dir).where("domain is not null").groupBy("domain").agg(F.countDistinct("source_hash").alias("nodes"), F.avg("anomaly_score").alias("m")).where("nodes >= 3 and m >= 0.15")
+    g = events(spark, sf_dir, named=True).groupBy("domain").agg(F.countDistinct("source_hash").alias("nodes"), F.avg("anomaly_score").alias("m")).where("nodes >= 3 and m >= 0.15")
     return g.select("domain", "nodes", F.round("m", 9).alias("mean"), F.round(F.col("m") * F.log(F.col("nodes") + 1), 6).alias("rank")).orderBy(F.desc("rank"), "domain").limit(50)
 
 
 @R.query(f"with {EV} select domain, t_us - t_us % 900000000 as b_us, count(*) as n, min(anomaly_score) as low, max(anomaly_score) as high, round(avg(anomaly_score), 9) as mean, count(distinct source_hash) as nodes from ev where domain is not null and anomaly_score > 0.1 group by 1, 2")
 def reports_15min(spark, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir).where("domain is not null and anomaly_score > 0.1")
+    e = events(spark, sf_dir, "anomaly_score > 0.1", named=True)
     return e.groupBy("domain", hour_of("t_us", 900_000_000).alias("b_us")).agg(F.count("*").alias("n"), F.min("anomaly_score").alias("low"), F.max("anomaly_score").alias("high"), F.round(F.avg("anomaly_score"), 9).alias("mean"), F.countDistinct("source_hash").alias("nodes"))
 
 
@@ -75,7 +77,7 @@ def node_daily(spark, sf_dir: str) -> DataFrame:
 @R.query(f"with {EV} select domain, sum(n)::bigint as n, max(n) as peak, count(*) as hours from (select domain, t_us - t_us % 3600000000 as h_us, count(*) as n from ev where domain is not null group by 1, 2) group by domain")
 def volume_rollup(spark, sf_dir: str) -> DataFrame:
     """Volumes of names from their hourly sums."""
-    h = events(spark, sf_dir).where("domain is not null").groupBy("domain", hour_of().alias("h_us")).agg(F.count("*").alias("n"))
+    h = events(spark, sf_dir, named=True).groupBy("domain", hour_of().alias("h_us")).agg(F.count("*").alias("n"))
     return h.groupBy("domain").agg(F.sum("n").alias("n"), F.max("n").alias("peak"), F.count("*").alias("hours"))
 
 
@@ -96,7 +98,7 @@ _SEVERITY = {"block": 1, "drop": 2, "reject": 3}
 @R.query(f"with {FW}, s as (select src_ip, case lower(fw_action) when 'block' then 1 when 'drop' then 2 when 'reject' then 3 else 4 end as severity from fw where src_ip is not null) select src_ip, count(*) as n, min(severity) as worst from s where severity < 4 group by src_ip order by n desc, src_ip limit 20")
 def ids_top_sources(spark, sf_dir: str) -> DataFrame:
     s = F.coalesce(F.create_map(*(F.lit(x) for kv in _SEVERITY.items() for x in kv))[F.lower("fw_action")], F.lit(4))
-    f = firewall(spark, sf_dir).where("src_ip is not null").withColumn("s", s).where("s < 4")
+    f = firewall(spark, sf_dir, "src_ip is not null").withColumn("s", s).where("s < 4")
     return f.groupBy("src_ip").agg(F.count("*").alias("n"), F.min("s").alias("worst")).orderBy(F.desc("n"), "src_ip").limit(20)
 
 
@@ -104,7 +106,7 @@ def ids_top_sources(spark, sf_dir: str) -> DataFrame:
  select domain, n, nodes, length(domain) as chars, len(p) as labels, length(label) as label_chars, round({D.entropy_sql('label')}, 6) as entropy, round(length(regexp_replace(label, '[^0-9]', '', 'g')) / greatest(length(label), 1), 6) as digits from f""")
 def domain_features(spark, sf_dir: str) -> DataFrame:
     """Features of distinct names; each is computed once per name."""
-    d = events(spark, sf_dir).where("domain is not null").groupBy("domain").agg(F.count("*").alias("n"), F.countDistinct("source_hash").alias("nodes")).withColumn("label", D.effective_label(F.col("domain")))
+    d = events(spark, sf_dir, named=True).groupBy("domain").agg(F.count("*").alias("n"), F.countDistinct("source_hash").alias("nodes")).withColumn("label", D.effective_label(F.col("domain")))
     return d.select("domain", "n", "nodes", F.length("domain").alias("chars"), F.size(F.split("domain", r"\.")).alias("labels"), F.length("label").alias("label_chars"), F.round(D.entropy(F.col("label")), 6).alias("entropy"), F.round(F.regexp_count("label", F.lit("[0-9]")) / F.greatest(F.length("label"), F.lit(1)), 6).alias("digits"))
 
 
@@ -120,15 +122,30 @@ def _truth(ev: DataFrame) -> tuple[DataFrame, DataFrame]:
     return named.where(F.array_contains("tags", "known_bad")).select("domain").distinct(), named.groupBy("domain").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "domain").limit(100).select("domain")
 
 
-def node_trust_of(ev: DataFrame) -> DataFrame:
-    """Trust of each node: age, agreement with known truth, few reports on popular names, steady volume, weighted 0.25, 0.35, 0.15, 0.25."""
-    truth, popular = _truth(ev)
-    rep = ev.where("domain is not null and anomaly_score > 0.1").select("source_hash", "domain").distinct()
+REPORTED = 0.1
+
+
+def activity(ev: DataFrame) -> DataFrame:
+    """Sums by node, name, network and day, from which trust and reputation follow without the events: ``n``, ``reported`` and ``score_sum`` (of scores above 0.1), ``bad``, ``first_us``, ``last_us``."""
+    over = F.col("anomaly_score") > REPORTED
+    g = ev.groupBy("source_hash", "domain", "geo", hour_of("t_us", DAY).alias("d_us"))
+    return g.agg(F.count("*").alias("n"), F.count_if(over).alias("reported"), F.sum(F.when(over, F.col("anomaly_score"))).alias("score_sum"), F.max(F.coalesce(F.array_contains("tags", "known_bad"), F.lit(False))).alias("bad"), F.min("t_us").alias("first_us"), F.max("t_us").alias("last_us"))
+
+
+def _truth_of(act: DataFrame) -> tuple[DataFrame, DataFrame]:
+    named = act.where("domain is not null")
+    return named.where("bad").select("domain").distinct(), named.groupBy("domain").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "domain").limit(100).select("domain")
+
+
+def node_trust_of(act: DataFrame) -> DataFrame:
+    """Trust of each node, from ``activity``: age, agreement with known truth, few reports on popular names, steady volume, weighted 0.25, 0.35, 0.15, 0.25."""
+    truth, popular = _truth_of(act)
+    rep = act.where("domain is not null and reported > 0").select("source_hash", "domain").distinct()
     marked = rep.join(truth.withColumn("bad", F.lit(1)), "domain", "left").join(popular.withColumn("pop", F.lit(1)), "domain", "left")
     agree = marked.groupBy("source_hash").agg(F.count("*").alias("names"), F.count("bad").alias("bad"), F.count(F.when(F.col("bad").isNull(), F.col("pop"))).alias("false"))
-    age = ev.groupBy("source_hash").agg(((F.max("t_us") - F.min("t_us")) / DAY).alias("days"))
-    days = ev.groupBy("source_hash", hour_of("t_us", DAY).alias("d_us")).agg(F.count("*").alias("n")).groupBy("source_hash").agg(F.coalesce(F.stddev_pop("n") / F.avg("n"), F.lit(0.0)).alias("cv"))
-    j = age.join(days, "source_hash").join(agree, "source_hash", "left").na.fill(0)
+    by_day = act.groupBy("source_hash", "d_us").agg(F.sum("n").alias("n"), F.min("first_us").alias("a"), F.max("last_us").alias("b"))
+    days = by_day.groupBy("source_hash").agg(((F.max("b") - F.min("a")) / DAY).alias("days"), F.coalesce(F.stddev_pop("n") / F.avg("n"), F.lit(0.0)).alias("cv"))
+    j = days.join(agree, "source_hash", "left").na.fill(0)
     score = 0.25 * sigmoid(F.col("days"), 7.0, 0.3) + 0.35 * F.col("bad") / F.greatest(F.col("names"), F.lit(1)) + 0.15 * (1 - F.least(F.lit(1.0), 5 * F.col("false") / F.greatest(F.col("names"), F.lit(1)))) + 0.25 * (1 - F.least(F.lit(1.0), F.col("cv") / 2))
     return j.select("source_hash", score.alias("trust"), F.when(score >= 0.7, "high").when(score >= 0.4, "medium").otherwise("low").alias("tier"))
 
@@ -141,16 +158,17 @@ _TRUST = """rep as (select distinct source_hash, domain from ev where domain is
 
 @R.query(f"with {EV}, {_TRUTH}, {_TRUST} select source_hash, round(trust, 5) as trust, case when trust >= 0.7 then 'high' when trust >= 0.4 then 'medium' else 'low' end as tier from tr")
 def node_trust(spark, sf_dir: str) -> DataFrame:
-    return node_trust_of(events(spark, sf_dir)).withColumn("trust", F.round("trust", 5))
+    return node_trust_of(materialize(activity(events(spark, sf_dir)), "activity")).withColumn("trust", F.round("trust", 5))
 
 
 @R.query(f"""with {EV}, {_TRUTH}, {_TRUST}, r as (select domain, sum(trust * anomaly_score) / sum(trust) as s, count(distinct e.source_hash) as nodes, count(distinct geo) as nets, count(distinct t_us // 86400000000) as days from ev e join tr using (source_hash) where domain is not null and anomaly_score > 0.1 group by domain having count(distinct e.source_hash) >= 3 and count(distinct geo) >= 2)
  select domain, nodes, nets, round(least(0.40::double * s + 0.20::double * least(1, nodes / 20.0::double) + 0.25::double * least(1, nets / 5.0::double) + 0.15::double * least(1, days / 7.0::double), case when p.domain is not null then 0.1 else 1 end), 5) as reputation from r left join popular p using (domain)""")
 def domain_reputation(spark, sf_dir: str) -> DataFrame:
-    """Reputation of names that at least three nodes in two networks report, weighted by trust; popular names are capped."""
-    ev = events(spark, sf_dir)
-    _, popular = _truth(ev)
-    r = ev.where("domain is not null and anomaly_score > 0.1").join(node_trust_of(ev).select("source_hash", "trust"), "source_hash").groupBy("domain").agg((F.sum(F.col("trust") * F.col("anomaly_score")) / F.sum("trust")).alias("s"), F.countDistinct("source_hash").alias("nodes"), F.countDistinct("geo").alias("nets"), F.countDistinct(F.expr("t_us div 86400000000")).alias("days")).where("nodes >= 3 and nets >= 2")
+    """Reputation of names that at least three nodes in two networks report, weighted by trust; popular names are capped. The events are read once, into ``activity``."""
+    act = materialize(activity(events(spark, sf_dir)), "activity")
+    _, popular = _truth_of(act)
+    rep = act.where("domain is not null and reported > 0").join(node_trust_of(act).select("source_hash", "trust"), "source_hash")
+    r = rep.groupBy("domain").agg((F.sum(F.col("trust") * F.col("score_sum")) / F.sum(F.col("trust") * F.col("reported"))).alias("s"), F.countDistinct("source_hash").alias("nodes"), F.countDistinct("geo").alias("nets"), F.countDistinct("d_us").alias("days")).where("nodes >= 3 and nets >= 2")
     part = lambda c, most: F.least(F.lit(1.0), F.col(c) / most)
     score = 0.40 * F.col("s") + 0.20 * part("nodes", 20.0) + 0.25 * part("nets", 5.0) + 0.15 * part("days", 7.0)
     j = r.join(popular.withColumn("p", F.lit(0.1)), "domain", "left")
@@ -194,8 +212,8 @@ def truth_overlap(spark, sf_dir: str) -> DataFrame:
 @R.query(f"with {EV}, {_TRUTH} select event_id from ev where domain is not null and domain not in (select domain from popular) and not ends_with(domain, '.example.net') and domain <> 'example.net'")
 def allow_list(spark, sf_dir: str) -> DataFrame:
     """Events of names that are neither popular nor below an allowed domain."""
-    ev = events(spark, sf_dir).where("domain is not null").select("event_id", "domain")
-    _, popular = _truth(events(spark, sf_dir))
+    ev = events(spark, sf_dir, named=True).select("event_id", "domain")
+    _, popular = _truth(ev.withColumn("tags", F.lit(None).cast("array<string>")))
     return ev.join(popular, "domain", "left_anti").where(~F.col("domain").endswith(".example.net") & (F.col("domain") != "example.net")).select("event_id")
 
 
@@ -223,8 +241,8 @@ def feed_hostfile(spark, sf_dir: str) -> DataFrame:
 @R.query(f"""with {EV}, x as (select source_hash, t_us, event_id, row_number() over (partition by source_hash, resolved_ip order by t_us, event_id) as rn, resolved_ip from ev where resolved_ip is not null) select source_hash, resolved_ip, event_id, rn from x where rn % 10 = 0""")
 def every_tenth_flow(spark, sf_dir: str) -> DataFrame:
     """Every tenth event of a source and destination."""
-    w = Window.partitionBy("source_hash", "resolved_ip").orderBy("t_us", "event_id")
-    return events(spark, sf_dir).where("resolved_ip is not null").select("source_hash", "resolved_ip", "event_id", F.row_number().over(w).alias("rn")).where("rn % 10 = 0")
+    ev = events(spark, sf_dir, "resolved_ip is not null").select("source_hash", "resolved_ip", "event_id", "t_us")
+    return numbered(ev, ["source_hash", "resolved_ip"], ["t_us", "event_id"]).where("rn % 10 = 0").select("source_hash", "resolved_ip", "event_id", F.col("rn").cast("int").alias("rn"))
 
 
 @R.query(f"""with {EV}, s as (select domain, array_to_string(string_split(domain, '.')[1:greatest(len(string_split(domain, '.')) - 2, 0)], '') as sub from (select distinct domain from ev where domain is not null))
@@ -232,7 +250,7 @@ def every_tenth_flow(spark, sf_dir: str) -> DataFrame:
 def encoding_scores(spark, sf_dir: str) -> DataFrame:
     """How much of a name's sub-domain looks encoded: its shares of hexadecimal characters and of digits."""
     p = F.split("domain", r"\.")
-    s = events(spark, sf_dir).where("domain is not null").select("domain").distinct().withColumn("sub", F.array_join(F.slice(p, F.lit(1), F.greatest(F.size(p) - 2, F.lit(0))), ""))
+    s = events(spark, sf_dir, named=True).select("domain").distinct().withColumn("sub", F.array_join(F.slice(p, F.lit(1), F.greatest(F.size(p) - 2, F.lit(0))), ""))
     share = lambda r: F.regexp_count("sub", F.lit(r)) / F.length("sub")
     return s.select("domain", F.round(F.when(F.length("sub") == 0, 0.0).otherwise((share("[0-9a-f]") + share("[0-9]")) / 2), 6).alias("encoding"))
 
