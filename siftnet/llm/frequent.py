@@ -7,7 +7,9 @@ hash, and a group counts, for each position, how often each symbol occurs there.
 In a group with one frequent value its symbols stand out, and the word that they
 make is decoded. Decoded values are taken out of the counts, which bares others
 that shared their groups. All candidates are then counted exactly, in a second
-pass. A frequent value's groups hold at least its own count; where groups that
+pass; for shares so small that no task can hold the symbol counts of all groups,
+heavy groups are found first and only their values' symbols counted, group by
+group. A frequent value's groups hold at least its own count; where groups that
 heavy remain once the candidates' exact counts are taken out, all values in
 them are counted as well, so that none can be missed.
 """
@@ -224,18 +226,123 @@ def take_out(counts: np.ndarray, h: int, n: int, bits: int) -> None:
         counts[r, group_of(h, r, bits), np.arange(POSITIONS), s] -= n
 
 
-def frequent_values(df: DataFrame, value: Column, share: float | str, row_id: str | None = None, reps: int = 2, slack: float = 0.5, name: str = "value") -> DataFrame:
+#: Up to so many bits of group number every task and the driver hold the symbol counts of all groups (25 MB for two repetitions).
+DENSE_BITS = 12
+#: Group numbers have no more bits; for smaller shares the sieve lets more values through, which costs time and no memory.
+SIEVE_BITS = 24
+PIECE_BITS = 16
+
+
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Group numbers as bitmaps of 65 536 groups each."""
+    held: dict[int, np.ndarray] = {}
+    for b in batches:
+        g = np.asarray(b.column(0))
+        for piece in np.unique(g >> PIECE_BITS).tolist():
+            bits = held.setdefault(piece, np.zeros(1 << PIECE_BITS, dtype=bool))
+            bits[g[g >> PIECE_BITS == piece] & ((1 << PIECE_BITS) - 1)] = True
+    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([np.packbits(x, bitorder="little").tobytes() for x in held.values()], pa.binary())], names=["piece", "counts"])
+
+
+def _heavy_groups(hashed: DataFrame, rep: int, bits: int, threshold: int) -> bytes:
+    """A bitmap of the groups of a repetition with ``threshold`` rows at least, 2 MB for 24 bits."""
+    g = F.shiftrightunsigned("h", rep * bits).bitwiseAND((1 << bits) - 1)
+    heavy = hashed.groupBy(g.alias("g")).agg(F.count("*").alias("n")).where(F.col("n") >= threshold).select("g")
+    whole = np.zeros(1 << (max(bits, PIECE_BITS) - 3), dtype=np.uint8)
+    size = 1 << (PIECE_BITS - 3)
+    for row in heavy.mapInArrow(_bitmaps, _PIECE).toLocalIterator():
+        x = np.frombuffer(bytes(row.counts), dtype=np.uint8)
+        whole[row.piece * size : (row.piece + 1) * size] |= x
+    return zlib.compress(whole.tobytes(), 1)
+
+
+def _survivors(packed: list[bytes], bits: int):
+    """Hashes whose groups are heavy in all repetitions, with how often they come, summed where they are."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maps = [np.frombuffer(zlib.decompress(x), dtype=np.uint8) for x in packed]
+        for b in batches:
+            h, n = np.unique(np.asarray(b.column(0)).view(np.uint64), return_counts=True)
+            for r, m in enumerate(maps):
+                g = group_of(h, r, bits)
+                keep = (m[g >> 3] >> (g & 7).astype(np.uint8)) & 1 > 0
+                h, n = h[keep], n[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(group_of(h, 0, bits)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["g", "h", "n"])
+
+    return work
+
+
+def decode_group(h: np.ndarray, n: np.ndarray, threshold: int) -> list[int]:
+    """The values of a group that come ``threshold`` times at least, by its symbol counts; where those cannot be decoded, by the counts themselves."""
+    s = symbols_of(h)
+    counts = np.zeros((POSITIONS, SYMBOLS), dtype=np.int64)
+    np.add.at(counts, (np.arange(POSITIONS), s), n[:, None])
+    left, found = dict(zip(h.tolist(), n.tolist())), []
+    while counts[0].sum() >= threshold:
+        x = decode_symbols(counts.argmax(axis=1).tolist())
+        if x is None or x not in left:
+            return found + [k for k, c in left.items() if c >= threshold]
+        c = left.pop(x)
+        if c >= threshold:
+            found.append(x)
+        counts[np.arange(POSITIONS), symbols_of(np.array([x], dtype=np.uint64))[0]] -= c
+    return found
+
+
+def _decode_groups(threshold: int):
+    """``decode_group`` of groups whose rows come together; the last group of a batch waits for the next one."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = [np.zeros(0, dtype=np.int64)] * 3
+
+        def decode(g: np.ndarray, h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.zeros(0, dtype=np.int64)
+            out = []
+            for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(g)]):
+                out += decode_group(h[lo:hi].view(np.uint64), n[lo:hi], threshold)
+            return pa.RecordBatch.from_arrays([pa.array(np.array(out, dtype=np.uint64).view(np.int64))], names=["h"])
+
+        for b in batches:
+            rest = [np.r_[a, np.asarray(c)] for a, c in zip(rest, b.columns)]
+            g = rest[0]
+            at = int(np.searchsorted(g, g[-1])) if len(g) else 0
+            yield decode(*(x[:at] for x in rest))
+            rest = [x[at:] for x in rest]
+        yield decode(*rest)
+
+    return work
+
+
+def _sieved(hashed: DataFrame, reps: int, bits: int, threshold: int) -> DataFrame:
+    """The hashes that come ``threshold`` times at least, for shares so small that no task can hold counts of all groups: heavy groups first, then the symbols of the values in them, a few groups at a time."""
+    maps = [_heavy_groups(hashed, r, bits, threshold) for r in range(reps)]
+    some = hashed.select("h").mapInArrow(_survivors(maps, bits), "g bigint, h bigint, n bigint").groupBy("g", "h").agg(F.sum("n").alias("n"))
+    return some.repartition("g").sortWithinPartitions("g").mapInArrow(_decode_groups(threshold), "h bigint")
+
+
+def _counted(keyed: DataFrame, row_id: str | None) -> DataFrame:
+    """Rows and rows without repetitions of each picked value ``c`` (null: all others)."""
+    if not row_id:
+        return keyed.groupBy("c").agg(F.count("*").alias("raw"), F.count("*").alias("n"))
+    # ids without a value of their own are one each
+    once = keyed.groupBy("id").agg(F.min("c").alias("c"), F.count("*").alias("raw")).withColumn("n", F.expr("if(id is null, raw, 1)"))
+    nulls = keyed.where("id is null").groupBy("c").agg(F.count("*").alias("raw"), F.count("*").alias("n"))
+    return once.where("id is not null").groupBy("c").agg(F.sum("raw").alias("raw"), F.sum("n").alias("n")).unionByName(nulls).groupBy("c").agg(F.sum("raw").alias("raw"), F.sum("n").alias("n"))
+
+
+def frequent_values(df: DataFrame, value: Column, share: float | str, row_id: str | None = None, reps: int = 2, slack: float = 0.5, name: str = "value", dense_bits: int = DENSE_BITS) -> DataFrame:
     """``name``, ``n_rows`` and ``n_total`` of every value that makes up at least ``share`` of the rows with a value.
 
     Nulls are no values. Rows that repeat a ``row_id`` count once (rows with a null
     id each by themselves); without ``row_id`` every row counts. The counts are
     exact and the result complete; an empty table gives an empty result, and ties
-    with the share are in it. Memory: ``reps`` x groups x 384 counters in each task
-    and in the driver, where groups are 4 / (``share`` x ``slack``), rounded up to
-    a power of two; none of it grows with rows or values. The first pass counts
-    repeated rows as often as they come and therefore looks for ``slack`` times the
-    share; should more than 1 - ``slack`` of the rows be repetitions, it looks
-    again for less.
+    with the share are in it. Groups are 4 / (``share`` x ``slack``), rounded up to
+    a power of two. Up to 2 ** ``dense_bits`` of them every task and the driver hold
+    ``reps`` x groups x 384 counters; beyond, tasks hold a bitmap of the groups (4 MB)
+    and the counters of one group, so that memory is bounded for any share. The first
+    pass counts repeated rows as often as they come and therefore looks for ``slack``
+    times the share; should more than 1 - ``slack`` of the rows be repetitions, it
+    looks again for less.
     """
     want = Fraction(str(share))
     if not 0 < want <= 1:
@@ -243,6 +350,25 @@ def frequent_values(df: DataFrame, value: Column, share: float | str, row_id: st
     bits = max(7, min(64 // reps, ceil(log2(4 / (float(want) * slack)))))
     values = df.select(value.cast("string").alias("v"), *([pack_hex(F.col(f"`{row_id}`").cast("string")).alias("id")] if row_id else [])).where("v is not null")
     hashed = values.withColumn("h", F.xxhash64("v"))
+    exact, n_total = _dense(hashed, want, slack, reps, bits, row_id) if bits <= dense_bits else _sparse(hashed, want, slack, reps, min(bits, SIEVE_BITS, 64 // reps), row_id)
+    least = F.lit(want.numerator).cast("decimal(20,0)") * F.lit(n_total).cast("decimal(18,0)")
+    return exact.where(F.col("c").isNotNull() & (F.col("n").cast("decimal(18,0)") * F.lit(want.denominator).cast("decimal(20,0)") >= least)).select(F.col("c").alias(name), F.col("n").alias("n_rows"), F.lit(n_total).cast("bigint").alias("n_total"))
+
+
+def _sparse(hashed: DataFrame, want: Fraction, slack: float, reps: int, bits: int, row_id: str | None) -> tuple[DataFrame, int]:
+    """Exact counts of candidates, of which there may be too many for a list in the driver: they are joined."""
+    threshold = max(1, int(hashed.count() * float(want) * slack))
+    while True:
+        picked = materialize(_sieved(hashed, reps, bits, threshold).distinct().withColumn("__picked", F.lit(True)), "candidates")
+        exact = materialize(_counted(hashed.join(picked, "h", "left").withColumn("c", F.when(F.col("__picked"), F.col("v"))), row_id), "frequent")
+        n_total = exact.agg(F.sum("n")).first()[0] or 0
+        if int(want * n_total) >= threshold or threshold == 1:
+            return exact, n_total
+        threshold = max(1, int(want * n_total * Fraction(9, 10)))
+
+
+def _dense(hashed: DataFrame, want: Fraction, slack: float, reps: int, bits: int, row_id: str | None) -> tuple[DataFrame, int]:
+    """Exact counts of the candidates that the symbol counts of all groups give."""
     pieces = hashed.select("h").mapInArrow(_sketch(reps, bits), _PIECE).repartition(min(32, (reps << bits) // BLOCK), "piece").mapInArrow(_add_pieces, _PIECE)
     counts = np.zeros(((reps << bits) // BLOCK, BLOCK, POSITIONS, SYMBOLS), dtype=np.int64)
     for row in pieces.collect():  # a fixed number of pieces, whatever the rows
@@ -260,29 +386,19 @@ def frequent_values(df: DataFrame, value: Column, share: float | str, row_id: st
             for r, groups in enumerate(open_groups):
                 inside &= F.shiftrightunsigned("h", r * bits).bitwiseAND((1 << bits) - 1).isin(groups)
             picked |= inside
-        keyed = hashed.withColumn("c", F.when(picked, F.col("v")))
-        if row_id:
-            # ids without a value of their own are one each
-            once = keyed.groupBy("id").agg(F.min("c").alias("c"), F.count("*").alias("raw")).withColumn("n", F.expr("if(id is null, raw, 1)"))
-            nulls = keyed.where("id is null").groupBy("c").agg(F.count("*").alias("raw"), F.count("*").alias("n"))
-            exact = once.where("id is not null").groupBy("c").agg(F.sum("raw").alias("raw"), F.sum("n").alias("n")).unionByName(nulls).groupBy("c").agg(F.sum("raw").alias("raw"), F.sum("n").alias("n"))
-        else:
-            exact = keyed.groupBy("c").agg(F.count("*").alias("raw"), F.count("*").alias("n"))
-        exact = materialize(exact, "frequent")
+        exact = materialize(_counted(hashed.withColumn("c", F.when(picked, F.col("v"))), row_id), "frequent")
         n_total = exact.agg(F.sum("n")).first()[0] or 0
         if int(want * n_total) < threshold and threshold > 1:
             threshold = max(1, int(want * n_total * Fraction(9, 10)))
             continue
         if open_groups is not None:
-            break
+            return exact, n_total
         rest = counts.copy()
         for row in exact.where("c is not null").select(F.xxhash64("c").alias("h"), "raw").where(F.col("h").isin(signed) if signed else F.lit(False)).toLocalIterator():  # at most one row per decoded value
             take_out(rest, row.h & ((1 << 64) - 1), row.raw, bits)
         open_groups = [np.flatnonzero(rest[r, :, 0].sum(axis=1) >= threshold).tolist() for r in range(reps)]
         if not all(open_groups):
-            break
-    least = F.lit(want.numerator).cast("decimal(20,0)") * F.lit(n_total).cast("decimal(18,0)")
-    return exact.where(F.col("c").isNotNull() & (F.col("n").cast("decimal(18,0)") * F.lit(want.denominator).cast("decimal(20,0)") >= least)).select(F.col("c").alias(name), F.col("n").alias("n_rows"), F.lit(n_total).cast("bigint").alias("n_total"))
+            return exact, n_total
 
 
 def p4_frequent(spark, sf_dir: str) -> DataFrame:

@@ -87,7 +87,7 @@ _CAP = r"[A-ZÀ-ÖØ-ÞŒŠŽ][\w'’-]*"
 _after = "|".join(sorted({*STREET_AFTER, *(w.upper() for w in STREET_AFTER)}, key=len, reverse=True))
 _ADDRESS = re.compile(
     rf"(?<![\w.:/-])(?P<en>\d{{1,4}} ?(?:[A-Za-z]\b)? (?:{_CAP} ){{1,3}}?(?P<word>{_after})\b(?! (?:{_after})\b)(?P<stop>\.?))"
-    rf"|(?<![\w.:/-])(?P<fr>\d{{1,4}}(?: ?(?:bis|ter|quater)\b)?,? (?:{'|'.join(STREET_FR)})(?: (?:de la|de l['’]|du|des|de|d['’]))? ?{_CAP}(?:[ -]{_CAP})*)"
+    rf"|(?<![\w.:/-])(?P<fr>\d{{1,4}}(?: ?(?:bis|ter|quater)\b)?,? (?:{'|'.join(STREET_FR)})\b(?: (?:de la|de l['’]|du|des|de|d['’]))? ?{_CAP}(?:[ -]{_CAP})*)"
     rf"|(?<![\w-])(?P<de>{_CAP}?(?:{'|'.join(re.escape(w) for w in STREET_SUFFIX)}|(?<= )(?:Straße|Strasse|Weg|Gasse|Platz|Allee|Ring)) \d{{1,4}}(?: ?[a-z]\b)?(?![\w:.-]\w))"
     rf"|(?<![\w-])(?P<es>(?:{'|'.join(re.escape(w) for w in STREET_ES)})(?: (?:de la|de las|de los|del|de))? {_CAP}(?: {_CAP})*,?(?: n\.?[º°o])? \d{{1,4}}(?: ?[a-zA-Z]\b)?(?![\w:.-]\w))"
     rf"|(?<![\w-])(?P<weak>(?:Am|An der|An den|Auf dem|Auf der|Im|In der|Zum|Zur|Unter den|Hinter dem) {_CAP}(?: {_CAP})? \d{{1,4}}(?: ?[a-z]\b)?(?![\w:.-]\w))"

@@ -166,3 +166,53 @@ def test_candidates_are_chosen_after_the_join():
             true = [(0, *h[:2], h[5]) for h in hits if h[3] in family and (h[2] is None or h[2] in given)]
             spans.append(list(pii.leftmost(true)))
         assert spans[0] == spans[1]
+
+
+PIECES = ["12", "7b", "443 853 8080", "+44 20 7946 0507", "(303) 555-0152", "0199 005594", "C48W3H372", "96326731V", "QQ 12 34 56 C", "Old", "Weir", "Street", "St.", "st", "rue", "des", "Aulnes", "Salzstraße", "weg", "Am", "Ring", "C/", "Tejedores", "n.º", "8", "Anna", "ANNA", "d'", "O'Brien", "Smith-Ray's", "van", "de", "Berg", "é", "İpek", "ΑΣ", "🙂", "𝒳", "_", "@", "(at)", " at ", "DOT", ".", ",", ":", "/", "-", "\n", "  ", " ", "x", "2024-01-02", "1.2.3.4"]
+
+
+def everywhere(text):
+    """Candidates by form with the expressions tried at every character."""
+    places = list(range(len(text)))
+    return pii.fixed_forms(text, (places, places, places))[0]
+
+
+def test_places_miss_no_candidate():
+    from siftnet.llm.scan import Page, WordSet
+
+    rnd = random.Random(9)
+    texts = ["".join(rnd.choice(PIECES) + rnd.choice(["", " ", " ", " ", ", "]) for _ in range(rnd.randrange(1, 40))) for _ in range(800)]
+    page = Page(texts)
+    pairs = page.split(page.capital_pairs(WordSet(pii.PARTICLES)))
+    for text, places, starts in zip(texts, pii.places_of(page), pairs):
+        assert pii.fixed_forms(text, places)[0] == everywhere(text), text
+        assert [p for p in starts if pii._PAIR.match(text, p)] == [m.start() for m in pii._PAIR.finditer(text)], text
+
+
+def test_names_are_found_by_columns_as_by_words():
+    """With any bitmap, also one that says yes to everything, the candidates hold all that the exact lists give."""
+    import numpy as np
+    from siftnet.llm.scan import Page, WordSet, hash_words
+
+    rnd = random.Random(10)
+    given, family = {"anna", "berg", "i̇pek", "ασ"}, {"o'brien", "berg", "smith-ray", "van de berg", "de berg"}
+    texts = ["".join(rnd.choice(PIECES) + rnd.choice([" ", " ", ", ", ". ", ""]) for _ in range(rnd.randrange(1, 30))) for _ in range(600)]
+    exact = pii.Lexicon(given.__contains__, family.__contains__)
+    want = [[h[:5] for h in pii.persons(t, np.zeros(len(t) + 1, dtype=bool), exact)] for t in texts]
+    right = np.zeros(1 << 14, dtype=np.uint8)
+    for role, words in (("g", given), ("f", family)):
+        for x in pii._places_in(len(right) * 8, role, hash_words(sorted(words))):
+            np.bitwise_or.at(right, (x >> np.uint64(3)).astype(np.int64), (1 << (x & np.uint64(7))).astype(np.uint8))
+    for packed in (right, np.full(8, 255, dtype=np.uint8)):
+        got = pii.persons_of(Page(texts), pii.Bitmap(packed), WordSet(pii.PARTICLES))
+        for text, hits, w in zip(texts, got, want):
+            true = [h[:5] for h in hits if h[3] in family and (h[2] is None or h[2] in given)]
+            assert true == w, text
+
+
+def test_taken_spans_keep_names_out(spark):
+    """Of texts with one id that differ, each has its own spans."""
+    docs = spark.createDataFrame([(1, "x Anna Kranz y"), (1, "at 3 Anna Kranz Street, Otto Kranz"), (2, "Bela Kranz, 4 Bela Kranz Road")], "doc_id bigint, text string")
+    names = spark.createDataFrame(NAMES, "name_text string, name_part string")
+    rows = sorted((r.doc_id, r.kind, r.start_pos, r.end_pos) for r in pii.find_personal(docs, names).collect())
+    assert rows == [(1, "address", 3, 22), (1, "person", 2, 12), (1, "person", 24, 34), (2, "address", 12, 29), (2, "person", 0, 10)]
