@@ -19,7 +19,12 @@ from siftnet.llm.tokens import TOKENIZER, token_sizes
 from siftnet.session import materialize
 from siftnet.tables import load
 
-BUCKETS = 4096  # pieces into which each running sum is divided
+LEAST_BUCKETS, MOST_BUCKETS, BUCKET_ROWS = 4096, 1 << 20, 20_000
+
+
+def buckets_for(rows: int) -> int:
+    """Pieces into which each running sum is divided: a task orders some ``BUCKET_ROWS`` rows, and the sums of the pieces, which one task orders, stay few."""
+    return max(LEAST_BUCKETS, min(MOST_BUCKETS, 1 << (rows // BUCKET_ROWS).bit_length()))
 
 
 @dataclass(frozen=True)
@@ -108,7 +113,8 @@ def mix(sizes: DataFrame, targets: list[Target], total_tokens: int | None = None
     names = F.create_map(*(F.lit(x) for k, t in wanted.items() for x in (k, t.source))) if wanted else F.create_map().cast("map<string,string>")
     once = sizes.where("doc_id is not null and n_tokens > 0").withColumn("k", source_key(F.col("source"))).where(F.col("k").isin(list(wanted)) if wanted else F.lit(False))
     once = materialize(once.groupBy("doc_id").agg(F.min(F.struct("k", "n_tokens")).alias("d")).select("doc_id", "d.k", "d.n_tokens"), "sized")
-    have = {r.k: r.n for r in once.groupBy("k").agg(F.sum("n_tokens").alias("n")).collect()}  # one row per target at most
+    held = once.groupBy("k").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("docs")).collect()  # one row per target at most
+    have, docs_of = {r.k: r.n for r in held}, {r.k: r.docs for r in held}
     there = {k: t for k, t in wanted.items() if have.get(k)}
     whole = sum(t.share for t in there.values())
     there = {k: Target(t.source, t.share / whole, t.max_repeats) for k, t in there.items()}
@@ -122,13 +128,15 @@ def mix(sizes: DataFrame, targets: list[Target], total_tokens: int | None = None
         value = lambda f, kind: F.create_map(*(F.lit(x) for k, t in there.items() for x in (k, f(k, t))))[F.col("k")].cast(kind)
         demand = value(lambda k, t: t.share * total, "double")
         passes = value(lambda k, t: min(t.max_repeats, int(t.share * total // have[k]) + 1), "int")
-        docs = once.withColumn("o", F.xxhash64("doc_id", F.lit(seed))).withColumn("b", F.pmod(F.shiftright("o", 20), F.lit(BUCKETS)))
+        buckets = buckets_for(sum(docs_of.values()))
+        docs = once.withColumn("o", F.xxhash64("doc_id", F.lit(seed))).withColumn("b", F.pmod(F.shiftright("o", 20), F.lit(buckets)))
         docs = running_before(docs, ["k"], "b", ["o", "doc_id"], "n_tokens", "before")
         copies = docs.withColumn("copy_no", F.explode(F.sequence(F.lit(0), passes - 1)))
         middle = F.col("before") + F.col("copy_no") * value(lambda k, t: have[k], "double") + F.col("n_tokens") / 2
         copies = copies.withColumn("m", middle).where(F.col("m") <= demand)
         copies = copies.withColumn("at", _arrival(plan, F.col("k"), F.col("m") / F.lit(float(total))))
-        copies = copies.select("at", "doc_id", names[F.col("k")].alias("source"), "copy_no", "n_tokens", F.least(F.lit(BUCKETS - 1), F.floor(F.col("at") * BUCKETS)).cast("int").alias("b"), F.lit(1).cast("bigint").alias("one"))
+        slots = buckets_for(sum(docs_of[k] * min(t.max_repeats, int(t.share * total // have[k]) + 1) for k, t in there.items()))
+        copies = copies.select("at", "doc_id", names[F.col("k")].alias("source"), "copy_no", "n_tokens", F.least(F.lit(slots - 1), F.floor(F.col("at") * slots)).cast("int").alias("b"), F.lit(1).cast("bigint").alias("one"))
         mixture = running_before(copies, [], "b", ["at", "source", "copy_no", "doc_id"], "one", "position")
         mixture = mixture.select("position", "at", "doc_id", "source", "copy_no", "n_tokens").repartitionByRange("position").sortWithinPartitions("position")
     mixture = materialize(mixture, "mixture")
