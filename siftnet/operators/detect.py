@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from siftnet.functions import crypto
 from siftnet.functions import domain as D
-from siftnet.functions.net import ip_hex, is_private
-from siftnet.plans.base import EV, Registry, events, last_time
-from siftnet.tables import load
+from siftnet.functions.net import ip_hex, is_private, private_hex, python_hex
+from siftnet.operators.ordered import MOST_ROWS, in_chunks
+from siftnet.plans.base import EV, Registry, deliveries, events, now_us
+from siftnet.session import materialize
+from siftnet.tables import load, pack_hex, unpack_hex
 
 R = Registry()
 
@@ -41,20 +43,20 @@ def sql_rows(values: list[tuple], columns: str) -> str:
 
 @R.query(f"with {EV}, l as (select event_id, domain, {D.label_sql('domain')} as label from ev where domain is not null), s as (select *, {D.entropy_sql('label')} as h, {D.bigram_sql('label')} as b from l) select event_id, label, round(h, 6) as entropy, round(b, 6) as bigram, round(case when strlen(label) < 4 then 0 else 0.6::double * case when strlen(label) < 6 or h < 3.0 then 0 when h > 4.2 then 1 else (h - 3.0::double) / 1.2::double end + 0.4::double * b end, 6) as score from s")
 def dga_scores(spark, sf_dir: str) -> DataFrame:
-    d = events(spark, sf_dir).where("domain is not null").select("event_id", D.dga(F.col("domain")).alias("d"))
+    d = events(spark, sf_dir, named=True).select("event_id", D.dga(F.col("domain")).alias("d"))
     return d.select("event_id", "d.label", F.round("d.entropy", 6).alias("entropy"), F.round("d.bigram", 6).alias("bigram"), F.round("d.score", 6).alias("score"))
 
 
 @R.query(f"with {EV} select event_id, round({D.tunnel_sql('domain')}, 6) as score, round({D.tunnel_sql('domain')}, 6) >= 0.6 as is_tunnel from ev where domain is not null")
 def tunnel_scores(spark, sf_dir: str) -> DataFrame:
-    d = events(spark, sf_dir).where("domain is not null").select("event_id", F.round(D.tunnel(F.col("domain"))["score"], 6).alias("score"))
+    d = events(spark, sf_dir, named=True).select("event_id", F.round(D.tunnel(F.col("domain"))["score"], 6).alias("score"))
     return d.withColumn("is_tunnel", F.col("score") >= D.TUNNEL_THRESHOLD)
 
 
 @R.query()
 def tunnel_signals(spark, sf_dir: str) -> DataFrame:
     """How often each signal of a tunnel occurs."""
-    d = events(spark, sf_dir).where("domain is not null").select(F.explode(D.tunnel(F.col("domain"))["signals"]).alias("signal"))
+    d = events(spark, sf_dir, named=True).select(F.explode(D.tunnel(F.col("domain"))["signals"]).alias("signal"))
     return d.groupBy("signal").agg(F.count("*").alias("n"))
 
 
@@ -72,7 +74,7 @@ def private_reverse(spark, sf_dir: str) -> DataFrame:
 
 @R.query(f"with {EV} select event_id, {crypto.hmac_sql('source_ip', 'siftnet-salt')} as source_hmac, sha256(source_ip) as ip_sha from ev where source_ip is not null")
 def source_hmac(spark, sf_dir: str) -> DataFrame:
-    ev = events(spark, sf_dir).where("source_ip is not null")
+    ev = events(spark, sf_dir, "source_ip is not null")
     return ev.select("event_id", crypto.hmac_sha256(F.col("source_ip"), "siftnet-salt").alias("source_hmac"), F.sha2("source_ip", 256).alias("ip_sha"))
 
 
@@ -83,7 +85,7 @@ select event_id, case when regexp_full_match(ip, '[0-9]+(\.[0-9]+){{3}}') then r
 def address_classes(spark, sf_dir: str) -> DataFrame:
     from siftnet.functions.net import is_gateway
 
-    ev = events(spark, sf_dir).where("resolved_ip is not null")
+    ev = events(spark, sf_dir, "resolved_ip is not null")
     return ev.select("event_id", is_private("resolved_ip").alias("private"), is_gateway(F.trim("resolved_ip")).alias("gateway"))
 
 
@@ -96,15 +98,30 @@ def beacon_score(cv: Column) -> Column:
     return F.when(cv < 0.05, 1.0).when(cv < CV_THRESHOLD, 0.5 + 0.5 * (CV_THRESHOLD - cv) / (CV_THRESHOLD - 0.05)).when(cv < 0.30, 0.1 + 0.4 * (0.30 - cv) / (0.30 - CV_THRESHOLD)).otherwise(0.0)
 
 
-def beacons(ev: DataFrame) -> DataFrame:
-    """Adds ``samples``, ``mean_s``, ``cv`` and ``beacon`` of the last 32 events of a source and name, as of every event in the order of time and id."""
-    w = Window.partitionBy("source_hash", "domain").orderBy("t_us", "event_id")
-    e = ev.withColumn("gap_s", (F.col("t_us") - F.lag("t_us").over(w)) / 1e6)
+def beacons(ev: DataFrame, chunk_us: int = 86_400_000_000, most: int = MOST_ROWS, counted: DataFrame | None = None) -> DataFrame:
+    """Adds ``samples``, ``mean_s``, ``cv`` and ``beacon`` of the last 32 events of a source and name, as of every event in the order of time and id.
+
+    A key of more than ``most`` events is divided into chunks of time (``counted`` may
+    be rows that are cheaper to count). Of each chunk the last 31 times go on: those
+    of the up to 31 chunks before (each has one event at least) are all that a chunk's
+    first events need beside their own.
+    """
+    key = ["source_hash", "domain", "__chunk"]
+    e, some = in_chunks(ev, key[:2], "t_us", chunk_us, most, counted)
+    both = e.withColumn("__own", F.lit(True))
+    if some:
+        newest = Window.partitionBy(*key).orderBy(F.desc("t_us"), F.desc("event_id"))
+        tails = e.where("__chunk <> 0").select(*key, "t_us", F.row_number().over(newest).alias("__r")).where(f"__r < {WINDOW}").groupBy(*key).agg(F.sort_array(F.collect_list("t_us")).alias("ts"))
+        before = F.flatten(F.collect_list("ts").over(Window.partitionBy(*key[:2]).orderBy("__chunk").rowsBetween(-(WINDOW - 1), -1)))
+        halo = tails.select(*key, before.alias("ts")).select(*key, F.explode(F.slice("ts", F.greatest(F.size("ts") - (WINDOW - 2), F.lit(1)), WINDOW - 1)).alias("t_us"))
+        both = both.unionByName(halo.withColumn("__own", F.lit(False)), allowMissingColumns=True)
+    w = Window.partitionBy(*key).orderBy("t_us", "__own", "event_id")
+    both = both.withColumn("__gap", (F.col("t_us") - F.lag("t_us").over(w)) / 1e6)
     gaps = w.rowsBetween(-(WINDOW - 2), 0)
-    e = e.withColumns({"samples": F.count("*").over(w.rowsBetween(-(WINDOW - 1), 0)), "mean_s": F.avg("gap_s").over(gaps), "sd_s": F.stddev_pop("gap_s").over(gaps)})
-    cv = F.when((F.col("samples") >= LEAST_SAMPLES) & (F.col("mean_s") >= 1.0), F.round(F.col("sd_s") / F.col("mean_s"), 9))
-    e = e.withColumn("cv", cv)
-    return e.withColumn("beacon", F.when(F.col("cv").isNotNull(), beacon_score(F.col("cv"))).otherwise(0.0)).drop("gap_s", "sd_s")
+    both = both.withColumns({"samples": F.count("*").over(w.rowsBetween(-(WINDOW - 1), 0)), "mean_s": F.avg("__gap").over(gaps), "__sd": F.stddev_pop("__gap").over(gaps)}).where("__own")
+    cv = F.when((F.col("samples") >= LEAST_SAMPLES) & (F.col("mean_s") >= 1.0), F.round(F.col("__sd") / F.col("mean_s"), 9))
+    out = both.withColumn("cv", cv)
+    return out.withColumn("beacon", F.when(F.col("cv").isNotNull(), beacon_score(F.col("cv"))).otherwise(0.0)).drop("__chunk", "__own", "__gap", "__sd")
 
 
 _BEACON_SQL = f"""{EV}, g as (select event_id, source_hash, domain, t_us, (t_us - lag(t_us) over w) / 1e6::double as gap_s, row_number() over w as rn from ev where domain is not null and source_hash is not null window w as (partition by source_hash, domain order by t_us, event_id)),
@@ -114,8 +131,9 @@ _BEACON_SQL = f"""{EV}, g as (select event_id, source_hash, domain, t_us, (t_us
 
 @R.query(f"with {_BEACON_SQL} select event_id, samples, round(cv, 6) as cv, round(case when cv is null then 0 when cv < 0.05 then 1.0::double when cv < 0.15 then 0.5::double + 0.5::double * (0.15::double - cv) / (0.15::double - 0.05::double) when cv < 0.30 then 0.1::double + 0.4::double * (0.30::double - cv) / (0.30::double - 0.15::double) else 0 end, 5) as score from cvs where cv < 0.3 or samples < 6")
 def beacon_scores(spark, sf_dir: str) -> DataFrame:
-    b = beacons(events(spark, sf_dir).where("domain is not null and source_hash is not null").select("event_id", "source_hash", "domain", "t_us"))
-    return b.where("cv < 0.3 or samples < 6").select("event_id", "samples", F.round("cv", 6).alias("cv"), F.round("beacon", 5).alias("score"))
+    slim = lambda e: e.select(pack_hex("event_id").alias("event_id"), pack_hex("source_hash").alias("source_hash"), "domain", "t_us")
+    b = beacons(slim(events(spark, sf_dir, "source_hash is not null", named=True)), counted=slim(deliveries(spark, sf_dir, "source_hash is not null", named=True)))
+    return b.where("cv < 0.3 or samples < 6").select(unpack_hex("event_id").alias("event_id"), "samples", F.round("cv", 6).alias("cv"), F.round("beacon", 5).alias("score"))
 
 
 # --- rebinding ---------------------------------------------------------------------------------------------------------------------------
@@ -124,9 +142,11 @@ def beacon_scores(spark, sf_dir: str) -> DataFrame:
 def rebindings(ev: DataFrame) -> DataFrame:
     """For each name, its first answer that is private, if the answers before it were public: ``domain``, ``event_id``, ``private_ip``, ``public_ip``.
 
+    ``ip_h``, if the events have it, is their answer as ``ip_hex`` gives it.
     Aggregates instead of ordered windows: a name of any size costs its partial sums.
     """
-    a = ev.where("domain is not null and resolved_ip is not null").select("domain", "t_us", "event_id", F.col("resolved_ip").alias("ip"), is_private("resolved_ip").alias("private"))
+    private = private_hex(F.col("ip_h")) if "ip_h" in ev.columns else is_private("resolved_ip")
+    a = ev.where("domain is not null and resolved_ip is not null").select("domain", "t_us", "event_id", F.col("resolved_ip").alias("ip"), private.alias("private"))
     first = a.where("private").groupBy("domain").agg(F.min(F.struct("t_us", "event_id", "ip")).alias("first"))
     before = a.where("not private").join(first, "domain").where(F.struct("t_us", "event_id") < F.struct("first.t_us", "first.event_id"))
     last = before.groupBy("domain").agg(F.max(F.struct("t_us", "event_id", "ip")).alias("last"), F.first("first").alias("first"))
@@ -144,7 +164,7 @@ _REBIND_SQL = EV + f""", a as (select domain, t_us, event_id, resolved_ip as ip,
 
 @R.query(f"with {_REBIND_SQL} select * from rb")
 def rebinding_alerts(spark, sf_dir: str) -> DataFrame:
-    return rebindings(events(spark, sf_dir))
+    return rebindings(events(spark, sf_dir, "resolved_ip is not null", named=True))
 
 
 # --- bypass of the resolver --------------------------------------------------------------------------------------------------------------
@@ -169,14 +189,14 @@ def suffix_match(df: DataFrame, name: str, table: DataFrame, key: str, value: st
  select event_id, provider from m where rn = 1""")
 def bypass_names(spark, sf_dir: str) -> DataFrame:
     """Questions for names of encrypted-DNS providers."""
-    ev = events(spark, sf_dir).where("domain is not null").select("event_id", "domain")
+    ev = events(spark, sf_dir, named=True).select("event_id", "domain")
     return suffix_match(ev, "domain", rows(ev, [*ENCRYPTED_DNS.items(), *SAMPLE_PROVIDERS.items()], "suffix string, provider string"), "suffix", "provider").where("provider is not null").select("event_id", "provider")
 
 
 @R.query(f"with {EV}, p as (select * from {sql_rows([(k, v) for k, v in PUBLIC_RESOLVERS.items() if ':' not in k] + [(k, 'Sample') for k in SAMPLE_RESOLVERS], 'ip, provider')}) select event_id, provider from ev join p on regexp_replace(lower(trim(resolved_ip)), '^::ffff:', '') = p.ip")
 def bypass_resolvers(spark, sf_dir: str) -> DataFrame:
     """Answers that are addresses of public resolvers."""
-    ev = events(spark, sf_dir).where("resolved_ip is not null").select("event_id", ip_hex("resolved_ip").alias("h"))
+    ev = events(spark, sf_dir, "resolved_ip is not null").select("event_id", ip_hex("resolved_ip").alias("h"))
     known = rows(ev, [*PUBLIC_RESOLVERS.items(), *((k, "Sample") for k in SAMPLE_RESOLVERS)], "ip string, provider string")
     return ev.join(known.select(ip_hex("ip").alias("h"), "provider"), "h").select("event_id", "provider")
 
@@ -189,7 +209,7 @@ def indicators(spark, sf_dir: str) -> DataFrame:
     f = load(spark, sf_dir, "feodo_entries").where("ip_address is not null")
     ips = f.groupBy(F.lower(F.trim("ip_address")).alias("indicator")).agg(F.max("malware").alias("malware"), F.max(F.col("last_online").try_cast("date").cast("timestamp")).alias("seen"))
     ips = ips.select("indicator", F.lit("ipv4").alias("type"), F.lit("c2feed").alias("source"), F.lit(0.95).alias("confidence"), F.lit(72).alias("ttl_hours"), F.coalesce(F.unix_micros("seen"), F.lit(0)).alias("last_us"), F.coalesce(F.lower("malware"), F.lit("")).alias("family"))
-    bad = events(spark, sf_dir).where("domain is not null and array_contains(tags, 'known_bad')").groupBy("domain").agg(F.max("t_us").alias("last_us"), F.count("*").alias("n"))
+    bad = events(spark, sf_dir, "array_contains(tags, 'known_bad')", named=True).groupBy("domain").agg(F.max("t_us").alias("last_us"), F.count("*").alias("n"))
     name = lambda source, conf, ttl, least: bad.where(F.col("n") >= least).select(F.col("domain").alias("indicator"), F.lit("domain").alias("type"), F.lit(source).alias("source"), F.lit(conf).alias("confidence"), F.lit(ttl).alias("ttl_hours"), "last_us", F.lit("").alias("family"))
     return ips.unionByName(name("listA", 0.85, 168, 1)).unionByName(name("listB", 0.9, 48, 3))
 
@@ -226,9 +246,9 @@ _INTEL_SQL = f"""{EV}, {INDICATORS}, best as (select * from (select *, row_numbe
 
 @R.query(f"with {_INTEL_SQL} select e.event_id, d.source as domain_source, round(d.confidence, 6) as domain_confidence, i.source as ip_source, round(i.confidence, 6) as ip_confidence from ev e left join eff d on e.domain = d.indicator left join eff i on lower(trim(e.resolved_ip)) = i.indicator where d.source is not null or i.source is not null")
 def intel_join(spark, sf_dir: str) -> DataFrame:
-    ev = events(spark, sf_dir).select("event_id", "domain", F.lower(F.trim("resolved_ip")).alias("ip"), "t_us")
-    best = best_indicator(indicators(spark, sf_dir))
-    best = best.withColumn("c", effective(F.col("confidence"), F.col("last_us"), F.col("ttl_hours"), last_time(ev)))
+    """Events whose name or answer is an indicator. The indicators are gathered and written once; an event without either key is no candidate for any join."""
+    best = materialize(best_indicator(indicators(spark, sf_dir)).withColumn("c", effective(F.col("confidence"), F.col("last_us"), F.col("ttl_hours"), now_us(spark, sf_dir))), "indicators")
+    ev = events(spark, sf_dir, "domain is not null or resolved_ip is not null").select("event_id", "domain", F.lower(F.trim("resolved_ip")).alias("ip"))
     side = lambda key, p: best.select(F.col("indicator").alias(key), F.col("source").alias(f"{p}_source"), F.round("c", 6).alias(f"{p}_confidence"))
     return ev.join(side("domain", "domain"), "domain", "left").join(side("ip", "ip"), "ip", "left").where("domain_source is not null or ip_source is not null").select("event_id", "domain_source", "domain_confidence", "ip_source", "ip_confidence")
 
@@ -248,20 +268,29 @@ def let_size(s: Column, some: Column, none: Column) -> Column:
 
 
 def enrich(ev: DataFrame, ind: DataFrame, as_of: int, providers: list[tuple[str, str]] | None = None) -> DataFrame:
-    """All detections of every event, joined to one score, tags, a description and metadata: adds ``score``, ``new_tags``, ``description``, ``detections``."""
+    """All detections of every event, joined to one score, tags, a description and metadata: ``event_id``, ``score``, ``new_tags``, ``description``, ``detections``.
+
+    The events are written once, each address in its canonical form. What depends on
+    the name alone (its scores, indicator, provider and rebinding) is found once per
+    distinct name and joined by name; events without a name take no part in that.
+    """
     d = F.col("domain")
-    named = d.isNotNull() & ~D.is_private_reverse(d)
-    e = ev.withColumn("named", F.coalesce(named, F.lit(False)))
-    hist = beacons(e.where("named and source_hash is not null").select("event_id", "source_hash", "domain", "t_us")).where("beacon > 0").select("event_id", "beacon", "cv", "mean_s", "samples")
-    reb = rebindings(ev).select("event_id", "private_ip", "public_ip")
-    res = rows(ev, list(PUBLIC_RESOLVERS.items()), "ip string, provider string").select(ip_hex("ip").alias("h"), F.col("provider").alias("resolver"))
-    best = best_indicator(ind).withColumn("c", effective(F.col("confidence"), F.col("last_us"), F.col("ttl_hours"), as_of))
-    e = e.join(hist, "event_id", "left").join(reb, "event_id", "left")
-    e = e.withColumn("h", ip_hex("resolved_ip")).join(res, "h", "left").drop("h")
-    e = suffix_match(e, "domain", rows(ev, providers or list(ENCRYPTED_DNS.items()), "suffix string, provider string"), "suffix", "provider")
-    e = e.join(best.select(F.col("indicator").alias("domain"), F.col("c").alias("d_conf"), F.col("source").alias("d_source"), F.col("family").alias("d_family")), "domain", "left")
-    e = e.join(best.select(F.col("indicator").alias("__ip"), F.col("c").alias("i_conf")), F.lower(F.trim("resolved_ip")) == F.col("__ip"), "left").drop("__ip")
-    e = e.withColumn("dga", F.when(F.col("named"), D.dga(d))).withColumn("tun", F.when(F.col("named"), D.tunnel(d)))
+    e = materialize(ev.select(pack_hex("event_id").alias("event_id"), "t_us", pack_hex("source_hash").alias("source_hash"), "domain", "resolved_ip", ip_hex("resolved_ip").alias("ip_h"), "query_type", "anomaly_score", "tags"), "events")
+    best = materialize(best_indicator(ind).withColumn("c", effective(F.col("confidence"), F.col("last_us"), F.col("ttl_hours"), as_of)), "indicators")
+    names = e.where(d.isNotNull()).select("domain").distinct().withColumn("named", ~D.is_private_reverse(d))
+    names = names.withColumns({"dga": F.when(F.col("named"), D.dga(d)), "tun": F.when(F.col("named"), D.tunnel(d))})
+    names = suffix_match(names, "domain", rows(ev, providers or list(ENCRYPTED_DNS.items()), "suffix string, provider string"), "suffix", "provider")
+    names = names.join(best.select(F.col("indicator").alias("domain"), F.col("c").alias("d_conf"), F.col("source").alias("d_source"), F.col("family").alias("d_family")), "domain", "left")
+    names = names.join(rebindings(e).select("domain", F.col("event_id").alias("reb_id"), "private_ip", "public_ip"), "domain", "left")
+    # the answers that are indicators are few and written once; the planner joins them by their measured size
+    answer = F.lower(F.trim("resolved_ip"))
+    bad = materialize(e.where("resolved_ip is not null").select(answer.alias("__ip")).distinct().join(best.select(F.col("indicator").alias("__ip"), F.col("c").alias("i_conf")), "__ip"), "answers")
+    e = e.join(bad, answer == F.col("__ip"), "left").drop("__ip")
+    e = e.withColumn("resolver", F.create_map(*(F.lit(x) for k, v in PUBLIC_RESOLVERS.items() for x in (python_hex(k), v)))[F.col("ip_h")]).drop("resolved_ip", "ip_h")
+    timed = beacons(e.where("domain is not null and source_hash is not null")).unionByName(e.where("domain is not null and source_hash is null"), allowMissingColumns=True)
+    e = timed.join(names, "domain").unionByName(e.where(d.isNull()), allowMissingColumns=True)
+    lone = F.col("reb_id") == F.col("event_id")
+    e = e.withColumns({c: F.when(lone, F.col(c)) for c in ("private_ip", "public_ip")} | {c: F.when(F.col("named") & (F.col("beacon") > 0), F.col(c)) for c in ("beacon", "cv", "mean_s", "samples")})
     above = lambda c: F.when(c > 0.3, c)
     txt = F.when(F.upper("query_type").isin("TXT", "NULL") & (F.col("tun.score") > 0.2), 0.3)
     bypass = F.when(F.col("resolver").isNotNull() & d.isNotNull(), 0.6).when(F.col("provider").isNotNull(), 0.5)
@@ -284,7 +313,7 @@ def enrich(ev: DataFrame, ind: DataFrame, as_of: int, providers: list[tuple[str,
     ))
     total = composite(scores, F.col("anomaly_score"))
     total = F.greatest(total, F.coalesce("i_conf", F.lit(0.0)))
-    return e.withColumns({"score": total, "new_tags": F.array_distinct(F.concat(F.coalesce("tags", F.array().cast("array<string>")), tags)), "description": F.nullif(said, F.lit("")), "detections": F.nullif(meta, F.lit("{}"))})
+    return e.select(unpack_hex("event_id").alias("event_id"), *(c.alias(k) for k, c in {"score": total, "new_tags": F.array_distinct(F.concat(F.coalesce("tags", F.array().cast("array<string>")), tags)), "description": F.nullif(said, F.lit("")), "detections": F.nullif(meta, F.lit("{}"))}.items()))
 
 
 def _composite_sql() -> str:
@@ -307,16 +336,14 @@ def _composite_sql() -> str:
 @R.query(_composite_sql())
 def composite_enrich(spark, sf_dir: str) -> DataFrame:
     """The composite score of every event."""
-    ev = events(spark, sf_dir)
-    e = enrich(ev, indicators(spark, sf_dir), last_time(ev), [*ENCRYPTED_DNS.items(), *SAMPLE_PROVIDERS.items()])
+    e = enrich(events(spark, sf_dir), indicators(spark, sf_dir), now_us(spark, sf_dir), [*ENCRYPTED_DNS.items(), *SAMPLE_PROVIDERS.items()])
     return e.select("event_id", F.round("score", 5).alias("score"))
 
 
 @R.query()
 def enriched_events(spark, sf_dir: str) -> DataFrame:
     """Every event with its score, tags, description and metadata."""
-    ev = events(spark, sf_dir)
-    return enrich(ev, indicators(spark, sf_dir), last_time(ev)).select("event_id", "score", F.array_join("new_tags", ";").alias("tags"), "description", "detections")
+    return enrich(events(spark, sf_dir), indicators(spark, sf_dir), now_us(spark, sf_dir)).select("event_id", "score", F.array_join("new_tags", ";").alias("tags"), "description", "detections")
 
 
 QUERIES, SQL = R.QUERIES, R.SQL
