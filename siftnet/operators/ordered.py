@@ -18,6 +18,7 @@ from siftnet.session import materialize
 HOUR = 3_600_000_000
 #: Rows of a key that one task may order.
 MOST_ROWS = 1_000_000
+HASHES = 8192
 
 
 def _same(keys: list[str]) -> Column:
@@ -27,14 +28,21 @@ def _same(keys: list[str]) -> Column:
 def in_chunks(df: DataFrame, keys: list[str], t: str, chunk_us: int = HOUR, most: int = MOST_ROWS, counted: DataFrame | None = None) -> tuple[DataFrame, bool]:
     """Adds ``__chunk``: 0 for keys of at most ``most`` rows, chunks of time for others; and tells whether there are others.
 
-    ``counted`` may be rows that are cheaper to count than ``df``, such as ones with
-    repetitions. There are few hot keys, so that the planner broadcasts them by
-    their measured size.
+    Rows are counted by a hash of their key first, which a few thousand counters do;
+    only keys of hashes that are too frequent are counted themselves. ``counted`` may
+    be rows that are cheaper to count than ``df``, such as ones with repetitions.
+    There are few hot keys, so that the planner broadcasts them by their measured
+    size.
     """
-    hot = (counted if counted is not None else df).groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > most)
+    rows, cold = counted if counted is not None else df, df.withColumn("__chunk", F.lit(0).cast("bigint"))
+    mark = F.pmod(F.xxhash64(*keys), F.lit(HASHES))
+    heavy = [r.b for r in rows.groupBy(mark.alias("b")).agg(F.count("*").alias("__n")).where(F.col("__n") > most).collect()]  # at most HASHES numbers
+    if not heavy:
+        return cold, False
+    hot = rows.where(mark.isin(heavy) if len(heavy) <= 1000 else F.lit(True)).groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > most)
     hot = materialize(hot.select(*(F.col(k).alias(f"__e_{k}") for k in keys), F.lit(True).alias("__hot")), "hot")
     if hot.isEmpty():
-        return df.withColumn("__chunk", F.lit(0).cast("bigint")), False
+        return cold, False
     chunk = F.when(F.col("__hot"), (F.col(t) - F.pmod(F.col(t), F.lit(chunk_us))) * 2 + 1).otherwise(F.lit(0))  # odd, so never 0
     return df.join(hot, _same(keys), "left").withColumn("__chunk", chunk).drop("__hot", *(f"__e_{k}" for k in keys)), True
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftnet.plans.base import EV, HOSTS, Registry, events, hosts, last_time
+from siftnet.operators.ordered import order_statistics, quantile, quantile_ranks, with_previous
+from siftnet.plans.base import EV, HOSTS, Registry, deliveries, events, hosts, now_us
+from siftnet.session import materialize
+from siftnet.tables import pack_hex
 
 R = Registry()
 HOUR, DAY = 3_600_000_000, 86_400_000_000
@@ -30,7 +35,7 @@ HOURLY = "hr as (select domain, t_us - t_us % 3600000000 as h_us, count(*) as n,
 def spike_trailing(spark, sf_dir: str) -> DataFrame:
     """Hours of all time in which a name is asked for more than three times its mean over the 24 rows before, where none counts as 1; the top 100. Those of now are ``spike_emerging``."""
     w = Window.partitionBy("domain").orderBy("h_us").rowsBetween(-24, -1)
-    s = hourly(events(spark, sf_dir)).withColumn("spike", F.round(F.col("n") / F.greatest(F.coalesce(F.avg("n").over(w), F.lit(0.0)), F.lit(1.0)), 6))
+    s = hourly(events(spark, sf_dir, named=True)).withColumn("spike", F.round(F.col("n") / F.greatest(F.coalesce(F.avg("n").over(w), F.lit(0.0)), F.lit(1.0)), 6))
     return s.where("nodes >= 2 and spike > 3").orderBy(F.desc("spike"), F.desc("n"), "domain", "h_us").limit(100).select("domain", "h_us", "n", "spike")
 
 
@@ -46,25 +51,37 @@ def emerging(hours: DataFrame, now: int) -> DataFrame:
  select domain, h_us, n, round(n / greatest(mean, 1), 6) as spike from w where h_us >= now - 7200000000 and mean > 0 and nodes >= 2 and n / greatest(mean, 1) > 3 order by spike desc, n desc, domain, h_us limit 100""")
 def spike_emerging(spark, sf_dir: str) -> DataFrame:
     """The spikes of the last two hours, as surveyed (WIN-03)."""
-    ev = events(spark, sf_dir)
-    now = last_time(ev)
-    return emerging(hourly(ev.where(F.col("t_us") >= now - now % HOUR - 2 * DAY)), now)
+    now = now_us(spark, sf_dir)
+    return emerging(hourly(events(spark, sf_dir, named=True, from_us=now - now % HOUR - 2 * DAY)), now)
 
 
 @R.query(f"""with {EV}, m as (select max(t_us) as now from ev), c as (select domain, count(*) filter (t_us >= now - 21600000000) as recent, count(*) filter (t_us >= now - 604800000000 and t_us < now - 21600000000) / 28.0::double as base from ev, m where domain is not null group by domain)
  select domain, recent, round(base, 6) as base, round(recent / greatest(base, 1), 6) as ratio from c where recent >= 5 and recent / greatest(base, 1) > 2 order by ratio desc, domain limit 500""")
 def spike_6h_7d(spark, sf_dir: str) -> DataFrame:
     """Names whose last six hours stand out against a 28th of the week before."""
-    ev = events(spark, sf_dir).where("domain is not null")
-    now = last_time(events(spark, sf_dir))
-    c = ev.where(F.col("t_us") >= now - 7 * DAY).groupBy("domain").agg(F.count_if(F.col("t_us") >= now - 6 * HOUR).alias("recent"), (F.count_if(F.col("t_us") < now - 6 * HOUR) / 28.0).alias("base"))
+    now = now_us(spark, sf_dir)
+    c = events(spark, sf_dir, named=True, from_us=now - 7 * DAY).groupBy("domain").agg(F.count_if(F.col("t_us") >= now - 6 * HOUR).alias("recent"), (F.count_if(F.col("t_us") < now - 6 * HOUR) / 28.0).alias("base"))
     c = c.withColumn("ratio", F.round(F.col("recent") / F.greatest(F.col("base"), F.lit(1.0)), 6))
     return c.where("recent >= 5 and ratio > 2").orderBy(F.desc("ratio"), "domain").limit(500).select("domain", "recent", F.round("base", 6).alias("base"), "ratio")
 
 
-def gaps(ev: DataFrame, *keys: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy("t_us", "event_id")
-    return ev.select(*keys, ((F.col("t_us") - F.lag("t_us").over(w)) / 1e6).alias("gap_s")).where("gap_s is not null")
+def gaps(spark, sf_dir: str, *keys: str, **which) -> DataFrame:
+    """Seconds between neighbouring events with a domain of a key, written once."""
+    slim = lambda e: e.select(*keys, "t_us", pack_hex("event_id").alias("event_id"))
+    prev = with_previous(slim(events(spark, sf_dir, named=True, **which)), list(keys), ["t_us", "event_id"], ["t_us"], counted=slim(deliveries(spark, sf_dir, named=True, **which)))
+    return materialize(prev.select(*keys, ((F.col("t_us") - F.col("prev.t_us")) / 1e6).alias("gap_s")).where("gap_s is not null"), "gaps")
+
+
+QUARTILES = {"q1": 0.25, "q2": 0.5, "q3": 0.75}
+
+
+def skew_and_spread(g: DataFrame, key: str = "domain", least: int = 10) -> DataFrame:
+    """``key``, ``n``, ``bowley`` (skewness by quartiles) and ``mad`` (the upper median deviation from the median) of the intervals of each key: exact order statistics, in two passes over the counted intervals."""
+    q = order_statistics(g, key, "gap_s", quantile_ranks(QUARTILES), least).select(key, *(quantile(k, v).alias(k) for k, v in QUARTILES.items()))
+    dev = g.join(q.select(key, "q2"), key).select(key, F.abs(F.col("gap_s") - F.col("q2")).alias("dev"))
+    mad = order_statistics(dev, key, "dev", {"mad": F.expr("n div 2")})
+    b = F.when(F.col("q3") > F.col("q1"), (F.col("q3") + F.col("q1") - 2 * F.col("q2")) / (F.col("q3") - F.col("q1"))).otherwise(0.0)
+    return q.join(mad, key).select(key, "n", b.alias("bowley"), "mad")
 
 
 GAPS = "gp as (select domain, (t_us - lag(t_us) over (partition by domain order by t_us, event_id)) / 1e6::double as gap_s from ev where domain is not null)"
@@ -73,7 +90,7 @@ GAPS = "gp as (select domain, (t_us - lag(t_us) over (partition by domain order
 @R.query(f"with {EV}, {GAPS} select domain, count(*) as n, round(avg(gap_s) / greatest(stddev_samp(gap_s), 0.01), 5) as regularity from gp where gap_s is not null group by domain having count(*) > 20 and avg(gap_s) / greatest(stddev_samp(gap_s), 0.01) > 0.9")
 def interval_regularity(spark, sf_dir: str) -> DataFrame:
     """Names that are asked for at regular intervals, by mean over deviation."""
-    g = gaps(events(spark, sf_dir).where("domain is not null"), "domain").groupBy("domain").agg(F.count("*").alias("n"), (F.avg("gap_s") / F.greatest(F.stddev_samp("gap_s"), F.lit(0.01))).alias("r"))
+    g = gaps(spark, sf_dir, "domain").groupBy("domain").agg(F.count("*").alias("n"), (F.avg("gap_s") / F.greatest(F.stddev_samp("gap_s"), F.lit(0.01))).alias("r"))
     return g.where("n > 20 and r > 0.9").select("domain", "n", F.round("r", 5).alias("regularity"))
 
 
@@ -81,17 +98,9 @@ def interval_regularity(spark, sf_dir: str) -> DataFrame:
  d as (select domain, n, q, list_sort(list_transform(xs, lambda x: abs(x - q[2]))) as dev from q)
  select domain, n, round(case when q[3] > q[1] then (q[3] + q[1] - 2 * q[2]) / (q[3] - q[1]) else 0 end, 5) as bowley, round(dev[len(dev) // 2 + 1], 5) as mad from d""")
 def bowley_mad(spark, sf_dir: str) -> DataFrame:
-    """Skewness by quartiles, and the median deviation from the median, of the intervals of a name.
-
-    Both are exact order statistics; the deviations are taken in a second pass
-    over the intervals, so that no list of a name's intervals is held in a row.
-    """
-    g = gaps(events(spark, sf_dir).where("domain is not null"), "domain")
-    q = g.groupBy("domain").agg(F.count("*").alias("n"), F.percentile("gap_s", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).where("n >= 10")
-    w = Window.partitionBy("domain").orderBy("dev")
-    dev = g.join(q, "domain").withColumn("dev", F.abs(F.col("gap_s") - F.col("q")[1])).withColumn("rn", F.row_number().over(w)).where(F.expr("rn = n div 2 + 1"))
-    b = F.when(F.col("q")[2] > F.col("q")[0], (F.col("q")[2] + F.col("q")[0] - 2 * F.col("q")[1]) / (F.col("q")[2] - F.col("q")[0])).otherwise(0.0)
-    return dev.select("domain", "n", F.round(b, 5).alias("bowley"), F.round("dev", 5).alias("mad"))
+    """Skewness by quartiles, and the median deviation from the median, of the intervals of a name."""
+    x = skew_and_spread(gaps(spark, sf_dir, "domain"))
+    return x.select("domain", "n", F.round("bowley", 5).alias("bowley"), F.round("mad", 5).alias("mad"))
 
 
 def beacon_v2(bowley: Column, mad: Column, n: Column, span_h: Column) -> Column:
@@ -104,21 +113,19 @@ def beacon_v2(bowley: Column, mad: Column, n: Column, span_h: Column) -> Column:
  d as (select domain, n, q, span_h, list_sort(list_transform(xs, lambda x: abs(x - q[2]))) as dev from q)
  select domain, round(0.3::double * (1 - least(1, abs(case when q[3] > q[1] then (q[3] + q[1] - 2 * q[2]) / (q[3] - q[1]) else 0 end))) + 0.3::double * (1 - least(1, dev[len(dev) // 2 + 1] / 30.0::double)) + 0.2::double * least(1, log10(n + 1) / 3.0::double) + 0.2::double * least(1, span_h / 24.0::double), 5) as score from d""")
 def beacon_scores_v2(spark, sf_dir: str) -> DataFrame:
-    g = gaps(events(spark, sf_dir).where("domain is not null"), "domain")
-    q = g.groupBy("domain").agg(F.count("*").alias("n"), F.percentile("gap_s", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), (F.sum("gap_s") / 3600).alias("span_h")).where("n >= 10")
-    w = Window.partitionBy("domain").orderBy("dev")
-    dev = g.join(q, "domain").withColumn("dev", F.abs(F.col("gap_s") - F.col("q")[1])).withColumn("rn", F.row_number().over(w)).where(F.expr("rn = n div 2 + 1"))
-    b = F.when(F.col("q")[2] > F.col("q")[0], (F.col("q")[2] + F.col("q")[0] - 2 * F.col("q")[1]) / (F.col("q")[2] - F.col("q")[0])).otherwise(0.0)
-    return dev.select("domain", F.round(beacon_v2(b, F.col("dev"), F.col("n"), F.col("span_h")), 5).alias("score"))
+    """The later design by name over all sources; ``beacon_pairs_v2`` has it as surveyed (SCA-27)."""
+    g = gaps(spark, sf_dir, "domain")
+    span = g.groupBy("domain").agg((F.sum("gap_s") / 3600).alias("span_h"))
+    x = skew_and_spread(g).join(span, "domain")
+    return x.select("domain", F.round(beacon_v2(F.col("bowley"), F.col("mad"), F.col("n"), F.col("span_h")), 5).alias("score"))
 
 
 @R.query(f"""with {EV}, {HOURLY}, m as (select max(t_us) - max(t_us) % 3600000000 as last from ev), top as (select domain from hr group by domain order by sum(n) desc, domain limit 20), g as (select domain, last - i * 3600000000 as h_us from top, m, range(24) t(i))
  select g.domain, string_agg(coalesce(n, 0)::varchar, ',' order by g.h_us) as line from g left join hr using (domain, h_us) group by g.domain""")
 def sparklines(spark, sf_dir: str) -> DataFrame:
     """The last 24 hours of the 20 most frequent names as a line of counts."""
-    ev = events(spark, sf_dir)
-    now = last_time(ev)
-    hr = hourly(ev)
+    now = now_us(spark, sf_dir)
+    hr = hourly(events(spark, sf_dir, named=True))
     top = hr.groupBy("domain").agg(F.sum("n").alias("s")).orderBy(F.desc("s"), "domain").limit(20).select("domain")
     grid = top.select("domain", F.explode(F.sequence(F.lit(now - now % HOUR - 23 * HOUR), F.lit(now - now % HOUR), F.lit(HOUR))).alias("h_us"))
     full = grid.join(hr.select("domain", "h_us", "n"), ["domain", "h_us"], "left").na.fill(0)
@@ -154,7 +161,7 @@ def port_changes(spark, sf_dir: str) -> DataFrame:
     """Ports that the device at an address opened or closed since its scan before."""
     h = hosts(spark, sf_dir).where("ip is not null").groupBy("ip", "report_id", "t_us").agg(F.min(F.struct("pos", "ports"))["ports"].alias("ports"))
     h = h.withColumn("ports", F.array_sort(F.array_distinct(F.filter(F.coalesce("ports", F.array().cast("array<int>")), lambda x: x.isNotNull()))))
-    h = h.withColumn("old", F.lag("ports").over(Window.partitionBy("ip").orderBy("t_us", "report_id"))).where("old is not null and old <> ports")
+    h = with_previous(h, ["ip"], ["t_us", "report_id"], ["ports"], DAY).withColumn("old", F.col("prev.ports")).where("old is not null and old <> ports")
     diff = lambda a, b: F.array_join(F.array_sort(F.array_except(a, b)), ",")
     return h.select("ip", "report_id", diff("ports", "old").alias("opened"), diff("old", "ports").alias("closed"))
 
@@ -163,14 +170,14 @@ def port_changes(spark, sf_dir: str) -> DataFrame:
 def subdomains(spark, sf_dir: str) -> DataFrame:
     """Distinct names below each registered domain."""
     p = F.split("domain", r"\.")
-    return events(spark, sf_dir).where(F.col("domain").isNotNull() & (F.size(p) > 2)).select("domain", F.array_join(F.slice(p, -2, 2), ".").alias("parent")).distinct().groupBy("parent").agg(F.count("*").alias("subdomains"))
+    return events(spark, sf_dir, F.size(p) > 2, named=True).select("domain", F.array_join(F.slice(p, -2, 2), ".").alias("parent")).distinct().groupBy("parent").agg(F.count("*").alias("subdomains"))
 
 
 @R.query()
 def subdomains_sketch(spark, sf_dir: str) -> DataFrame:
     """The same, counted by sketches of fixed size."""
     p = F.split("domain", r"\.")
-    ev = events(spark, sf_dir).where(F.col("domain").isNotNull() & (F.size(p) > 2))
+    ev = events(spark, sf_dir, F.size(p) > 2, named=True)
     return ev.groupBy(F.array_join(F.slice(p, -2, 2), ".").alias("parent")).agg(F.approx_count_distinct("domain", 0.02).alias("subdomains"))
 
 
@@ -179,27 +186,52 @@ def subdomains_sketch(spark, sf_dir: str) -> DataFrame:
 def qtype_mix(spark, sf_dir: str) -> DataFrame:
     """The mix of question types of every registered domain."""
     q = F.upper("query_type")
-    g = events(spark, sf_dir).where("domain is not null").groupBy(F.array_join(F.slice(F.split("domain", r"\."), -2, 2), ".").alias("parent"))
+    g = events(spark, sf_dir, named=True).groupBy(F.array_join(F.slice(F.split("domain", r"\."), -2, 2), ".").alias("parent"))
     return g.agg(F.count("*").alias("n"), F.count_if(q == "A").alias("a"), F.count_if(q == "AAAA").alias("aaaa"), F.count_if(q == "TXT").alias("txt"), F.round(F.count_if(q.isin("TXT", "NULL", "ANY")) / F.count("*"), 6).alias("suspicious"))
 
 
-def _snr(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Peak over mean of the spectrum of counts per step."""
-    b = pdf["b"].to_numpy()
-    x = np.zeros(int(b.max() - b.min()) + 1)
-    x[b - b.min()] = pdf["n"].to_numpy()
-    power = np.abs(np.fft.rfft(x - x.mean())[1:]) ** 2
-    snr = float(power.max() / power.mean()) if len(power) and power.mean() > 0 else 0.0
-    return pd.DataFrame({"domain": [key[0]], "snr": [round(snr, 6)], "score": [round(min(1.0, max(0.0, (snr - 2) / 8)), 6)]})
+SPECTRUM_STEPS = 577
+
+
+def spectrum_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Peak over mean of the spectrum of counts per step, of many names at once: names that span equally many steps are the rows of one matrix."""
+    for batch in batches:
+        lists = batch.column("x")
+        items = lists.flatten()
+        owner = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))
+        step, n = np.asarray(items.field("b")), np.asarray(items.field("n"))
+        lo, hi = np.full(batch.num_rows, np.iinfo(np.int64).max), np.full(batch.num_rows, np.iinfo(np.int64).min)
+        np.minimum.at(lo, owner, step)
+        np.maximum.at(hi, owner, step)
+        width, snr = hi - lo + 1, np.zeros(batch.num_rows)
+        for size in np.unique(width[width >= 2]).tolist():
+            members = np.flatnonzero(width == size)
+            for at in range(0, len(members), 2048):
+                part = members[at : at + 2048]
+                row = np.full(batch.num_rows, -1)
+                row[part] = np.arange(len(part))
+                mine = np.flatnonzero(row[owner] >= 0)
+                m = np.zeros((len(part), size))
+                m[row[owner[mine]], step[mine] - lo[owner[mine]]] = n[mine]
+                power = np.abs(np.fft.rfft(m - m.mean(axis=1, keepdims=True), axis=1)[:, 1:]) ** 2
+                mean = power.mean(axis=1)
+                snr[part] = np.where(mean > 0, power.max(axis=1) / np.where(mean > 0, mean, 1), 0.0)
+        score = np.clip((snr - 2) / 8, 0, 1)
+        yield pa.RecordBatch.from_arrays([batch.column("domain"), pa.array(np.round(snr, 6)), pa.array(np.round(score, 6))], names=["domain", "snr", "score"])
+
+
+def spectrum(counts: DataFrame) -> DataFrame:
+    """``domain``, ``snr``, ``score`` from ``domain``, ``b`` (step), ``n``; a name has ``SPECTRUM_STEPS`` rows at most, whatever the traffic."""
+    lists = counts.groupBy("domain").agg(F.collect_list(F.struct("b", "n")).alias("x"))
+    return lists.mapInArrow(spectrum_scores, "domain string, snr double, score double")
 
 
 @R.query()
 def fft_beacon(spark, sf_dir: str) -> DataFrame:
-    """Periodicity of names by their spectrum over five-minute counts of the last 48 hours: a group has 576 rows at most, whatever the traffic."""
-    ev = events(spark, sf_dir).where("domain is not null")
-    now = last_time(ev)
-    b = ev.where(F.col("t_us") > now - 2 * DAY).groupBy("domain", F.expr("t_us div 300000000").alias("b")).agg(F.count("*").alias("n"))
-    return b.groupBy("domain").applyInPandas(_snr, "domain string, snr double, score double")
+    """Periodicity of names by their spectrum over five-minute counts of the last 48 hours."""
+    now = now_us(spark, sf_dir)
+    b = events(spark, sf_dir, named=True, from_us=now - 2 * DAY + 1).groupBy("domain", F.expr("t_us div 300000000").alias("b")).agg(F.count("*").alias("n"))
+    return spectrum(b)
 
 
 QUERIES, SQL = R.QUERIES, R.SQL

@@ -79,6 +79,18 @@ def test_beacons(spark):
     assert max(r.samples for r in beacons(series(spark, [60 * i for i in range(50)])).collect()) == 32
 
 
+def test_beacons_of_hot_keys(spark):
+    """A key in chunks of time has the same scores as in one piece."""
+    import random
+
+    rnd = random.Random(2)
+    rows = [(k, "d", int(i * 6e7 + rnd.randrange(10**7)), f"{k}{i:03d}") for k, n in (("s", 200), ("t", 5)) for i in range(n)] + [("s", "d", 6 * 10**7, f"tie{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "source_hash string, domain string, t_us bigint, event_id string")
+    get = lambda **x: sorted((r.event_id, r.samples, r.mean_s and round(r.mean_s, 6), r.cv and round(r.cv, 6), round(r.beacon, 6)) for r in beacons(df, **x).collect())
+    whole = get()
+    assert any(r[3] for r in whole) and all(get(most=10, chunk_us=c) == whole for c in (6 * 10**7, 10**9, 10**12))
+
+
 def test_rebinding(spark):
     rows = [("a", 1, "1", "8.8.8.8"), ("a", 2, "2", "9.9.9.9"), ("a", 3, "3", "10.0.0.1"), ("a", 4, "4", "10.0.0.2"), ("b", 1, "5", "10.0.0.1"), ("b", 2, "6", "8.8.8.8"), ("b", 3, "7", "10.0.0.1"), ("c", 1, "8", "8.8.8.8"), ("d", 1, "9", "alias.x"), ("d", 2, "10", "192.168.0.1"), (None, 1, "11", "10.0.0.1")]
     got = rebindings(spark.createDataFrame(rows, "domain string, t_us bigint, event_id string, resolved_ip string")).collect()

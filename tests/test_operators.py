@@ -156,3 +156,36 @@ def test_batch_limits(spark):
     e = ev(spark, [{"event_id": f"{s}{i}", "source_hash": s, "anomaly_score": a, "domain": d} for s, parts in batches.items() for n, a, d in parts for i in range(n)])
     got = {r.source_hash: (r.n, r.verdict, r.factor) for r in validated(e, texts(spark, "domain", ["pop"])).collect()}
     assert got == {"r": (501, "rejected", 0.0), "k": (500, "accepted", 1.0), "f": (101, "flagged", 0.9), "g": (100, "accepted", 1.0), "p": (6, "popular", 0.7), "q": (8, "accepted", 1.0), "b": (101, "flagged", 0.63)}
+
+
+def test_hot_keys_in_chunks(spark):
+    """Order within keys is the same whether a key is one task's or divided into chunks of time."""
+    from siftnet.operators.ordered import numbered, with_previous
+
+    rnd = random.Random(4)
+    rows = [(k, rnd.randrange(500), f"{i:03d}") for k, n in (("hot", 150), ("b", 9), (None, 60)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, t_us bigint, id string")
+    want, last, count = {}, {}, {}
+    for k, t, i in sorted(rows, key=lambda r: r[1:]):
+        count[k] = count.get(k, 0) + 1
+        want[k, i], last[k] = (last.get(k), count[k]), t
+    for most, chunk in ((10**6, 50), (20, 50), (0, 7), (0, 1)):
+        got = {(r.k, r.id): r.prev and r.prev.t_us for r in with_previous(df, ["k"], ["t_us", "id"], ["t_us"], chunk, most).collect()}
+        assert got == {x: v[0] for x, v in want.items()}
+        assert {(r.k, r.id): r.rn for r in numbered(df, ["k"], ["t_us", "id"], chunk, most=most).collect()} == {x: v[1] for x, v in want.items()}
+
+
+def test_order_statistics(spark):
+    import statistics
+
+    from siftnet.operators.ordered import order_statistics, quantile, quantile_ranks
+
+    rnd = random.Random(5)
+    values = {"a": [rnd.choice([0.0, -3.5, 60.0, 60.0, rnd.random(), 1e-12, rnd.random() * 1e6, -rnd.random() * 50]) for _ in range(300)], "b": [1.0], "c": [2.0, 2.0]}
+    df = spark.createDataFrame([(k, x) for k, xs in values.items() for x in xs] + [("a", None), (None, 1.0)], "k string, x double")
+    qs = {"q1": 0.25, "q2": 0.5, "q3": 0.75}
+    got = {r.k: [r.n, r.q1, r.q2, r.q3] for r in order_statistics(df, "k", "x", quantile_ranks(qs)).select("k", "n", *(quantile(k, q).alias(k) for k, q in qs.items())).collect()}
+    for k, xs in values.items():
+        want = statistics.quantiles(xs, n=4, method="inclusive") if len(xs) > 1 else xs * 3
+        assert got[k][0] == len(xs) and all(abs(a - b) < 1e-9 * max(1, abs(b)) for a, b in zip(got[k][1:], want))
+    assert order_statistics(df, "k", "x", {"m": F.expr("n div 2")}, 2).count() == 2
