@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -220,6 +221,12 @@ def spectrum_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([batch.column("domain"), pa.array(np.round(snr, 6)), pa.array(np.round(score, 6))], names=["domain", "snr", "score"])
 
 
+def _snr(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """One name's score from its steps (``b``) and counts (``n``)."""
+    batch = pa.RecordBatch.from_pydict({"domain": [key[0]], "x": [[{"b": int(b), "n": int(n)} for b, n in zip(pdf["b"], pdf["n"])]]})
+    return pa.Table.from_batches(spectrum_scores(iter([batch]))).to_pandas()
+
+
 def spectrum(counts: DataFrame) -> DataFrame:
     """``domain``, ``snr``, ``score`` from ``domain``, ``b`` (step), ``n``; a name has ``SPECTRUM_STEPS`` rows at most, whatever the traffic."""
     lists = counts.groupBy("domain").agg(F.collect_list(F.struct("b", "n")).alias("x"))
