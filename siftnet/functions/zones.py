@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import os
+import pickle
 import struct
+import zlib
 from dataclasses import dataclass
 from functools import lru_cache
-from zoneinfo import TZPATH
+from zoneinfo import TZPATH, available_timezones
 
 import numpy as np
 
-FAR = 4_102_444_800  # 2100-01-01: recurring rules are written out as far as this
+#: Recurring rules are written out from 1970 for one cycle of the calendar beyond 2100, after which dates and days of the week come again.
+LAST_YEAR = 2500
+CYCLE = 146_097 * 86_400
+FAR = 16_725_225_600  # 2500-01-01
 _DAYS_BEFORE_MONTH = (0, 31, 59, 90, 120, 151, 181, 212, 243, 273, 304, 334)
 
 
@@ -136,7 +141,7 @@ def parse_tzif(data: bytes, name: str, version: str) -> ZoneTable:
         std, std_name, dst, dst_name, ((begin, begin_s), (end, end_s)) = rules
         last = rows[-1][0]
         more = []
-        for year in range(1970, 2101):
+        for year in range(1970, LAST_YEAR):
             more += [(_rule_day(begin, year) * 86400 + begin_s - std, dst, dst_name), (_rule_day(end, year) * 86400 + end_s - dst, std, std_name)]
         rows += [r for r in sorted(more) if last < r[0] < FAR]
     elif rules and not utc:
@@ -144,21 +149,61 @@ def parse_tzif(data: bytes, name: str, version: str) -> ZoneTable:
     return ZoneTable(name, version, np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int64), np.array([r[2] for r in rows], dtype=object))
 
 
+def _of_utc(name: str) -> ZoneTable:
+    return ZoneTable(name, tz_version(), np.array([-(2**62)], dtype=np.int64), np.array([0], dtype=np.int64), np.array(["UTC" if name.upper() != "GMT" else "GMT"], dtype=object))
+
+
 @lru_cache(maxsize=1024)
 def zone_table(name: str | None, version: str | None = None) -> ZoneTable | None:
-    """The table of a zone, or ``None`` for one that isn't known. Another ``version`` than the one installed is refused."""
+    """The installed table of a zone, or ``None`` for one that isn't known. Another ``version`` than the one installed is refused."""
     if version is not None and version != tz_version():
         raise ValueError(f"zone tables of version {tz_version()} are installed, not {version}")
     if name is None:
         return None
     if name.upper() in ("UTC", "Z", "GMT", "ETC/UTC"):
-        return ZoneTable(name, tz_version(), np.array([-(2**62)], dtype=np.int64), np.array([0], dtype=np.int64), np.array(["UTC" if name.upper() != "GMT" else "GMT"], dtype=object))
+        return _of_utc(name)
     data = _find(name)
     return parse_tzif(data, name, tz_version()) if data and data[:4] == b"TZif" else None
 
 
+class Zones:
+    """The tables of one version, as they are on the machine that made this: it goes with its tasks, so that all executors convert alike, whatever is installed there."""
+
+    def __init__(self) -> None:
+        files = {name: _find(name) for name in available_timezones()}
+        self.version = tz_version()
+        self.packed = zlib.compress(pickle.dumps({k: v for k, v in files.items() if v and v[:4] == b"TZif"}))
+
+    def __call__(self, name: str | None) -> ZoneTable | None:
+        if name is None:
+            return None
+        return _of_utc(name) if name.upper() in ("UTC", "Z", "GMT", "ETC/UTC") else _shipped(self.packed, self.version, name)
+
+
+@lru_cache(maxsize=2)
+def _files(packed: bytes) -> dict[str, bytes]:
+    return pickle.loads(zlib.decompress(packed))
+
+
+@lru_cache(maxsize=2048)
+def _shipped(packed: bytes, version: str, name: str) -> ZoneTable | None:
+    data = _files(packed).get(name)
+    return parse_tzif(data, name, version) if data else None
+
+
+@lru_cache(maxsize=1)
+def installed_zones() -> Zones:
+    return Zones()
+
+
+def _within(seconds: np.ndarray) -> np.ndarray:
+    """Times beyond the written rules, moved back by whole cycles of the calendar."""
+    return np.where(seconds >= FAR, seconds - (seconds - FAR + CYCLE) // CYCLE * CYCLE, seconds)
+
+
 def offsets_at(table: ZoneTable, utc_s: np.ndarray) -> np.ndarray:
-    return np.searchsorted(table.utc, utc_s, side="right") - 1
+    """Which of a table's offsets holds at UTC seconds."""
+    return np.searchsorted(table.utc, _within(utc_s), side="right") - 1
 
 
 def wall_to_utc(table: ZoneTable, wall_s: np.ndarray, abbr: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

@@ -106,8 +106,9 @@ def sessionize(events: DataFrame, key: Column, ts: str = "ts", event_id: str | N
     """Sessions of each key: ``key_name``, ``start_us``, ``end_us``, ``duration_us``, ``n_events``.
 
     A gap of more than ``gap_us`` between neighbouring events starts a session.
-    Rows with the same ``event_id`` count once (with ``None`` all rows count; a
-    row with a null id counts by itself). Rows without key or time belong to
+    Rows with the same ``event_id`` count once, redelivered rows repeating their time
+    as well as their id (with ``None`` all rows count; a row with a null id counts by
+    itself). Rows without key or time belong to
     no session. Equal times are a gap of 0, a lone event is a session of
     duration 0, an empty input gives an empty result; other columns are not
     looked at, whatever their names.

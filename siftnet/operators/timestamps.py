@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftnet.functions.zones import ZoneTable, days_from_civil, wall_to_utc, zone_table
+from siftnet.functions.zones import Zones, ZoneTable, days_from_civil, installed_zones, offsets_at, wall_to_utc, zone_table
 from siftnet.operators.shred import Leaf, first_delivery, positions, shred
 from siftnet.tables import load
 
@@ -126,37 +126,44 @@ def _local(zones: np.ndarray, wall: np.ndarray, abbr: np.ndarray | None, tables:
     return utc, ok
 
 
+def _digits_to(m: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the first ``width`` digits of each row, zeros where rows end sooner, and which of them fit in 19 digits."""
+    d = np.zeros((len(m), max(width, 0)), dtype=np.uint64)
+    d[:, : min(width, m.shape[1])] = m[:, : max(width, 0)]
+    fits = ~(d[:, :-19] > 0).any(axis=1) if width > 19 else np.ones(len(m), dtype=bool)
+    d = d[:, -19:]
+    return d @ (np.uint64(10) ** np.arange(d.shape[1] - 1, -1, -1, dtype=np.uint64)), fits
+
+
+def _unix_of(digits: np.ndarray, point: int) -> tuple[np.ndarray, np.ndarray]:
+    """Microseconds of numbers whose point is after ``point`` digits: seconds, milli-, micro- or nanoseconds by their size, cut and not rounded."""
+    if point < 0:
+        digits, point = np.concatenate([np.zeros((len(digits), -point), dtype=digits.dtype), digits], axis=1), 0
+    whole, ok = _digits_to(digits, point)
+    out = (whole // np.uint64(1000)).astype(np.int64)
+    for (limit, factor), places in zip(reversed(UNITS), (0, 3, 6)):
+        # what the digits after the point add at this unit
+        small, _ = _digits_to(digits[:, point:], places)
+        out = np.where(whole < limit, np.where(whole < limit, whole, 0).astype(np.int64) * factor + small.astype(np.int64), out)
+    return out, ok & (whole < np.uint64(9_000_000_000_000_000_000))
+
+
 def _unix(p: Parser, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bare numbers: seconds, milli-, micro- or nanoseconds by their size."""
+    """Bare numbers, also with decimals and exponents; texts with one exponent are read together."""
     out, ok = np.zeros(len(m), dtype=np.int64), np.zeros(len(m), dtype=bool)
     whole, dec = p.spans["whole"], p.spans.get("decimals", (0, 0))
     if whole[1] - whole[0] > 19 or dec[1] - dec[0] > 18:
         return out, ok
-    if not p.has("decimals") and not p.has("e"):
-        digits = m[:, whole[0] : whole[1]].astype(np.uint64) - 48
-        v = digits @ (np.uint64(10) ** np.arange(digits.shape[1] - 1, -1, -1, dtype=np.uint64))
-        us = (v // 1000).astype(np.int64)
-        for limit, factor in reversed(UNITS):
-            small = v < limit
-            us[small] = (v[small].astype(np.int64)) * factor
-        return us, v < np.uint64(9_000_000_000_000_000_000)
-    for i, row in enumerate(m):
-        # exact: the digits as one integer, scaled by a power of ten
-        digits = bytes(row[whole[0] : whole[1]]) + bytes(row[dec[0] : dec[1]])
-        power = -(dec[1] - dec[0])
-        if p.has("e"):
-            a, b = p.spans["exponent"]
-            if row[p.spans["e"][0]] not in b"eE":
-                continue
-            power += int(bytes(row[a:b])) * (-1 if p.has("esign") and row[p.spans["esign"][0]] == 45 else 1)
-        value = int(digits)
-        size = value * 10**power if power >= 0 else value // 10**-power
-        factor = next((f for limit, f in UNITS if size < limit), None)
-        scaled = value * (factor if factor else 1)
-        us = scaled * 10**power if power >= 0 else scaled // 10**-power
-        us = us if factor else us // 1000
-        if us < 2**62:
-            out[i], ok[i] = us, True
+    digits = np.concatenate([m[:, whole[0] : whole[1]], m[:, dec[0] : dec[1]]], axis=1) - np.uint8(48)
+    if not p.has("e"):
+        return _unix_of(digits, whole[1] - whole[0])
+    power = _numbers(m, p.spans["exponent"])
+    if p.has("esign"):
+        power = np.where(m[:, p.spans["esign"][0]] == 45, -power, power)
+    right = np.isin(m[:, p.spans["e"][0]], np.frombuffer(b"eE", dtype=np.uint8))
+    for e in np.unique(power[right]).tolist():
+        rows = np.flatnonzero(right & (power == e))
+        out[rows], ok[rows] = _unix_of(digits[rows], whole[1] - whole[0] + e)
     return out, ok
 
 
@@ -220,7 +227,7 @@ def _moments(p: Parser, m: np.ndarray, ctx: Context, tables: Callable[[str | Non
                 rows = np.flatnonzero(zones == z)
                 t = tables(z)
                 if t is not None:  # the offset must be one that the zone has then
-                    ok[rows] &= t.offset[np.searchsorted(t.utc, utc[rows], side="right") - 1] == wall[rows] - utc[rows]
+                    ok[rows] &= t.offset[offsets_at(t, utc[rows])] == wall[rows] - utc[rows]
     elif p.has("abbr") or p.has("abbr2"):
         key = next(k for k in ("abbr", "abbr2") if p.has(k))
         names = _names(m, p.spans[key]).astype(object)
@@ -244,7 +251,7 @@ def _latest_year(wall_of: Callable, fraction: np.ndarray, ctx: Context, tables:
         if t is not None:
             rows = np.flatnonzero((ctx.zone == z) & ctx.has_received)
             s = ctx.received[rows] // 1_000_000
-            limit[rows] = ctx.received[rows] + t.offset[np.searchsorted(t.utc, s, side="right") - 1] * 1_000_000
+            limit[rows] = ctx.received[rows] + t.offset[offsets_at(t, s)] * 1_000_000
             ok[rows] = True
     year = np.asarray(limit // 1_000_000).astype("datetime64[s]").astype("datetime64[Y]").astype(np.int64) + 1970
     wall, found = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
@@ -283,13 +290,16 @@ def _context(batch: pa.RecordBatch) -> Context:
     )
 
 
-def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        us, ok = utc_micros(batch.column("text"), _context(batch))
-        yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array(np.zeros(len(us), dtype=np.int64)), pa.array(us, mask=~ok)], names=["row_id", "rec_pos", "utc_us"])
+def _normalise(zones: Zones):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            us, ok = utc_micros(batch.column("text"), _context(batch), zones)
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array(np.zeros(len(us), dtype=np.int64)), pa.array(us, mask=~ok)], names=["row_id", "rec_pos", "utc_us"])
+
+    return work
 
 
-def _normalise_json(leaf: Leaf, wrapper: str):
+def _normalise_json(leaf: Leaf, wrapper: str, zones: Zones):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = shred(batch.column("text").to_pylist(), [leaf], wrapper)[leaf.child]
@@ -298,7 +308,7 @@ def _normalise_json(leaf: Leaf, wrapper: str):
             there = np.flatnonzero(defn >= 1)
             row, rec = row[there], rec[there]
             texts = pa.array([None if s.values[i] is None else str(s.values[i]) for i in there], pa.string())
-            us, ok = utc_micros(texts, _context(batch).take(row))
+            us, ok = utc_micros(texts, _context(batch).take(row), zones)
             yield pa.RecordBatch.from_arrays([batch.column("row_id").take(pa.array(row)), pa.array(rec), pa.array(us, mask=~ok)], names=["row_id", "rec_pos", "utc_us"])
 
     return work
@@ -314,14 +324,17 @@ def normalise_timestamps(df: DataFrame, row_id: str, text: str, zone: Column, or
     (``dmy`` or ``mdy``), ``received`` is needed for texts without a year. With
     ``json_leaf`` the texts are JSON bodies and the moments that field of their
     records. Null, empty, blank, very long and impossible texts are undetermined;
-    so are local times where the zone is null or unknown. Rows with the same
+    so are local times where the zone is null or unknown, and zero values: the
+    instant 0, and a wall clock at 1970-01-01 00:00, in whatever zone. Zone tables are
+    the driver's, of one version for all tasks. Rows with the same
     ``row_id`` count once (the first received), those without one not at all.
     """
     df = df.withColumn("__zone", zone).withColumn("__order", order)
     own = first_delivery(df, row_id, received, text, "__zone", "__order")
     at = F.unix_micros(F.col(f"`{received}`").cast("timestamp")) if received else F.lit(None).cast("bigint")
     slim = own.select(F.col(f"`{row_id}`").cast("bigint").alias("row_id"), F.col(f"`{text}`").alias("text"), F.col("__zone").alias("zone"), F.col("__order").alias("order"), at.alias("received_us"))
-    return slim.mapInArrow(_normalise_json(json_leaf, wrapper) if json_leaf else _normalise, _OUT)
+    zones = installed_zones()  # of the driver, for all tasks
+    return slim.mapInArrow(_normalise_json(json_leaf, wrapper, zones) if json_leaf else _normalise(zones), _OUT)
 
 
 TIME = Leaf("time", "time", None, False)

@@ -16,8 +16,8 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def domain_key(c: Column | str) -> Column:
     """A name without letter case, outer blanks and one final dot; null where nothing is left."""
     c = F.col(c) if isinstance(c, str) else c
-    bare = F.regexp_replace(F.lower(F.regexp_replace(c, r"^\s+|\s+$", "")), r"\.$", "")
-    return F.nullif(bare, F.lit(""))
+    bare = F.lower(F.btrim(c, F.lit(" \t\n\x0b\f\r")))
+    return F.nullif(F.left(bare, F.length(bare) - F.endswith(bare, F.lit(".")).cast("int")), F.lit(""))
 
 
 def segment_key(c: Column | str) -> Column:

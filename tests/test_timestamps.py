@@ -62,6 +62,41 @@ def test_formats(text):
     assert one(text) == CASES[text]
 
 
+def test_numbers_with_points_and_exponents():
+    """Against exact decimals, for every unit."""
+    import random
+    from decimal import Decimal
+
+    rnd = random.Random(1)
+    for _ in range(1500):
+        whole = str(rnd.randrange(10 ** rnd.randrange(1, 20)))
+        text = whole + (f".{rnd.randrange(10**9):09d}"[: rnd.randrange(2, 11)] if rnd.random() < 0.7 else "") + (rnd.choice(["e", "E"]) + rnd.choice(["", "+", "-"]) + str(rnd.randrange(0, 19)) if rnd.random() < 0.5 else "")
+        v = Decimal(text)
+        factor = next((f for lim, f in ((10**11, 10**6), (10**14, 10**3), (10**17, 1)) if v < lim), None)
+        want = int(v * factor) if factor else int(v) // 1000
+        got = one(text)
+        assert got == (want or None) or (v >= 9 * 10**18 and got is None), text
+
+
+def test_rules_go_on():
+    """Rules hold after 2100, and after the years for which they are written out."""
+    for y in (2101, 2399, 2499, 2500, 2501, 2893, 4000, 9998):
+        for text, hours in ((f"{y}-01-15 12:00:00", 1), (f"{y}-07-15 12:00:00", 2)):
+            assert one(text) == US(y, int(text[5:7]), 15, 12 - hours), text
+    assert one("2600-07-15 12:00:00", zone="Asia/Kathmandu") == US(2600, 7, 15, 6, 15)
+
+
+def test_tables_go_with_the_tasks():
+    import pickle
+
+    from siftnet.functions.zones import Zones
+
+    z = pickle.loads(pickle.dumps(Zones()))
+    assert z.version == tz_version() and z("No/Where") is None and z(None) is None
+    for name in ("Europe/Berlin", "UTC"):
+        assert np.array_equal(z(name).utc, zone_table(name).utc) and np.array_equal(z(name).offset, zone_table(name).offset)
+
+
 def test_unknown_context():
     assert one("2024-07-01 12:00:00", zone=None) is None and one("2024-07-01 12:00:00", zone="No/Where") is None
     assert one("03/04/2024 05:06:07", order=None) is None and one("03/03/2024 05:06:07", zone="UTC", order=None) == US(2024, 3, 3, 5, 6, 7)
