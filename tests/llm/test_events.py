@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siftnet.llm import distinct, frequent
 from siftnet.llm.nearest import nearest_in_time
-from siftnet.llm.runs import Frontier, _by_groups, collapse_runs, segment
+from siftnet.llm.runs import Frontier, _by_groups, _open_pieces, collapse_runs, segment, whole_costs
 
 L, R = "fw_id bigint, t bigint, k string, event_id string, b string", "event_id string, t bigint, k string, fw_id string, rid string, lid string, d bigint"
 
@@ -107,6 +107,48 @@ def test_runs(spark):
         assert runs(spark, rows, 10, least, chunk) == brute_runs(rows, 10, least)
     assert runs(spark, [], 10, 1, 50) == []
 
+def plain_segment(kinds, near, penalty, mismatch):
+    """Every start tried for every end; of equally good ones the earliest."""
+    n = len(kinds)
+    penalty, mismatch = whole_costs(penalty, mismatch)
+    cost = [-penalty] + [0.0] * n
+    begin = [0] * n
+    starts = []  # start, cost up to it, count by kind, most frequent count, events
+    for i in range(n):
+        if not near[i]:
+            starts = []
+        starts.append([i, cost[i], {}, 0, 0])
+        best, at, kind = inf, i, kinds[i]
+        for s in starts:
+            counts = s[2]
+            c = counts[kind] = counts.get(kind, 0) + 1
+            if c > s[3]:
+                s[3] = c
+            s[4] += 1
+            odd = s[4] - s[3]
+            w = s[1] + odd * mismatch if odd else s[1]
+            if w + penalty < best:
+                best, at = w + penalty, s[0]
+        cost[i + 1], begin[i] = best, at
+    out, i = [], n - 1
+    while i >= 0:
+        out.append(begin[i])
+        i = begin[i] - 1
+    return out[::-1]
+
+
+def test_pruning_changes_nothing():
+    rnd = random.Random(11)
+    for _ in range(600):
+        n = rnd.randrange(1, 60)
+        kinds, stay = [0], rnd.random()
+        while len(kinds) < n:
+            kinds.append(kinds[-1] if rnd.random() < stay else rnd.randrange(rnd.choice([2, 4, 50])))
+        near = [False] + [rnd.random() < 0.9 for _ in range(n - 1)]
+        for costs in ((1.0, 0.4), (1.0, 1.5), (2.0, 0.7), (3.0, 0.1), (1.0, inf)):
+            assert segment(kinds, near, *costs) == plain_segment(kinds, near, *costs)
+
+
 def tolerant_by_hand(rows, gap, penalty, mismatch):
     """The whole sequence of each entity divided at once."""
     by = {}
@@ -117,7 +159,7 @@ def tolerant_by_hand(rows, gap, penalty, mismatch):
         xs.sort()
         codes = {k: n for n, k in enumerate(sorted({x[2] for x in xs}))}
         near = [False] + [b[0] - a[0] <= gap for a, b in zip(xs, xs[1:])]
-        begin = segment([codes[x[2]] for x in xs], near, penalty, mismatch)
+        begin = plain_segment([codes[x[2]] for x in xs], near, penalty, mismatch)
         for a, b in zip(begin, [*begin[1:], len(xs)]):
             out.append((h, xs[a][1], xs[b - 1][1], b - a, xs[b - 1][0] - xs[a][0]))
     return sorted(out)
@@ -145,16 +187,38 @@ def test_tolerant_runs_whatever_the_chunks(spark, kinds, step):
 def test_long_pieces_are_settled_as_they_come():
     """A sequence without any sure cut is divided with few rows held, as if at once."""
     rnd = random.Random(3)
-    us, kinds = np.arange(3000), [rnd.choice("abc") if i % 7 else "a" for i in range(3000)]
-    want = segment([ord(k) for k in kinds], [False] + [True] * 2999, 1.0, 0.6)
-    f, got, most = Frontier(10, 1.0, 0.6), [], 0
+    kinds = [rnd.choice("abc") if i % 7 else "a" for i in range(3000)]
+    want = plain_segment([ord(k) for k in kinds], [False] + [True] * 2999, 1.0, 0.6)
+    f, got, most = Frontier(1.0, 0.6), [], 0
     for lo in range(0, 3000, 50):
-        f.push(us[lo : lo + 50], kinds[lo : lo + 50])
+        f.push(kinds[lo : lo + 50], [lo > 0] + [True] * 49)
         got += f.settled()[:-1]
         most = max(most, f.size - f.base)
     assert got + f.finish() == want and most < 1500
 
 
+@pytest.mark.parametrize("patience", [10, 37, 10_000])
+def test_open_pieces_of_any_length(patience):
+    """Long pieces are divided as they stream by, short ones together, all as if each were divided at once."""
+    rnd = random.Random(12)
+    rows, want = [], []
+    for seg, n in enumerate([3, 200, 1, 45, 500, 2, 2, 38]):
+        t, kinds, near = 0, [], []
+        for i in range(n):
+            gap = rnd.choice([1, 2, 2, 3, 20 if seg % 2 else 3])
+            t += gap
+            kinds.append(rnd.choice("aab" if seg % 3 else "abcdefgh"))
+            near.append(i > 0 and gap <= 10)
+            rows.append((b"k", seg, t, f"{seg}.{i:04d}".encode(), kinds[-1], seg in (1, 4) and i < 2, seg == 4 and i >= n - 2))
+        begin = plain_segment([ord(k) for k in kinds], near, 1.0, 0.4)
+        ends = [*begin[1:], n]
+        want += [(f"{seg}.{a:04d}", f"{seg}.{b - 1:04d}", b - a, seg in (1, 4) and a == 0, seg == 4 and b == n) for a, b in zip(begin, ends)]
+    schema = pa.schema([("k", pa.binary()), ("seg", pa.int64()), ("t", pa.int64()), ("id", pa.binary()), ("kind", pa.string()), ("goes_on", pa.bool_()), ("open_end", pa.bool_())])
+    table = pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+    got = pa.Table.from_batches(list(_open_pieces(10, 1.0, 0.4, patience)(iter(table.to_batches(max_chunksize=16)))))
+    assert sorted(zip(*([x.decode() if isinstance(x, bytes) else x for x in got.column(c).to_pylist()] for c in ("id", "last_id", "n", "goes_on", "open_end")))) == sorted(want)
+
+
 def test_groups_come_in_parts():
     """A group of more rows than may be held is divided between times only."""
     rows = [("hot", i // 3, f"{i:04d}") for i in range(100)] + [("b", 1, "x"), ("c", 2, "y")]
