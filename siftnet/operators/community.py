@@ -6,6 +6,8 @@ bad and popular names stand for the ground truth and the popularity list.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,9 @@ from siftnet.functions import domain as D
 from siftnet.operators.ordered import numbered
 from siftnet.operators.series import hour_of
 from siftnet.plans.base import EV, FW, Registry, events, firewall
+from siftnet.plans.fixtures import ALLOWED_DOMAINS, FAMILIES
 from siftnet.session import materialize
+from siftnet.tables import load
 
 R = Registry()
 HOUR, DAY = 3_600_000_000, 86_400_000_000
@@ -214,7 +218,8 @@ def allow_list(spark, sf_dir: str) -> DataFrame:
     """Events of names that are neither popular nor below an allowed domain."""
     ev = events(spark, sf_dir, named=True).select("event_id", "domain")
     _, popular = _truth(ev.withColumn("tags", F.lit(None).cast("array<string>")))
-    return ev.join(popular, "domain", "left_anti").where(~F.col("domain").endswith(".example.net") & (F.col("domain") != "example.net")).select("event_id")
+    below = reduce(lambda a, b: a | b, (F.col("domain").endswith("." + d) | (F.col("domain") == d) for d in ALLOWED_DOMAINS), F.lit(False))
+    return ev.join(popular, "domain", "left_anti").where(~below).select("event_id")
 
 
 _ALERT = [(0.85, "critical"), (0.70, "high"), (0.50, "medium"), (0.30, "low")]
@@ -255,16 +260,16 @@ def encoding_scores(spark, sf_dir: str) -> DataFrame:
     return s.select("domain", F.round(F.when(F.length("sub") == 0, 0.0).otherwise((share("[0-9a-f]") + share("[0-9]")) / 2), 6).alias("encoding"))
 
 
-_FAMILIES = ["grelbot", "tinnet", "ombrel"]
+def family_of(tags: Column, families: list[str]) -> Column:
+    """The first tag that names a known malware family, in any letter case."""
+    return F.lower(F.get(F.filter(tags, lambda t: F.lower(t).isin([f.lower() for f in families])), F.lit(0)))
 
 
 @R.query("""select entry_id, case when lower(malware) in ('grelbot', 'tinnet', 'ombrel') then lower(malware) end as family from (select distinct entry_id, malware from feodo_entries)""")
 def malware_family(spark, sf_dir: str) -> DataFrame:
-    """The first tag that names a known family."""
-    from siftnet.tables import load
-
+    """The family of each entry of the feed."""
     f = load(spark, sf_dir, "feodo_entries").select("entry_id", F.array(F.lit("c2"), F.col("malware")).alias("tags")).distinct()
-    return f.select("entry_id", F.lower(F.get(F.filter("tags", lambda t: F.lower(t).isin(_FAMILIES)), F.lit(0))).alias("family"))
+    return f.select("entry_id", family_of(F.col("tags"), FAMILIES).alias("family"))
 
 
 QUERIES, SQL = R.QUERIES, R.SQL

@@ -10,6 +10,7 @@ from siftnet.functions import domain as D
 from siftnet.functions.net import ip_hex, is_private, private_hex, python_hex
 from siftnet.operators.ordered import MOST_ROWS, in_chunks
 from siftnet.plans.base import EV, Registry, deliveries, events, now_us
+from siftnet.plans.fixtures import SAMPLE_PROVIDERS, SAMPLE_RESOLVERS
 from siftnet.session import materialize
 from siftnet.tables import load, pack_hex, unpack_hex
 
@@ -169,13 +170,6 @@ def rebinding_alerts(spark, sf_dir: str) -> DataFrame:
 
 # --- bypass of the resolver --------------------------------------------------------------------------------------------------------------
 
-#: Names of the tables that stand for providers here, beside the real ones.
-SAMPLE_PROVIDERS = {"example.net": "Sample A", "gultur.example.com": "Sample B", "api.dasordio.test": "Sample C"}
-
-
-SAMPLE_RESOLVERS = ("198.18.213.221", "198.19.208.1", "198.18.0.0", "198.18.5.135", "198.19.232.142")
-
-
 def suffix_match(df: DataFrame, name: str, table: DataFrame, key: str, value: str) -> DataFrame:
     """Adds ``value`` of the longest entry of ``table`` that is the name or a parent of it: every distinct name with its parents, joined by equality."""
     names = df.where(F.col(name).isNotNull()).select(F.col(name).alias("__n")).distinct()

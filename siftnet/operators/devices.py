@@ -7,16 +7,12 @@ from pyspark.sql import functions as F
 
 from siftnet.operators.detect import INDICATORS, indicators, rows, sql_rows
 from siftnet.plans.base import EV, HOSTS, Registry, events, hosts, now_us
+from siftnet.plans.fixtures import HOSTNAME_RULES, VENDOR_PREFIXES, VENDOR_TYPES
 from siftnet.tables import load
 
 R = Registry()
 DAY = 86_400_000_000
 
-# Our own small rules, to be replaced by fuller tables.
-HOSTNAME_RULES = [(1, "-cam$|^cam-|camera", "camera", 0.8), (2, "-tv$|^tv-", "tv", 0.7), (3, "phone|mobile", "phone", 0.7), (4, "print|-prn", "printer", 0.8), (5, "nas", "storage", 0.6), (6, r"\.local$", "computer", 0.5)]
-VENDOR_PREFIXES = [("0285", "Oluvo"), ("0221", "Brenta"), ("02BF", "Kestrin")]
-VENDOR_TYPES = [("Oluvo", "camera"), ("Brenta", "router"), ("Kestrin", "thermostat"), ("Pellwik", "tv"), ("Madoro", "printer")]
-
 
 def first_known(value: str, order: list[str]) -> Column:
     """The first value in an order that isn't null, as an aggregate that needs no sort."""

@@ -27,6 +27,8 @@ class EventQuery:
     event_type: str | None = None
     source_hash: str | None = None
     domain: str | None = None
+    segment: str | None = None
+    source_ip: str | None = None
     min_score: float | None = None
     tags: list[str] = field(default_factory=list)
     tag_patterns: bool = False  #: tags as case-insensitive patterns over the list's JSON text
@@ -36,7 +38,7 @@ class EventQuery:
     limit: int = 50
 
     def predicate(self) -> Column:
-        eq = [F.col(k) == v for k, v in (("event_type", self.event_type), ("source_hash", self.source_hash), ("domain", self.domain)) if v is not None]
+        eq = [F.col(k) == v for k, v in (("event_type", self.event_type), ("source_hash", self.source_hash), ("domain", self.domain), ("network_segment", self.segment), ("source_ip", self.source_ip)) if v is not None]
         rng = [c for c in ((F.col("t_us") >= self.from_us) if self.from_us is not None else None, (F.col("t_us") <= self.to_us) if self.to_us is not None else None, (F.col("anomaly_score") >= self.min_score) if self.min_score is not None else None) if c is not None]
         tags = [F.to_json("tags").ilike(f'%"{t}"%') if self.tag_patterns else F.array_contains("tags", t) for t in self.tags]
         return reduce(lambda a, b: a & b, [*eq, *rng, *tags], F.lit(True))

@@ -14,15 +14,11 @@ from pyspark.sql import functions as F
 from siftnet.functions.net import is_gateway
 from siftnet.operators.detect import rows, sql_rows
 from siftnet.plans.base import EV, Registry, events
+from siftnet.plans.fixtures import ALLOWED, SUPPRESSIONS
 
 R = Registry()
 
-SUPPRESSIONS = [
-    ("r1", "api.dasordio.test", None, [], True, 5), ("r2", None, "10.21.0.10", ["known_bad"], True, 4), ("r3", "bionbo.example", "10.20.0.1", [], True, 3),
-    ("r4", "fiongus.example", None, ["beaconing", "known_bad"], True, 2), ("r5", None, None, ["firewall"], False, 1),
-]
 _SUP = "rule_id string, r_domain string, r_ip string, r_tags array<string>, active boolean, created int"
-ALLOWED = [("w1", "*.example.net", None, None, True), ("w2", None, "10.20.*", "dga_candidate", True), ("w3", "edge-*", None, None, True), ("w4", "*", None, None, False)]
 _ALW = "rule_id string, r_domain string, r_ip string, r_tag string, enabled boolean"
 
 

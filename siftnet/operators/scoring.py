@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from siftnet.functions import domain as D
 from siftnet.operators.detect import rows, sql_rows
-from siftnet.operators.devices import HOSTNAME_RULES, INVENTORY, VENDOR_PREFIXES, inventory
+from siftnet.operators.devices import INVENTORY, inventory
 from siftnet.plans.base import EV, HOSTS, Registry, events, hosts
+from siftnet.plans.fixtures import HOSTNAME_RULES, VENDOR_PREFIXES
 
 R = Registry()
 

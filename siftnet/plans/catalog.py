@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from siftnet.operators import community, detect, devices, query, rules, scoring, series, sessions, shred, timestamps
+from siftnet.operators import community, detect, devices, identity, management, query, rules, scoring, series, sessions, shred, timestamps
 from siftnet.plans.base import Query
 from siftnet.sources import feeds, ingest, logs
 from siftnet.streaming import queries as streams
 
-MODULES = [sessions, shred, timestamps, detect, query, rules, series, devices, community, scoring, ingest, logs, feeds, streams]
+MODULES = [sessions, shred, timestamps, detect, query, rules, series, devices, identity, management, community, scoring, ingest, logs, feeds, streams]
 
 
 def queries() -> dict[str, Query]:
