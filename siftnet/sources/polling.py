@@ -27,7 +27,8 @@ class PollingSource(DataSource):
 
     Options: ``url`` (asked with ``from`` and ``limit``), ``items`` (field of the
     response's array, ``data``), ``time`` (field of a record's Unix time in
-    seconds), ``start`` (first mark), ``limit`` (records a page, 1000).
+    seconds), ``start`` (first mark), ``limit`` (records a page, 1000), ``token``
+    (sent as a bearer token) and ``header.NAME`` (other headers).
     """
 
     @classmethod
@@ -48,6 +49,7 @@ def _key(body: str) -> str:
 class _Reader(SimpleDataSourceStreamReader):
     def __init__(self, options: dict) -> None:
         self.url, self.items, self.time = options["url"], options.get("items", "data"), options.get("time", "timestamp")
+        self.headers = {k[7:]: v for k, v in options.items() if k.lower().startswith("header.")} | ({"Authorization": f"Bearer {options['token']}"} if options.get("token") else {})
         self.start, self.limit = int(options.get("start", "0")), int(options.get("limit", "1000"))
 
     def initialOffset(self) -> dict:
@@ -56,7 +58,7 @@ class _Reader(SimpleDataSourceStreamReader):
     def _page(self, mark: int, limit: int) -> tuple[list[tuple[int, str]], int]:
         """A response's records in order of time, and how many it had at all."""
         query = urllib.parse.urlencode({"from": mark, "limit": limit})
-        with urllib.request.urlopen(f"{self.url}?{query}", timeout=10) as r:
+        with urllib.request.urlopen(urllib.request.Request(f"{self.url}?{query}", headers=self.headers), timeout=10) as r:
             data = json.load(r).get(self.items) or []
         return sorted((int(x[self.time]), json.dumps(x, sort_keys=True)) for x in data if isinstance(x, dict) and x.get(self.time) is not None), len(data)
 

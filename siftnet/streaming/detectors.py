@@ -31,19 +31,24 @@ def score_cv(cv: float) -> float:
 
 
 def beacon_step(key: tuple, df: pd.DataFrame, state: tuple | None) -> tuple[list[tuple], tuple]:
-    """State: the last 32 times of a source and name. Every event gets the score as of it."""
-    xs = list(state[0]) if state else []
-    out = []
-    for t, i in zip(df["t_us"], df["event_id"]):
-        xs = [*xs, int(t)][-WINDOW:]
-        cv = None
-        if len(xs) >= LEAST:
-            gap = np.diff(np.array(xs)) / 1e6
-            mean = gap.mean()
-            if mean >= 1.0:
-                cv = round(float(gap.std() / mean), 9)
-        out.append((i, len(xs), cv, 0.0 if cv is None else score_cv(cv)))
-    return out, (xs,)
+    """State: the last 32 times of a source and name. Every event gets the score as of it; events with a full window are reckoned together."""
+    held = np.array(state[0] if state else [], dtype=np.int64)
+    xs = np.r_[held, df["t_us"].to_numpy(dtype=np.int64)]
+    gap = np.diff(xs) / 1e6
+    at = np.arange(len(held), len(xs))  # where the new events are
+    mean, sd = np.zeros(len(at)), np.zeros(len(at))
+    for k in np.flatnonzero(at < WINDOW - 1):
+        own = gap[: at[k]]
+        mean[k], sd[k] = (own.mean(), own.std()) if len(own) else (0.0, 0.0)
+    full = np.flatnonzero(at >= WINDOW - 1)
+    if len(full):
+        w = np.lib.stride_tricks.sliding_window_view(gap, WINDOW - 1)[at[full] - (WINDOW - 1)]
+        mean[full], sd[full] = w.mean(axis=1), w.std(axis=1)
+    samples = np.minimum(at + 1, WINDOW)
+    known = (samples >= LEAST) & (mean >= 1.0)
+    cv = [round(float(s / m), 9) if k else None for s, m, k in zip(sd, mean, known)]
+    out = [(i, int(n), c, 0.0 if c is None else score_cv(c)) for i, n, c in zip(df["event_id"], samples, cv)]
+    return out, (xs[-WINDOW:].tolist(),)
 
 
 def rebinding_step(key: tuple, df: pd.DataFrame, state: tuple | None) -> tuple[list[tuple], tuple]:
@@ -80,8 +85,8 @@ def every_step(every: int) -> Step:
 
     def step(key: tuple, df: pd.DataFrame, state: tuple | None) -> tuple[list[tuple], tuple]:
         n = state[0] if state else 0
-        out = [(key[0], i, n + k) for k, i in enumerate(df["event_id"], 1) if (n + k) % every == 0]
-        return out, (n + len(df),)
+        first = every - 1 - n % every  # the first that is reported
+        return [(key[0], i, n + first + 1 + every * k) for k, i in enumerate(df["event_id"].iloc[first::every])], (n + len(df),)
 
     return step
 
@@ -126,3 +131,8 @@ def stream_every(ev: DataFrame, key: str, every: int = 10) -> DataFrame:
     """Every tenth row of a key: ``k``, ``event_id``, ``n``."""
     e = ev.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), "t_us", "event_id")
     return _stateful(e, ["k"], every_step(every), "k string, event_id string, n bigint", "n bigint", None)
+
+
+def stream_discoveries(hosts: DataFrame, within_us: int = 30_000_000) -> DataFrame:
+    """Discovered devices of a stream with ``mac``, ``ip``, ``t_us``, ``event_id``, each at most once within a time: by hardware address, or else by address."""
+    return stream_cooldown(hosts.withColumn("__device", F.coalesce("mac", "ip")), "__device", within_us)

@@ -111,3 +111,73 @@ def test_polling_reads_bursts(monkeypatch):
         raise AssertionError("a second that no response holds")
     except RuntimeError:
         pass
+
+
+def test_discoveries(spark, tmp_path):
+    schema = "event_id string, t_us bigint, mac string, ip string"
+    data = [("a", 0, "m", "1"), ("b", 29_000_000, "m", "2"), ("c", 30_000_000, "m", "1"), ("d", 1, None, "1"), ("e", 2, None, "1"), ("f", 2, None, None)]
+    spark.createDataFrame(data, schema).write.parquet(str(tmp_path / "in"))
+    got = run_available(spark, S.stream_discoveries(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))))
+    assert sorted(r.event_id for r in got.collect()) == ["a", "c", "d"]
+
+
+def test_steps_in_parts_as_at_once():
+    """Scores do not depend on how a key's events are divided into micro-batches."""
+    import random
+
+    import pandas as pd
+
+    rnd = random.Random(3)
+    t, xs = 0, []
+    for i in range(150):
+        t += rnd.choice([60_000_000, 60_000_000, 61_000_000, 90_000_000])
+        xs.append((t, f"{i:03d}"))
+    df = pd.DataFrame(xs, columns=["t_us", "event_id"])
+    whole = S.beacon_step(("s", "d"), df, None)[0]
+    for size in (1, 7, 31, 40):
+        out, state = [], None
+        for lo in range(0, len(df), size):
+            rows, state = S.beacon_step(("s", "d"), df.iloc[lo : lo + size], state)
+            out += rows
+        assert [(r[0], r[1], r[2] and round(r[2], 8)) for r in out] == [(r[0], r[1], r[2] and round(r[2], 8)) for r in whole]
+        out, state = [], None
+        for lo in range(0, len(df), size):
+            rows, state = S.every_step(10)(("s",), df.iloc[lo : lo + size], state)
+            out += rows
+        assert [r[2] for r in out] == list(range(10, 151, 10))
+
+
+def test_tables_by_any_scheme(spark, tmp_path):
+    """Existence is asked of the path's file system, and only the days of a batch are read."""
+    b = spark.createDataFrame(rows(5), SCHEMA)
+    for path in (str(tmp_path / "a"), f"file:{tmp_path}/b", f"file://{tmp_path}/c"):
+        assert append_new(spark, path, b) == 5 and append_new(spark, path, b) == 0
+        late = b.withColumn("t_us", F.col("t_us") + 86_400_000_000).withColumn("event_id", F.concat(F.lit("n"), "event_id"))
+        assert append_new(spark, path, late.unionByName(b)) == 5 and append_new(spark, path, late.withColumn("t_us", F.lit(None).cast("bigint")).withColumn("event_id", F.lit("x"))) == 1
+        assert spark.read.parquet(path).count() == 11 and {r.day for r in spark.read.parquet(path).select("day").distinct().collect()} == {"1970-01-01", "1970-01-02", "none"}
+    s = Snapshots(spark, f"file://{tmp_path}/s")
+    for n in (3, 4, 5):
+        s.replace(spark.createDataFrame(rows(n), SCHEMA))
+    s.clean()
+    assert s.read().count() == 5 and len(list((tmp_path / "s").iterdir())) == 1
+
+
+def test_polling_with_a_token(spark):
+    seen = []
+
+    class H(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            seen.append((self.headers.get("Authorization"), self.headers.get("X-Site")))
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(b'{"data": []}')
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), H)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    reader = PollingSource({"url": f"http://127.0.0.1:{server.server_port}/", "token": "t0", "header.X-Site": "a"}).simpleStreamReader(None)
+    reader.read(reader.initialOffset())
+    server.shutdown()
+    assert seen == [("Bearer t0", "a")]
