@@ -17,6 +17,7 @@ from siftnet.operators.series import hour_of
 from siftnet.plans.base import EV, FW, Registry, events, firewall
 from siftnet.plans.fixtures import ALLOWED_DOMAINS, FAMILIES
 from siftnet.session import materialize
+from siftnet.sources.logs import parse_eve
 from siftnet.tables import load
 
 R = Registry()
@@ -58,12 +59,26 @@ def reputation_merged(spark, sf_dir: str) -> DataFrame:
     return m.select("domain", "d_us", "n", F.hll_sketch_estimate("nodes").alias("nodes"), F.hll_sketch_estimate("nets").alias("nets"), F.round(F.col("score_sum") / F.col("n"), 6).alias("mean"), "score_max", "blocked", F.size("tags").alias("n_tags"))
 
 
-@R.query(f"""with {EV}, g as (select domain, count(distinct source_hash) as nodes, avg(anomaly_score) as mean, count(*) as n from ev where domain is not null group by domain having count(distinct source_hash) >= 3 and avg(anomaly_score) >= 0.15)
- select domain, nodes, round(mean, 9) as mean, round(mean * ln(nodes + 1), 6) as rank from g order by rank desc, domain limit 50""")
+def ranked_reputation(ev: DataFrame, mean: float = 0.5, nodes: int = 3, most: int = 50) -> DataFrame:
+    """Names that several nodes report with a mean score of ``mean`` at least, the most and surest first."""
+    g = ev.groupBy("domain").agg(F.countDistinct("source_hash").alias("nodes"), F.avg("anomaly_score").alias("m")).where((F.col("nodes") >= nodes) & (F.col("m") >= mean))
+    return g.select("domain", "nodes", F.round("m", 9).alias("mean"), F.round(F.col("m") * F.log(F.col("nodes") + 1), 6).alias("rank")).orderBy(F.desc("rank"), "domain").limit(most)
+
+
+_RANKED = """with {EV}, g as (select domain, count(distinct source_hash) as nodes, avg(anomaly_score) as mean, count(*) as n from ev where domain is not null group by domain having count(distinct source_hash) >= 3 and avg(anomaly_score) >= {mean})
+ select domain, nodes, round(mean, 9) as mean, round(mean * ln(nodes + 1), 6) as rank from g order by rank desc, domain limit 50"""
+
+
+@R.query(_RANKED.replace("{EV}", EV).replace("{mean}", "0.15"))
 def top_reputation(spark, sf_dir: str) -> DataFrame:
-    """Names that several nodes report with high scores."""
-    g = events(spark, sf_dir, named=True).groupBy("domain").agg(F.countDistinct("source_hash").alias("nodes"), F.avg("anomaly_score").alias("m")).where("nodes >= 3 and m >= 0.15")
-    return g.select("domain", "nodes", F.round("m", 9).alias("mean"), F.round(F.col("m") * F.log(F.col("nodes") + 1), 6).alias("rank")).orderBy(F.desc("rank"), "domain").limit(50)
+    """Names that several nodes report, with a low limit that these tables reach."""
+    return ranked_reputation(events(spark, sf_dir, named=True), 0.15)
+
+
+@R.query(_RANKED.replace("{EV}", EV).replace("{mean}", "0.5"))
+def worst_reputation(spark, sf_dir: str) -> DataFrame:
+    """The same with the limit as surveyed (AGG-18)."""
+    return ranked_reputation(events(spark, sf_dir, named=True))
 
 
 @R.query(f"with {EV} select domain, t_us - t_us % 900000000 as b_us, count(*) as n, min(anomaly_score) as low, max(anomaly_score) as high, round(avg(anomaly_score), 9) as mean, count(distinct source_hash) as nodes from ev where domain is not null and anomaly_score > 0.1 group by 1, 2")
@@ -96,6 +111,21 @@ def ids_daily(spark, sf_dir: str) -> DataFrame:
     return firewall(spark, sf_dir).groupBy(hour_of("t_us", DAY).alias("d_us"), "proto", "fw_action").agg(F.count("*").alias("n"), F.countDistinct("src_ip").alias("sources"), F.countDistinct("rule_name").alias("rules"))
 
 
+def alerts_daily(alerts: DataFrame) -> DataFrame:
+    """Alerts of an intrusion detection system (as ``parse_eve`` gives them) by day, category and severity: count, distinct sources, distinct signatures."""
+    day = F.date_format(F.try_to_timestamp("timestamp"), "yyyy-MM-dd")
+    return alerts.groupBy(day.alias("day"), F.coalesce(F.get("tags", F.lit(1)), F.lit("")).alias("category"), "severity").agg(F.count("*").alias("n"), F.countDistinct("src_ip").alias("sources"), F.countDistinct("signature").alias("signatures"))
+
+
+@R.query(f"with {FW} select strftime(make_timestamp(t_us), '%Y-%m-%d') as day, coalesce(proto, '') as category, cast(fw_id % 5 as int) as severity, count(*) as n, count(distinct src_ip) as sources, count(distinct rule_name) as signatures from fw where src_ip is not null group by 1, 2, 3")
+def eve_daily(spark, sf_dir: str) -> DataFrame:
+    """Daily sums of alert lines made of firewall records (AGG-24)."""
+    alert = F.struct(F.col("rule_name").alias("signature"), F.col("proto").alias("category"), (F.col("fw_id") % 5).cast("int").alias("severity"))
+    f = firewall(spark, sf_dir, "src_ip is not null")
+    lines = f.select(F.to_json(F.struct(F.date_format(F.timestamp_micros("t_us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("timestamp"), F.lit("alert").alias("event_type"), "src_ip", alert.alias("alert"))).alias("line"))
+    return alerts_daily(parse_eve(lines))
+
+
 _SEVERITY = {"block": 1, "drop": 2, "reject": 3}
 
 

@@ -80,7 +80,7 @@ def value_chunk(x: Column) -> Column:
     return F.when(a < 1e-9, F.lit(0)).when(x > 0, e + 1000).otherwise(-(e + 1000))
 
 
-def order_statistics(df: DataFrame, key: str, x: str, ranks: dict[str, Column], least: int = 1) -> DataFrame:
+def order_statistics(df: DataFrame, key: str | list[str], x: str, ranks: dict[str, Column], least: int = 1) -> DataFrame:
     """``key``, ``n`` and, for each of ``ranks`` (0-based, from the column ``n``), the value of a double column with that rank; only keys with ``least`` values.
 
     Counts by chunk of value tell in which chunk each rank is. Only the values of
@@ -88,18 +88,20 @@ def order_statistics(df: DataFrame, key: str, x: str, ranks: dict[str, Column],
     one chunk, so that no key's values are ever held together. Null values don't
     count. ``df`` is read twice.
     """
-    v = df.where(F.col(key).isNotNull() & F.col(x).isNotNull()).select(key, F.col(x).alias("x"), value_chunk(F.col(x)).alias("__chunk"))
-    w = Window.partitionBy(key).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sums = v.groupBy(key, "__chunk").agg(F.count("*").alias("s")).select(key, "__chunk", "s", F.coalesce(F.sum("s").over(w), F.lit(0)).alias("__before"), F.sum("s").over(Window.partitionBy(key)).alias("n"))
+    keys = [key] if isinstance(key, str) else key
+    there = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in [*keys, x]))
+    v = df.where(there).select(*keys, F.col(x).alias("x"), value_chunk(F.col(x)).alias("__chunk"))
+    w = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sums = v.groupBy(*keys, "__chunk").agg(F.count("*").alias("s")).select(*keys, "__chunk", "s", F.coalesce(F.sum("s").over(w), F.lit(0)).alias("__before"), F.sum("s").over(Window.partitionBy(*keys)).alias("n"))
     inside = F.lit(False)
     for rank in ranks.values():
         inside |= (F.col("__before") <= rank) & (rank < F.col("__before") + F.col("s"))
     needed = sums.where((F.col("n") >= least) & inside).drop("s")
-    c = v.join(needed, [key, "__chunk"]).groupBy(key, "n", "__chunk", "__before", "x").agg(F.count("*").alias("c"))
-    own = F.sum("c").over(Window.partitionBy(key, "__chunk").orderBy("x").rowsBetween(Window.unboundedPreceding, -1))
+    c = v.join(needed, [*keys, "__chunk"]).groupBy(*keys, "n", "__chunk", "__before", "x").agg(F.count("*").alias("c"))
+    own = F.sum("c").over(Window.partitionBy(*keys, "__chunk").orderBy("x").rowsBetween(Window.unboundedPreceding, -1))
     r = c.withColumn("lo", F.col("__before") + F.coalesce(own, F.lit(0)))
     hit = lambda rank: F.max(F.when((F.col("lo") <= rank) & (rank < F.col("lo") + F.col("c")), F.col("x")))
-    return r.groupBy(key, "n").agg(*(hit(rank).alias(name) for name, rank in ranks.items()))
+    return r.groupBy(*keys, "n").agg(*(hit(rank).alias(name) for name, rank in ranks.items()))
 
 
 def quantile_ranks(qs: dict[str, float]) -> dict[str, Column]:

@@ -133,47 +133,61 @@ def disposition(spark, sf_dir: str) -> DataFrame:
     return e.groupBy(state.alias("state"), F.coalesce(F.when(F.col("acknowledged"), F.col("ack_reason")).otherwise(F.col("rule_id")), F.lit("")).alias("why")).agg(F.count("*").alias("n"))
 
 
-_GROUPS = "k string, lead_us bigint, last_us bigint, lead_id string, n bigint"
+_MEMBERS = "k string, t_us bigint, event_id string, lead_us bigint, lead_id string"
 
 
 def _anchored(width_us: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, lead, last, lead_id, n = None, 0, 0, None, 0
-        out: list[tuple] = []
+        key, lead, lead_id = None, 0, None
         for b in batches:
-            for k, t, i in zip(b.column("k").to_pylist(), np.asarray(b.column("t_us")).tolist(), b.column("event_id").to_pylist()):
+            keys, us, ids = b.column("k").to_pylist(), np.asarray(b.column("t_us")).tolist(), b.column("event_id").to_pylist()
+            leads, lead_ids = [], []
+            for k, t, i in zip(keys, us, ids):
                 if k != key or lead - t >= width_us:
-                    if n:
-                        out.append((key, lead, last, lead_id, n))
-                    key, lead, lead_id, n = k, t, i, 0
-                last, n = t, n + 1
-            if len(out) > 10_000:
-                yield _batch(out)
-                out = []
-        if n:
-            out.append((key, lead, last, lead_id, n))
-        yield _batch(out)
-
-    def _batch(out: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*out)) if out else [[]] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()))], names=["k", "lead_us", "last_us", "lead_id", "n"])
+                    key, lead, lead_id = k, t, i
+                leads.append(lead)
+                lead_ids.append(lead_id)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leads, pa.int64()), pa.array(lead_ids, pa.string())], names=[c.split()[0] for c in _MEMBERS.split(", ")])
 
     return work
 
 
-def group_near(ev: DataFrame, key: Column, width_us: int = 300_000_000) -> DataFrame:
-    """Groups of events with the same key less than ``width_us`` before the group's lead, the latest first: ``k``, ``lead_us``, ``last_us``, ``lead_id``, ``n``.
+def group_members(ev: DataFrame, key: Column, width_us: int = 300_000_000) -> DataFrame:
+    """Every event with the lead of its group: events with the same key less than ``width_us`` before the lead, which is the latest.
 
-    A group is anchored at its lead, so that it is no session. The ordered rows stream through, one group is held at a time, of no more than its numbers.
+    A group is anchored at its lead, so that it is no session, and where one begins
+    depends on all before. The ordered rows stream through, and only the lead is held;
+    a hot key is one task that costs time and no memory.
     """
     slim = ev.select(key.alias("k"), "t_us", "event_id").where("k is not null and t_us is not null")
-    return slim.repartition("k").sortWithinPartitions("k", F.desc("t_us"), "event_id").mapInArrow(_anchored(width_us), _GROUPS)
+    return slim.repartition("k").sortWithinPartitions("k", F.desc("t_us"), "event_id").mapInArrow(_anchored(width_us), _MEMBERS)
+
+
+def group_near(ev: DataFrame, key: Column, width_us: int = 300_000_000) -> DataFrame:
+    """The groups of ``group_members``: ``k``, ``lead_us``, ``last_us``, ``lead_id``, ``n``."""
+    return group_members(ev, key, width_us).groupBy("k", "lead_us", "lead_id").agg(F.min("t_us").alias("last_us"), F.count("*").alias("n")).select("k", "lead_us", "last_us", "lead_id", "n")
+
+
+def near_key() -> Column:
+    """What near duplicates have in common: name, address and set of tags."""
+    return F.to_json(F.struct("domain", "source_ip", F.array_sort("tags").alias("tags")))
 
 
 @R.query()
 def near_dup_groups(spark, sf_dir: str) -> DataFrame:
-    ev = events(spark, sf_dir)
-    return group_near(ev, F.to_json(F.struct("domain", "source_ip", F.array_sort("tags").alias("tags"))))
+    return group_near(events(spark, sf_dir), near_key())
+
+
+@R.query()
+def near_dup_members(spark, sf_dir: str) -> DataFrame:
+    """Every event with the lead of its group of near duplicates (AGG-10)."""
+    return group_members(events(spark, sf_dir), near_key()).select("event_id", "lead_id", "lead_us")
+
+
+@R.query()
+def near_dup_page(spark, sf_dir: str) -> DataFrame:
+    """The first 30 groups, the latest first (ORD-07)."""
+    return group_near(events(spark, sf_dir), near_key()).orderBy(F.desc("lead_us"), "lead_id").limit(30).select("lead_id", "lead_us", "n")
 
 
 def echo_dedup(ev: DataFrame, batch_us: int = 10_000_000, within_us: int = 2_000_000) -> DataFrame:

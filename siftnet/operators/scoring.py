@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftnet.functions import domain as D
-from siftnet.operators.detect import rows, sql_rows
+from siftnet.operators.detect import _BEACON_SQL, _INTEL_SQL, beacons, best_indicator, effective, indicators, rows, sql_rows
 from siftnet.operators.devices import INVENTORY, inventory
-from siftnet.plans.base import EV, HOSTS, Registry, events, hosts
+from siftnet.plans.base import EV, HOSTS, Registry, deliveries, events, hosts, now_us
 from siftnet.plans.fixtures import HOSTNAME_RULES, VENDOR_PREFIXES
+from siftnet.session import materialize
+from siftnet.tables import pack_hex
 
 R = Registry()
 
@@ -105,6 +107,85 @@ def tunnel_composite(spark, sf_dir: str) -> DataFrame:
     return tunnel_six(events(spark, sf_dir))
 
 
+# Risks of suffixes as designed; all others have 0.05.
+DESIGN_RISK = {
+    "tk": 0.95, "ga": 0.95, "cf": 0.95, "ml": 0.95, "gq": 0.95, "xyz": 0.80, "top": 0.80, "club": 0.75, "work": 0.75, "buzz": 0.80, "surf": 0.80, "icu": 0.80, "pw": 0.85, "ws": 0.70,
+    "info": 0.55, "biz": 0.55, "online": 0.55, "site": 0.55, "live": 0.50, "click": 0.60, "link": 0.55, "space": 0.50, "cc": 0.30, "co": 0.25, "me": 0.20, "io": 0.15, "ru": 0.35, "cn": 0.35,
+}
+PAIR_FLOOR = 1e-10
+
+
+def pair_frequencies(labels: DataFrame, label: str) -> dict[str, float]:
+    """How often each pair of letters, digits and hyphens occurs in a corpus of labels, as a share of all; at most 37 x 37 numbers."""
+    pairs = labels.select(F.explode(F.transform(F.sequence(F.lit(1), F.length(label) - 1), lambda i: F.substring(F.col(label), i, F.lit(2)))).alias("p"))
+    got = pairs.where("length(p) = 2").where(F.col("p").rlike("^[a-z0-9-]{2}$")).groupBy("p").agg(F.count("*").alias("n")).collect()
+    total = sum(r.n for r in got)
+    return {r.p: r.n / total for r in got}
+
+
+def design_parts(label: Column, suffix: Column, frequencies: dict[str, float], words: list[str]) -> dict[str, Column]:
+    """The four parts of the designed score of a label: entropy, pairs (the geometric mean of their frequencies), words (what they don't cover) and suffix."""
+    table = F.create_map(*(F.lit(x) for kv in frequencies.items() for x in kv)) if frequencies else F.create_map().cast("map<string,double>")
+
+    def pairs(s: Column) -> Column:
+        p = F.filter(F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.substring(s, i, F.lit(2))), lambda x: x.rlike("^[a-z0-9-]{2}$"))
+        logs = F.transform(p, lambda x: F.log10(F.greatest(F.coalesce(table[x], F.lit(0.0)), F.lit(PAIR_FLOOR))))
+        return F.when(F.size(logs) == 0, 1.0).otherwise(clamp(1 - (F.aggregate(F.array_sort(logs), F.lit(0.0), lambda a, x: a + x) / F.size(logs) + 4) / 2.5))
+
+    short = F.length(label) < 3
+    risk = F.coalesce(F.create_map(*(F.lit(x) for kv in DESIGN_RISK.items() for x in kv))[suffix], F.lit(0.05))
+    return {"entropy": clamp((D.entropy(label) - 2.5) / 2), "pairs": F.when(short, 0.0).otherwise(pairs(label)), "words": F.when(short, 0.5).otherwise(1 - word_ratio(label, words)), "suffix": risk}
+
+
+@R.query(f"""with {EV}, n as (select domain, count(*) as c from ev where domain is not null group by domain), l as (select domain, c, {D.label_sql('domain')} as label from n), top as (select label from l order by c desc, domain limit 1000),
+ pr as (select substring(label, i, 2) as p from (select label, unnest(range(1, length(label))) as i from top) x), fr as (select p, count(*) / sum(count(*)) over () as f from pr where regexp_full_match(p, '[a-z0-9-]{{2}}') group by p),
+ lp as (select label, substring(label, i, 2) as p from (select label, unnest(range(1, length(label))) as i from (select distinct label from l)) x), g as (select label, avg(log10(greatest(coalesce(f, 0), 1e-10))) as m from lp left join fr using (p) where regexp_full_match(p, '[a-z0-9-]{{2}}') group by label),
+ s as (select domain, label, least(1, greatest(0, ({D.entropy_sql('label')} - 2.5::double) / 2)) as e, case when length(label) < 3 then 0 when m is null then 1 else least(1, greatest(0, 1 - (m + 4) / 2.5::double)) end as b,
+  case when length(label) < 3 then 0.5::double else 1 - coalesce(list_sum(list_transform(regexp_extract_all(label, '{_PATTERN}'), lambda w: length(w))), 0) / length(label) end as w, case string_split(domain, '.')[-1] {" ".join(f"when '{k}' then {v}::double" for k, v in DESIGN_RISK.items())} else 0.05::double end as t from l left join g using (label))
+ select domain, round(least(1, 0.30::double * e + 0.30::double * b + 0.25::double * w + 0.15::double * t), 4) as score from s""")
+def dga_design(spark, sf_dir: str) -> DataFrame:
+    """Scores of distinct names as designed (SCA-26); the reference frequencies are those of the 1000 most frequent names, the words a small list."""
+    n = events(spark, sf_dir, named=True).groupBy("domain").agg(F.count("*").alias("c")).withColumn("label", D.effective_label(F.col("domain")))
+    n = materialize(n, "names")
+    freq = pair_frequencies(n.orderBy(F.desc("c"), "domain").limit(1000), "label")
+    p = design_parts(F.col("label"), F.substring_index("domain", ".", -1), freq, WORDS)
+    return n.select("domain", F.round(clamp(0.30 * p["entropy"] + 0.30 * p["pairs"] + 0.25 * p["words"] + 0.15 * p["suffix"]), 4).alias("score"))
+
+
+SIGNALS = (("dga", "dga_candidate"), ("beacon", "beaconing"), ("tunnel", "dns_tunnel"), ("reputation", "known_bad"))
+LEVELS = ((0.85, "critical"), (0.70, "high"), (0.50, "warning"), (0.30, "info"))
+
+
+def threat(scores: dict[str, Column]) -> Column:
+    """Struct of the composite as designed: the greatest of four signals, and 0.10 for each further one above 0.3; with the primary signal, the tags and the level."""
+    of = {k: F.coalesce(scores[k], F.lit(0.0)) for k, _ in SIGNALS}
+    top = F.greatest(*of.values())
+    strong = sum((F.when(c > 0.3, 1).otherwise(0) for c in of.values()), F.lit(0))
+    total = clamp(top + 0.10 * F.greatest(strong - 1, F.lit(0)))
+    primary, level = F.lit(None).cast("string"), F.lit("none")
+    for k, _ in reversed(SIGNALS):
+        primary = F.when((of[k] == top) & (top > 0), k).otherwise(primary)
+    for least, name in reversed(LEVELS):
+        level = F.when(F.round(total, 9) >= least, name).otherwise(level)
+    return F.struct(total.alias("score"), primary.alias("primary"), F.array_compact(F.array(*(F.when(of[k] > 0.3, tag) for k, tag in SIGNALS))).alias("tags"), level.alias("level"))
+
+
+@R.query(f"""with {_INTEL_SQL}, {_BEACON_SQL[len(EV) + 2:]}, b as (select domain, max(case when cv < 0.05 then 1.0::double when cv < 0.15 then 0.5::double + 0.5::double * (0.15::double - cv) / (0.15::double - 0.05::double) when cv < 0.30 then 0.1::double + 0.4::double * (0.30::double - cv) / (0.30::double - 0.15::double) else 0 end) as beacon from cvs group by domain),
+ l as (select domain, {D.label_sql('domain')} as label, {D.tunnel_sql('domain')} as tun from (select distinct domain from ev where domain is not null)),
+ h as (select *, {D.entropy_sql('label')} as h, {D.bigram_sql('label')} as bg from l), d as (select domain, tun, case when strlen(label) < 4 then 0 else 0.6::double * case when strlen(label) < 6 or h < 3.0 then 0 when h > 4.2 then 1 else (h - 3.0::double) / 1.2::double end + 0.4::double * bg end as dga from h),
+ x as (select d.domain, [d.dga, coalesce(b.beacon, 0), d.tun, coalesce(e.confidence, 0)] as xs from d left join b using (domain) left join eff e on d.domain = e.indicator)
+ select domain, round(least(1, list_max(xs) + 0.10::double * greatest(len(list_filter(xs, lambda v: v > 0.3)) - 1, 0)), 5) as score from x""")
+def composite_design(spark, sf_dir: str) -> DataFrame:
+    """The composite of distinct names as designed (SCA-29), of machine-made labels, tunnels, indicators and the greatest beacon of any source."""
+    slim = lambda e: e.select(pack_hex("event_id").alias("event_id"), pack_hex("source_hash").alias("source_hash"), "domain", "t_us")
+    b = beacons(slim(events(spark, sf_dir, "source_hash is not null", named=True)), counted=slim(deliveries(spark, sf_dir, "source_hash is not null", named=True)))
+    b = b.groupBy("domain").agg(F.max("beacon").alias("beacon"))
+    best = best_indicator(indicators(spark, sf_dir)).select(F.col("indicator").alias("domain"), effective(F.col("confidence"), F.col("last_us"), F.col("ttl_hours"), now_us(spark, sf_dir)).alias("reputation"))
+    n = deliveries(spark, sf_dir, named=True).select("domain").distinct().join(b, "domain", "left").join(best, "domain", "left")
+    t = threat({"dga": D.dga(F.col("domain"))["score"], "beacon": F.col("beacon"), "tunnel": D.tunnel(F.col("domain"))["score"], "reputation": F.col("reputation")})
+    return n.select("domain", F.round(t["score"], 5).alias("score"))
+
+
 _SERV = sql_rows(SERVICES, "port, s_type")
 _OPTS = sql_rows(OPTION_LISTS, "opts, o_type, o_conf")
 _RULES = sql_rows(HOSTNAME_RULES, "ord, pattern, h_type, h_conf")

@@ -56,14 +56,29 @@ def spike_emerging(spark, sf_dir: str) -> DataFrame:
     return emerging(hourly(events(spark, sf_dir, named=True, from_us=now - now % HOUR - 2 * DAY)), now)
 
 
-@R.query(f"""with {EV}, m as (select max(t_us) as now from ev), c as (select domain, count(*) filter (t_us >= now - 21600000000) as recent, count(*) filter (t_us >= now - 604800000000 and t_us < now - 21600000000) / 28.0::double as base from ev, m where domain is not null group by domain)
- select domain, recent, round(base, 6) as base, round(recent / greatest(base, 1), 6) as ratio from c where recent >= 5 and recent / greatest(base, 1) > 2 order by ratio desc, domain limit 500""")
+def standing_out(ev: DataFrame, now: int, ratio: float = 5.0, least: int = 10) -> DataFrame:
+    """Names whose last six hours have more than ``ratio`` times a 28th of the week before, and ``least`` events; the top 500."""
+    c = ev.groupBy("domain").agg(F.count_if(F.col("t_us") >= now - 6 * HOUR).alias("recent"), (F.count_if(F.col("t_us") < now - 6 * HOUR) / 28.0).alias("base"))
+    c = c.withColumn("ratio", F.round(F.col("recent") / F.greatest(F.col("base"), F.lit(1.0)), 6))
+    return c.where((F.col("recent") >= least) & (F.col("ratio") > ratio)).orderBy(F.desc("ratio"), "domain").limit(500).select("domain", "recent", F.round("base", 6).alias("base"), "ratio")
+
+
+_STANDING = """with {EV}, m as (select max(t_us) as now from ev), c as (select domain, count(*) filter (t_us >= now - 21600000000) as recent, count(*) filter (t_us >= now - 604800000000 and t_us < now - 21600000000) / 28.0::double as base from ev, m where domain is not null group by domain)
+ select domain, recent, round(base, 6) as base, round(recent / greatest(base, 1), 6) as ratio from c where recent >= {least} and recent / greatest(base, 1) > {ratio} order by ratio desc, domain limit 500"""
+
+
+@R.query(_STANDING.replace("{EV}", EV).replace("{least}", "5").replace("{ratio}", "2"))
 def spike_6h_7d(spark, sf_dir: str) -> DataFrame:
-    """Names whose last six hours stand out against a 28th of the week before."""
+    """Names whose last six hours stand out, with low limits that these tables reach."""
     now = now_us(spark, sf_dir)
-    c = events(spark, sf_dir, named=True, from_us=now - 7 * DAY).groupBy("domain").agg(F.count_if(F.col("t_us") >= now - 6 * HOUR).alias("recent"), (F.count_if(F.col("t_us") < now - 6 * HOUR) / 28.0).alias("base"))
-    c = c.withColumn("ratio", F.round(F.col("recent") / F.greatest(F.col("base"), F.lit(1.0)), 6))
-    return c.where("recent >= 5 and ratio > 2").orderBy(F.desc("ratio"), "domain").limit(500).select("domain", "recent", F.round("base", 6).alias("base"), "ratio")
+    return standing_out(events(spark, sf_dir, named=True, from_us=now - 7 * DAY), now, 2.0, 5)
+
+
+@R.query(_STANDING.replace("{EV}", EV).replace("{least}", "10").replace("{ratio}", "5"))
+def spike_week(spark, sf_dir: str) -> DataFrame:
+    """The same with the limits as surveyed (AGG-22)."""
+    now = now_us(spark, sf_dir)
+    return standing_out(events(spark, sf_dir, named=True, from_us=now - 7 * DAY), now)
 
 
 def gaps(spark, sf_dir: str, *keys: str, **which) -> DataFrame:
@@ -76,6 +91,18 @@ def gaps(spark, sf_dir: str, *keys: str, **which) -> DataFrame:
 QUARTILES = {"q1": 0.25, "q2": 0.5, "q3": 0.75}
 
 
+def beacon_design(g: DataFrame, keys: list[str], least: int = 5) -> DataFrame:
+    """Scores of keys by their intervals as designed: skewness, deviation from the median, number (full at 50) and duration (full at six hours) weighted 0.3, 0.3, 0.2, 0.2; only keys with ``least`` intervals."""
+    q = order_statistics(g, keys, "gap_s", quantile_ranks(QUARTILES), least).select(*keys, "n", *(quantile(k, v).alias(k) for k, v in QUARTILES.items()))
+    dev = g.join(q.select(*keys, "q2"), keys).select(*keys, F.abs(F.col("gap_s") - F.col("q2")).alias("dev"))
+    mad = order_statistics(dev, keys, "dev", quantile_ranks({"m": 0.5})).select(*keys, quantile("m", 0.5).alias("mad"))
+    span = g.groupBy(*keys).agg((F.sum("gap_s") / 3600).alias("span_h"))
+    bowley = F.when(F.col("q3") > F.col("q1"), F.abs((F.col("q3") + F.col("q1") - 2 * F.col("q2")) / (F.col("q3") - F.col("q1")))).otherwise(0.0)
+    part = lambda c: F.least(F.lit(1.0), c)
+    score = 0.3 * (1 - bowley) + 0.3 * F.greatest(F.lit(0.0), 1 - F.col("mad") / 30.0) + 0.2 * part(F.log2("n") / F.log2(F.lit(50.0))) + 0.2 * part(F.col("span_h") / 6.0)
+    return q.join(mad, keys).join(span, keys).select(*keys, "n", F.greatest(F.lit(0.0), part(score)).alias("score"))
+
+
 def skew_and_spread(g: DataFrame, key: str = "domain", least: int = 10) -> DataFrame:
     """``key``, ``n``, ``bowley`` (skewness by quartiles) and ``mad`` (the upper median deviation from the median) of the intervals of each key: exact order statistics, in two passes over the counted intervals."""
     q = order_statistics(g, key, "gap_s", quantile_ranks(QUARTILES), least).select(key, *(quantile(k, v).alias(k) for k, v in QUARTILES.items()))
@@ -88,11 +115,25 @@ def skew_and_spread(g: DataFrame, key: str = "domain", least: int = 10) -> DataF
 GAPS = "gp as (select domain, (t_us - lag(t_us) over (partition by domain order by t_us, event_id)) / 1e6::double as gap_s from ev where domain is not null)"
 
 
-@R.query(f"with {EV}, {GAPS} select domain, count(*) as n, round(avg(gap_s) / greatest(stddev_samp(gap_s), 0.01), 5) as regularity from gp where gap_s is not null group by domain having count(*) > 20 and avg(gap_s) / greatest(stddev_samp(gap_s), 0.01) > 0.9")
+def regular(g: DataFrame, least: float = 5.0, samples: int = 20) -> DataFrame:
+    """Keys whose intervals have a mean of more than ``least`` times their deviation, with more than ``samples`` of them."""
+    r = g.groupBy("domain").agg(F.count("*").alias("n"), (F.avg("gap_s") / F.greatest(F.stddev_samp("gap_s"), F.lit(0.01))).alias("r"))
+    return r.where((F.col("n") > samples) & (F.col("r") > least)).select("domain", "n", F.round("r", 5).alias("regularity"))
+
+
+_REGULAR = "with {EV}, {GAPS} select domain, count(*) as n, round(avg(gap_s) / greatest(stddev_samp(gap_s), 0.01), 5) as regularity from gp where gap_s is not null group by domain having count(*) > 20 and avg(gap_s) / greatest(stddev_samp(gap_s), 0.01) > {least}"
+
+
+@R.query(_REGULAR.replace("{EV}", EV).replace("{GAPS}", GAPS).replace("{least}", "0.9"))
 def interval_regularity(spark, sf_dir: str) -> DataFrame:
-    """Names that are asked for at regular intervals, by mean over deviation."""
-    g = gaps(spark, sf_dir, "domain").groupBy("domain").agg(F.count("*").alias("n"), (F.avg("gap_s") / F.greatest(F.stddev_samp("gap_s"), F.lit(0.01))).alias("r"))
-    return g.where("n > 20 and r > 0.9").select("domain", "n", F.round("r", 5).alias("regularity"))
+    """Names that are asked for at regular intervals, by mean over deviation, with a low limit that these tables reach."""
+    return regular(gaps(spark, sf_dir, "domain"), 0.9)
+
+
+@R.query(_REGULAR.replace("{EV}", EV).replace("{GAPS}", GAPS).replace("{least}", "5"))
+def regular_names(spark, sf_dir: str) -> DataFrame:
+    """The same with the limit as surveyed (WIN-04)."""
+    return regular(gaps(spark, sf_dir, "domain"))
 
 
 @R.query(f"""with {EV}, {GAPS}, q as (select domain, count(*) as n, quantile_cont(gap_s, [0.25, 0.5, 0.75]) as q, list(gap_s) as xs from gp where gap_s is not null group by domain having count(*) >= 10),
@@ -121,6 +162,16 @@ def beacon_scores_v2(spark, sf_dir: str) -> DataFrame:
     return x.select("domain", F.round(beacon_v2(F.col("bowley"), F.col("mad"), F.col("n"), F.col("span_h")), 5).alias("score"))
 
 
+@R.query(f"""with {EV}, m as (select max(t_us) as now from ev), gp as (select source_hash, domain, (t_us - lag(t_us) over (partition by source_hash, domain order by t_us, event_id)) / 1e6::double as gap_s from ev, m where domain is not null and source_hash is not null and t_us >= now - 86400000000),
+ q as (select source_hash, domain, count(*) as n, quantile_cont(gap_s, [0.25, 0.5, 0.75]) as q, list(gap_s) as xs, sum(gap_s) / 3600 as span_h from gp where gap_s is not null group by 1, 2 having count(*) >= 5),
+ d as (select *, list_aggregate(list_transform(xs, lambda x: abs(x - q[2])), 'quantile_cont', 0.5) as mad from q)
+ select source_hash, domain, n, round(least(1, 0.3::double * (1 - case when q[3] > q[1] then abs((q[3] + q[1] - 2 * q[2]) / (q[3] - q[1])) else 0 end) + 0.3::double * greatest(0, 1 - mad / 30.0::double) + 0.2::double * least(1, log2(n) / log2(50)) + 0.2::double * least(1, span_h / 6.0::double)), 5) as score from d""")
+def beacon_pairs_v2(spark, sf_dir: str) -> DataFrame:
+    """The later design by source and name over the last day, as surveyed (SCA-27); over all events of that day instead of the last 64."""
+    g = gaps(spark, sf_dir, "source_hash", "domain", from_us=now_us(spark, sf_dir) - DAY, where="source_hash is not null")
+    return beacon_design(g, ["source_hash", "domain"]).withColumn("score", F.round("score", 5))
+
+
 @R.query(f"""with {EV}, {HOURLY}, m as (select max(t_us) - max(t_us) % 3600000000 as last from ev), top as (select domain from hr group by domain order by sum(n) desc, domain limit 20), g as (select domain, last - i * 3600000000 as h_us from top, m, range(24) t(i))
  select g.domain, string_agg(coalesce(n, 0)::varchar, ',' order by g.h_us) as line from g left join hr using (domain, h_us) group by g.domain""")
 def sparklines(spark, sf_dir: str) -> DataFrame:
