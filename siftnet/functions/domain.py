@@ -156,3 +156,19 @@ def tunnel_sql(d: str) -> str:
         f"case when {most} >= 8 and {entropy_sql(_longest_sql(sub))} > 3.8 then 0.15::double else 0 end",
     ]
     return f"case when len({p}) >= 3 then least(1.0::double, {' + '.join(parts)}) else 0 end"
+
+
+def tunnel_signals_sql(d: str) -> str:
+    """The signals of ``tunnel`` as a list."""
+    p = f"string_split({d}, '.')"
+    sub = f"{p}[1:len({p}) - case when len({p}) >= 4 and array_to_string({p}[-2:], '.') in ({_TLDS}) then 3 else 2 end]"
+    most, total = f"list_max(list_transform({sub}, lambda x: strlen(x)))", f"list_sum(list_transform({sub}, lambda x: strlen(x)))"
+    enc = f"list_filter({sub}, lambda x: strlen(x) >= 16 and regexp_full_match(x, '[A-Za-z0-9+/=]{{16,}}'))[1]"
+    parts = [
+        f"case when {most} > 50 then 'very_long_label' when {most} > 30 then 'long_label' end",
+        f"case when regexp_full_match({enc}, '[0-9a-f]{{16,}}') then 'hex_encoded' when {enc} is not null then 'base64_encoded' end",
+        f"case when len({sub}) > 4 then 'deep_subdomain' end",
+        f"case when {total} > 100 then 'high_total_length' when {total} > 60 then 'moderate_total_length' end",
+        f"case when {most} >= 8 and {entropy_sql(_longest_sql(sub))} > 3.8 then 'high_entropy_subdomain' end",
+    ]
+    return f"case when len({p}) >= 3 then list_filter([{', '.join(parts)}], lambda x: x is not null) else [] end"

@@ -52,6 +52,16 @@ def reputation_hourly(spark, sf_dir: str) -> DataFrame:
     )
 
 
+@R.query(f"""with {EV}, t as (select domain, t_us - t_us % 86400000000 as d_us, count(distinct tag) as n_tags from (select domain, t_us, unnest(tags) as tag from ev where domain is not null) group by 1, 2),
+ g as (select domain, t_us - t_us % 86400000000 as d_us, count(*) as n, round(sum(anomaly_score) / count(*), 6) as mean, max(anomaly_score) as score_max, count(*) filter (blocked) as blocked from ev where domain is not null group by 1, 2)
+ select g.domain, g.d_us, n, mean, score_max, blocked, coalesce(n_tags, 0)::int as n_tags, true as near from g left join t on g.domain = t.domain and g.d_us = t.d_us""")
+def reputation_near(spark, sf_dir: str) -> DataFrame:
+    """The days of ``reputation_merged``, and whether its counts of nodes are within a twentieth (or one) of the exact ones."""
+    exact = events(spark, sf_dir, named=True).groupBy("domain", hour_of("t_us", DAY).alias("d_us")).agg(F.countDistinct("source_hash").alias("exact"))
+    near = F.abs(F.col("nodes") - F.col("exact")) <= F.greatest(F.lit(1.0), 0.05 * F.col("exact"))
+    return reputation_merged(spark, sf_dir).join(exact, ["domain", "d_us"]).select("domain", "d_us", "n", "mean", "score_max", "blocked", "n_tags", near.alias("near"))
+
+
 @R.query()
 def reputation_merged(spark, sf_dir: str) -> DataFrame:
     """The same by day, from hourly partial states with sketches."""

@@ -54,7 +54,7 @@ def tunnel_scores(spark, sf_dir: str) -> DataFrame:
     return d.withColumn("is_tunnel", F.col("score") >= D.TUNNEL_THRESHOLD)
 
 
-@R.query()
+@R.query(f"with {EV}, s as (select unnest({D.tunnel_signals_sql('domain')}) as signal from ev where domain is not null) select signal, count(*) as n from s group by signal")
 def tunnel_signals(spark, sf_dir: str) -> DataFrame:
     """How often each signal of a tunnel occurs."""
     d = events(spark, sf_dir, named=True).select(F.explode(D.tunnel(F.col("domain"))["signals"]).alias("signal"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftnet.operators.detect import INDICATORS, indicators, rows, sql_rows
-from siftnet.plans.base import EV, HOSTS, Registry, events, hosts, now_us
+from siftnet.plans.base import EV, HOSTS, Registry, events, hosts, last_time, now_us
 from siftnet.plans.fixtures import HOSTNAME_RULES, VENDOR_PREFIXES, VENDOR_TYPES
 from siftnet.tables import load
 
@@ -50,7 +50,7 @@ def device_inventory(spark, sf_dir: str) -> DataFrame:
 @R.query(f"with {HOSTS}, {INVENTORY}, m as (select max(t_us) as now from hosts) select device, first_us from inv, m where first_us > now - 86400000000")
 def new_devices(spark, sf_dir: str) -> DataFrame:
     h = hosts(spark, sf_dir)
-    return inventory(h).where(F.col("first_us") > now_us(spark, sf_dir, "device_reports", "scan_time") - DAY).select("device", "first_us")
+    return inventory(h).where(F.col("first_us") > last_time(h) - DAY).select("device", "first_us")
 
 
 @R.query(f"""with {EV}, {HOSTS}, d as (select ip, arg_max(coalesce(hostname, ''), (t_us, report_id, pos)) as hostname, arg_max(coalesce(mac, ''), (t_us, report_id, pos)) as mac from hosts where ip is not null group by ip)
@@ -74,11 +74,21 @@ def upsert_devices(known: DataFrame, seen: DataFrame) -> DataFrame:
 def _half(h: DataFrame, early: bool) -> DataFrame:
     part = h.where((F.col("report_id") % 2 == 0) if early else (F.col("report_id") % 2 == 1))
     inv = inventory(part)
-    conf = F.pmod(F.crc32("device"), F.lit(100 if early else 90)) / 100.0
-    return inv.select("device", "hostname", "vendor", "ip", "first_us", "last_us", F.lit("scan-a" if early else "scan-b").alias("device_type"), conf.alias("confidence"), (F.pmod(F.crc32("device"), F.lit(7)) == 0).alias("locked"))
+    mark = F.ascii(F.right("device", F.lit(1))) * 7 + F.ascii(F.right("device", F.lit(2)))
+    conf = F.pmod(mark, F.lit(100 if early else 90)) / 100.0
+    return inv.select("device", "hostname", "vendor", "ip", "first_us", "last_us", F.lit("scan-a" if early else "scan-b").alias("device_type"), conf.alias("confidence"), (F.pmod(mark, F.lit(7)) == 0).alias("locked"))
 
 
-@R.query()
+def _half_sql(name: str, parity: int, mod: int) -> str:
+    mark = "(ascii(right(device, 1)) * 7 + ascii(right(device, 2)))"
+    return f"""{name}_k as (select *, coalesce(mac, concat_ws('@', ip, segment)) as device from hosts where (mac is not null or ip is not null) and report_id % 2 = {parity}),
+ {name} as (select device, arg_max(hostname, (t_us, report_id, pos)) filter (hostname is not null) as hostname, arg_max(vendor, (t_us, report_id, pos)) filter (vendor is not null) as vendor, nullif(arg_max(coalesce(ip, ''), (t_us, report_id, pos)), '') as ip, min(t_us) as first_us, max(t_us) as last_us,
+  'scan-{name}' as device_type, {mark} % {mod} / 100.0::double as confidence, {mark} % 7 = 0 as locked from {name}_k group by device)"""
+
+
+@R.query(f"""with {HOSTS}, {_half_sql('a', 0, 100)}, {_half_sql('b', 1, 90)}
+ select device, coalesce(b.hostname, a.hostname) as hostname, coalesce(b.vendor, a.vendor) as vendor, coalesce(b.ip, a.ip) as ip, least(a.first_us, b.first_us) as first_us, greatest(a.last_us, b.last_us) as last_us,
+  case when coalesce(a.locked, false) or coalesce(b.confidence, -1) < coalesce(a.confidence, 0) then coalesce(a.device_type, b.device_type) else coalesce(b.device_type, a.device_type) end as device_type, greatest(a.confidence, b.confidence) as confidence, coalesce(a.locked, false) as locked from a full join b using (device)""")
 def device_upsert(spark, sf_dir: str) -> DataFrame:
     """Half of the reports as the table, the other half as a scan."""
     h = hosts(spark, sf_dir)

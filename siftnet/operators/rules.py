@@ -173,18 +173,25 @@ def near_key() -> Column:
     return F.to_json(F.struct("domain", "source_ip", F.array_sort("tags").alias("tags")))
 
 
-@R.query()
+#: Leads are found one after the other, each from the one before.
+_NEAR_SQL = f"""with recursive {EV}, e as (select concat_ws('|', coalesce(domain, '~'), coalesce(source_ip, '~'), coalesce(array_to_string(list_sort(tags), ','), '~')) as k, t_us, event_id from ev where t_us is not null),
+ ld as (select k, max(t_us) as lead_us from e group by k union all select e.k, max(e.t_us) from ld join e on e.k = ld.k and e.t_us <= ld.lead_us - 300000000 group by e.k, ld.lead_us),
+ w as (select k, lead_us from ld), m as (select w.k, w.lead_us, e.t_us, e.event_id, min(case when e.t_us = w.lead_us then e.event_id end) over (partition by w.k, w.lead_us) as lead_id from w join e on e.k = w.k and e.t_us <= w.lead_us and e.t_us > w.lead_us - 300000000)"""
+
+
+@R.query(_NEAR_SQL + " select lead_us, min(t_us) as last_us, lead_id, count(*) as n from m group by lead_us, lead_id, k")
 def near_dup_groups(spark, sf_dir: str) -> DataFrame:
-    return group_near(events(spark, sf_dir), near_key())
+    """Groups of near duplicates, each named by its lead."""
+    return group_near(events(spark, sf_dir), near_key()).drop("k")
 
 
-@R.query()
+@R.query(_NEAR_SQL + " select event_id, lead_id, lead_us from m")
 def near_dup_members(spark, sf_dir: str) -> DataFrame:
     """Every event with the lead of its group of near duplicates (AGG-10)."""
     return group_members(events(spark, sf_dir), near_key()).select("event_id", "lead_id", "lead_us")
 
 
-@R.query()
+@R.query(_NEAR_SQL + " select lead_id, lead_us, count(*) as n from m group by lead_us, lead_id, k order by lead_us desc, lead_id limit 30")
 def near_dup_page(spark, sf_dir: str) -> DataFrame:
     """The first 30 groups, the latest first (ORD-07)."""
     return group_near(events(spark, sf_dir), near_key()).orderBy(F.desc("lead_us"), "lead_id").limit(30).select("lead_id", "lead_us", "n")

@@ -90,7 +90,7 @@ def tunnel_six(ev: DataFrame, minutes: int = WINDOW_MINUTES) -> DataFrame:
     # the characters of base64 include those of base32 and hexadecimal, so that its share is the greatest
     encoding = F.when(F.col("size") < 10, 0.0).otherwise(F.regexp_count("sub", F.lit("[A-Za-z0-9_=-]")) / F.col("size") * clamp(F.col("size") / 50.0))
     score = 0.20 * clamp(F.col("size") / 100.0) + 0.15 * clamp((D.entropy(F.col("sub")) - 2.5) / 2) + 0.05 * clamp(F.col("labels") / 6.0) + F.col("traffic") + 0.20 * encoding
-    return x.select("domain", F.round(clamp(score), 5).alias("score"), signature(F.col("domain"), 0).alias("tool"), signature(F.col("domain"), 2).alias("tool_score"))
+    return x.select("domain", F.round(clamp(score), 7).alias("score"), signature(F.col("domain"), 0).alias("tool"), signature(F.col("domain"), 2).alias("tool_score"))
 
 
 def _signature_sql(of: int) -> str:
@@ -101,7 +101,7 @@ def _signature_sql(of: int) -> str:
  w as (select parent, w_us, count(*) as names, sum(odd) / sum(n) as types from k group by parent, w_us), x as (select domain, max(0.20::double * types + 0.20::double * least(1, names / 300.0::double) + boost) as traffic from k join w using (parent, w_us) group by domain),
  s as (select domain, traffic, greatest(len(string_split(domain, '.')) - 2, 0) as labels, array_to_string(string_split(domain, '.')[1:greatest(len(string_split(domain, '.')) - 2, 0)], '.') as sub from x)
  select domain, round(least(1, 0.20::double * least(1, strlen(sub) / 100.0::double) + 0.15::double * least(1, greatest(0, ({D.entropy_sql('sub')} - 2.5::double) / 2)) + 0.05::double * least(1, labels / 6.0::double) + traffic
-  + 0.20::double * case when strlen(sub) < 10 then 0 else length(regexp_replace(sub, '[^A-Za-z0-9_=-]', '', 'g')) / strlen(sub) * least(1, strlen(sub) / 50.0::double) end), 5) as score, {_signature_sql(0)} as tool, {_signature_sql(2)} as tool_score from s""")
+  + 0.20::double * case when strlen(sub) < 10 then 0 else length(regexp_replace(sub, '[^A-Za-z0-9_=-]', '', 'g')) / strlen(sub) * least(1, strlen(sub) / 50.0::double) end), 7) as score, {_signature_sql(0)} as tool, {_signature_sql(2)} as tool_score from s""")
 def tunnel_composite(spark, sf_dir: str) -> DataFrame:
     """The six signals in hourly windows, with signatures, as surveyed (SCA-28)."""
     return tunnel_six(events(spark, sf_dir))
@@ -142,14 +142,14 @@ def design_parts(label: Column, suffix: Column, frequencies: dict[str, float], w
  lp as (select label, substring(label, i, 2) as p from (select label, unnest(range(1, length(label))) as i from (select distinct label from l)) x), g as (select label, avg(log10(greatest(coalesce(f, 0), 1e-10))) as m from lp left join fr using (p) where regexp_full_match(p, '[a-z0-9-]{{2}}') group by label),
  s as (select domain, label, least(1, greatest(0, ({D.entropy_sql('label')} - 2.5::double) / 2)) as e, case when length(label) < 3 then 0 when m is null then 1 else least(1, greatest(0, 1 - (m + 4) / 2.5::double)) end as b,
   case when length(label) < 3 then 0.5::double else 1 - coalesce(list_sum(list_transform(regexp_extract_all(label, '{_PATTERN}'), lambda w: length(w))), 0) / length(label) end as w, case string_split(domain, '.')[-1] {" ".join(f"when '{k}' then {v}::double" for k, v in DESIGN_RISK.items())} else 0.05::double end as t from l left join g using (label))
- select domain, round(least(1, 0.30::double * e + 0.30::double * b + 0.25::double * w + 0.15::double * t), 4) as score from s""")
+ select domain, round(least(1, 0.30::double * e + 0.30::double * b + 0.25::double * w + 0.15::double * t), 7) as score from s""")
 def dga_design(spark, sf_dir: str) -> DataFrame:
     """Scores of distinct names as designed (SCA-26); the reference frequencies are those of the 1000 most frequent names, the words a small list."""
     n = events(spark, sf_dir, named=True).groupBy("domain").agg(F.count("*").alias("c")).withColumn("label", D.effective_label(F.col("domain")))
     n = materialize(n, "names")
     freq = pair_frequencies(n.orderBy(F.desc("c"), "domain").limit(1000), "label")
     p = design_parts(F.col("label"), F.substring_index("domain", ".", -1), freq, WORDS)
-    return n.select("domain", F.round(clamp(0.30 * p["entropy"] + 0.30 * p["pairs"] + 0.25 * p["words"] + 0.15 * p["suffix"]), 4).alias("score"))
+    return n.select("domain", F.round(clamp(0.30 * p["entropy"] + 0.30 * p["pairs"] + 0.25 * p["words"] + 0.15 * p["suffix"]), 7).alias("score"))
 
 
 SIGNALS = (("dga", "dga_candidate"), ("beacon", "beaconing"), ("tunnel", "dns_tunnel"), ("reputation", "known_bad"))

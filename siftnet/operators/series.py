@@ -225,6 +225,12 @@ def subdomains(spark, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir, F.size(p) > 2, named=True).select("domain", F.array_join(F.slice(p, -2, 2), ".").alias("parent")).distinct().groupBy("parent").agg(F.count("*").alias("subdomains"))
 
 
+@R.query(f"""with {EV}, d as (select distinct domain, array_to_string(string_split(domain, '.')[-2:], '.') as parent from ev where domain is not null and len(string_split(domain, '.')) > 2) select parent, true as near from d group by parent""")
+def subdomains_near(spark, sf_dir: str) -> DataFrame:
+    """Whether the sketches' counts are within a tenth (or one) of the exact ones, for every parent."""
+    return subdomains(spark, sf_dir).join(subdomains_sketch(spark, sf_dir).withColumnRenamed("subdomains", "s"), "parent").select("parent", (F.abs(F.col("s") - F.col("subdomains")) <= F.greatest(F.lit(1.0), 0.1 * F.col("subdomains"))).alias("near"))
+
+
 @R.query()
 def subdomains_sketch(spark, sf_dir: str) -> DataFrame:
     """The same, counted by sketches of fixed size."""
@@ -266,6 +272,7 @@ def spectrum_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 m = np.zeros((len(part), size))
                 m[row[owner[mine]], step[mine] - lo[owner[mine]]] = n[mine]
                 power = np.abs(np.fft.rfft(m - m.mean(axis=1, keepdims=True), axis=1)[:, 1:]) ** 2
+                power[power < 1e-9] = 0.0  # what is left of a constant
                 mean = power.mean(axis=1)
                 snr[part] = np.where(mean > 0, power.max(axis=1) / np.where(mean > 0, mean, 1), 0.0)
         score = np.clip((snr - 2) / 8, 0, 1)
@@ -284,7 +291,10 @@ def spectrum(counts: DataFrame) -> DataFrame:
     return lists.mapInArrow(spectrum_scores, "domain string, snr double, score double")
 
 
-@R.query()
+@R.query(f"""with {EV}, m as (select max(t_us) as now from ev), c as (select domain, t_us // 300000000 as b, count(*) as n from ev, m where domain is not null and t_us > now - 172800000000 group by 1, 2), l as (select domain, min(b) as lo, max(b) - min(b) + 1 as size from c group by domain),
+ k as (select domain, lo, size, unnest(range(1, size // 2 + 1)) as k from l), f as (select k.domain, k.k, sum(n * cos(2 * pi() * k.k * (b - lo) / size)) as re, sum(n * sin(2 * pi() * k.k * (b - lo) / size)) as im from k join c on c.domain = k.domain group by k.domain, k.k),
+ p as (select domain, case when re * re + im * im < 1e-9 then 0 else re * re + im * im end as power from f), s as (select domain, case when avg(power) > 0 then max(power) / avg(power) else 0 end as snr from p group by domain)
+ select l.domain, round(coalesce(snr, 0), 6) as snr, round(least(1, greatest(0, (coalesce(snr, 0) - 2) / 8)), 6) as score from l left join s using (domain)""")
 def fft_beacon(spark, sf_dir: str) -> DataFrame:
     """Periodicity of names by their spectrum over five-minute counts of the last 48 hours."""
     now = now_us(spark, sf_dir)
