@@ -162,5 +162,26 @@ def p9_shares(spark, sf_dir: str, path: str = TOKENIZER) -> DataFrame:
     return mix(token_sizes(load(spark, sf_dir, "documents"), "text", ["doc_id", "source"], path), _targets(spark, sf_dir))[1]
 
 
-QUERIES = {"p9_mixture": p9_mixture, "p9_shares": p9_shares}
-SQL: dict[str, str] = {}
+def p9_check(spark, sf_dir: str, path: str = TOKENIZER) -> DataFrame:
+    """What must hold of the mixture: positions left out, uses above the caps, uses that repeat, steps back in time, and sources whose tokens miss their share by more than half a document for each source."""
+    targets = _targets(spark, sf_dir)
+    mixture, shares = mix(token_sizes(load(spark, sf_dir, "documents"), "text", ["doc_id", "source"], path), targets)
+    caps = spark.createDataFrame([(t.source, t.max_repeats) for t in targets if t.source], "source string, cap int")
+    m = mixture.join(caps, "source", "left").withColumn("piece", F.expr("position div 10000"))
+    whole = m.agg((F.max("position") + 1 - F.count("*")).alias("left_out"), F.count_if(F.col("copy_no") >= F.col("cap")).alias("over_cap"), F.max("n_tokens").alias("most"))
+    twice = m.groupBy("doc_id", "copy_no").agg(F.count("*").alias("c")).agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("repeated"))
+    # within pieces of 10 000 positions and, by their ends, between them
+    back = F.lag("at").over(Window.partitionBy("piece").orderBy("position")) > F.col("at")
+    ends = m.groupBy("piece").agg(F.min(F.struct("position", "at"))["at"].alias("a"), F.max(F.struct("position", "at"))["at"].alias("b"))
+    inner = m.select(back.alias("back")).agg(F.count_if("back").alias("i"))
+    outer = ends.select((F.lag("b").over(Window.orderBy("piece")) > F.col("a")).alias("back")).agg(F.count_if("back").alias("o"))
+    off = shares.withColumn("__one", F.lit(1)).join(whole.select("most", F.lit(1).alias("__one")), "__one").agg(F.count_if(F.abs(F.col("used_tokens") - F.col("planned_share") * F.col("total_tokens")) > F.col("most") * len(targets) / 2).alias("off"))
+    one = lambda df: df.withColumn("__one", F.lit(1))
+    j = one(whole)
+    for part in (twice, inner, outer, off):
+        j = j.join(one(part), "__one")
+    return j.select(F.coalesce("left_out", F.lit(0)).alias("left_out"), "over_cap", "repeated", (F.col("i") + F.col("o")).alias("steps_back"), "off")
+
+
+QUERIES = {"p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_check": p9_check}
+SQL = {"p9_check": "select 0::bigint as left_out, 0::bigint as over_cap, 0::bigint as repeated, 0::bigint as steps_back, 0::bigint as off"}

@@ -103,5 +103,16 @@ def p8_fill(spark, sf_dir: str, path: str = TOKENIZER) -> DataFrame:
     return total.withColumns({"least_bins": F.ceil(F.col("n_tokens") / F.col("capacity_tokens")), "fill": F.try_divide(F.col("n_tokens"), F.col("n_bins") * F.col("capacity_tokens"))})
 
 
-QUERIES = {"p8_bins": p8_bins, "p8_fill": p8_fill}
-SQL: dict[str, str] = {}
+def p8_check(spark, sf_dir: str, path: str = TOKENIZER) -> DataFrame:
+    """What must hold of the containers: documents in each spec, containers above their capacity, documents divided that would have fitted, and tokens lost or added."""
+    sizes = token_sizes(load(spark, sf_dir, "documents"), "text", ["doc_id"], path)
+    b = materialize(pack(sizes, _specs(spark, sf_dir)), "packed")
+    over = b.groupBy("spec_name", "capacity_tokens", "bin_group", "bin_no").agg(F.sum("n_tokens").alias("used")).groupBy("spec_name").agg(F.count_if(F.col("used") > F.col("capacity_tokens")).alias("overfull"))
+    docs = b.groupBy("spec_name", "capacity_tokens", "doc_id").agg(F.sum("n_tokens").alias("own"), F.count("*").alias("pieces"), F.countDistinct("piece").alias("kinds"))
+    docs = docs.join(sizes.where("doc_id is not null").groupBy("doc_id").agg(F.max("n_tokens").alias("whole")), "doc_id", "full_outer")
+    wrong = (F.col("pieces") > 1) & (F.col("own") <= F.col("capacity_tokens")) | (F.col("pieces") != F.col("kinds"))
+    return docs.groupBy("spec_name").agg(F.count("*").alias("n_docs"), F.count_if(wrong).alias("split_wrongly"), F.count_if(~F.col("own").eqNullSafe(F.col("whole"))).alias("changed")).join(over, "spec_name").select("spec_name", "n_docs", "overfull", "split_wrongly", "changed")
+
+
+QUERIES = {"p8_bins": p8_bins, "p8_fill": p8_fill, "p8_check": p8_check}
+SQL = {"p8_check": "select spec_name, (select count(distinct doc_id) from documents where doc_id is not null) as n_docs, 0::bigint as overfull, 0::bigint as split_wrongly, 0::bigint as changed from bin_specs"}
