@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftnet.functions import domain as D
@@ -262,6 +262,26 @@ def allow_list(spark, sf_dir: str) -> DataFrame:
     return ev.join(popular, "domain", "left_anti").where(~below).select("event_id")
 
 
+def popularity(names: DataFrame, ranking: DataFrame, exact: int = 100_000, domains: int = 10_000, below: list[str] | None = None) -> DataFrame:
+    """Distinct names with ``reason``: why a name is too popular to be a threat (``exact``: among the first names, ``registered``: below one of the first domains, ``network``: below a delivery network), or null. ``ranking`` has ``domain`` and ``rank``."""
+    parent = F.array_join(F.slice(F.split("domain", r"\."), -2, 2), ".")
+    n = names.select("domain").where("domain is not null").distinct().withColumn("parent", parent)
+    first = ranking.where(F.col("rank") <= exact).select("domain").distinct().withColumn("__exact", F.lit(True))
+    own = ranking.where(F.col("rank") <= domains).select(parent.alias("parent")).distinct().withColumn("__registered", F.lit(True))
+    net = reduce(lambda a, b: a | b, ((F.col("domain") == d) | F.col("domain").endswith("." + d) for d in below or []), F.lit(False))
+    reason = F.when(F.col("__exact"), "exact").when(F.col("__registered"), "registered").when(net, "network")
+    return n.join(first, "domain", "left").join(own, "parent", "left").select("domain", reason.alias("reason"))
+
+
+@R.query(f"""with {EV}, c as (select domain, count(*) as n from ev where domain is not null group by domain), r as (select domain, row_number() over (order by n desc, domain) as rank from c), p as (select domain, array_to_string(string_split(domain, '.')[-2:], '.') as parent from c)
+ select domain, case when domain in (select domain from r where rank <= 100) then 'exact' when parent in (select array_to_string(string_split(domain, '.')[-2:], '.') from r where rank <= 3) then 'registered' when domain = 'example.net' or ends_with(domain, '.example.net') then 'network' end as reason from p""")
+def popular_names(spark, sf_dir: str) -> DataFrame:
+    """Names by the three tiers of popularity (FLT-24), with low limits; the ranking is the table's own."""
+    top = materialize(events(spark, sf_dir, named=True).groupBy("domain").agg(F.count("*").alias("n")), "names")
+    ranking = top.orderBy(F.desc("n"), "domain").limit(100).select("domain", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "domain")).alias("rank"))
+    return popularity(top, ranking, 100, 3, ALLOWED_DOMAINS)
+
+
 _ALERT = [(0.85, "critical"), (0.70, "high"), (0.50, "medium"), (0.30, "low")]
 
 

@@ -9,7 +9,7 @@ from siftnet.functions import domain as D
 from siftnet.operators.detect import _BEACON_SQL, _INTEL_SQL, beacons, best_indicator, effective, indicators, rows, sql_rows
 from siftnet.operators.devices import INVENTORY, inventory
 from siftnet.plans.base import EV, HOSTS, Registry, deliveries, events, hosts, now_us
-from siftnet.plans.fixtures import HOSTNAME_RULES, VENDOR_PREFIXES
+from siftnet.plans.fixtures import HOSTNAME_RULES, OPTION_LISTS, SERVICES, VENDOR_PREFIXES
 from siftnet.session import materialize
 from siftnet.tables import pack_hex
 
@@ -18,8 +18,6 @@ R = Registry()
 # Our own small tables, to be replaced by fuller ones.
 WORDS = "api app auth cdn cloud data edge image img log logs mail media net ntp page push server static store sync time update web ads".split()
 TLD_RISK = {"test": 0.2, "invalid": 0.9, "example": 0.1, "xyz": 0.8, "top": 0.8, "tk": 0.9}
-SERVICES = [(554, "camera"), (9100, "printer"), (5353, "speaker"), (1900, "tv")]
-OPTION_LISTS = [("22,80,443", "server", 0.7), ("53,80", "router", 0.6), ("554", "camera", 0.8)]
 
 
 def clamp(c: Column) -> Column:
@@ -201,16 +199,36 @@ _OUI = sql_rows(VENDOR_PREFIXES, "prefix, oui_vendor")
   concat_ws(',', case when u.device is not null then 'oui' end, case when h_type is not null then 'hostname' end, case when o_type is not null then 'options' end, case when vendor is not null then 'vendor' end, case when s_type is not null then 'services' end) as signals
  from inv left join h using (device) left join o using (device) left join s using (device) left join u using (device)""")
 def device_match(spark, sf_dir: str) -> DataFrame:
-    """Devices by five signals: hardware prefix, host name, list of options (here of ports), vendor, services. Later signals name the type, confidence adds up to 1."""
-    inv = inventory(hosts(spark, sf_dir)).withColumn("ports", F.array_sort(F.array_distinct(F.filter(F.coalesce("ports", F.array().cast("array<int>")), lambda x: x.isNotNull()))))
-    h = inv.join(rows(inv, HOSTNAME_RULES, "ord int, pattern string, h_type string, h_conf double"), F.regexp_like("hostname", F.concat(F.lit("(?i)"), "pattern"))).groupBy("device").agg(F.min(F.struct("ord", "h_type"))["h_type"].alias("h_type"), F.max("h_conf").alias("h_conf"))
-    s = inv.select("device", F.explode("ports").alias("port")).join(rows(inv, SERVICES, "port int, s_type string"), "port").groupBy("device").agg(F.count("*").alias("hits"), F.max("s_type").alias("s_type"))
-    x = inv.withColumn("opts", F.array_join("ports", ",")).withColumn("prefix", F.substring("mac", 1, 4))
-    x = x.join(rows(inv, OPTION_LISTS, "opts string, o_type string, o_conf double"), "opts", "left").join(rows(inv, VENDOR_PREFIXES, "prefix string, oui_vendor string"), "prefix", "left").join(h, "device", "left").join(s, "device", "left")
-    base = F.greatest(F.when(F.col("oui_vendor").isNotNull(), 0.2).otherwise(0.0), F.coalesce("h_conf", F.lit(0.0)), F.coalesce("o_conf", F.lit(0.0)))
-    conf = F.least(F.lit(1.0), base + F.when(F.col("vendor").isNotNull(), 0.1).otherwise(0.0) + 0.15 * F.coalesce("hits", F.lit(0)))
+    """Devices by five signals; sorted lists of open ports stand for option lists, ports for services, the reported vendor for the vendor class."""
+    ports = F.array_sort(F.array_distinct(F.filter(F.coalesce("ports", F.array().cast("array<int>")), lambda x: x.isNotNull())))
+    inv = inventory(hosts(spark, sf_dir)).withColumn("ports", ports)
+    dev = inv.select("device", "mac", "hostname", F.array_join("ports", ",").alias("options"), F.col("vendor").alias("vendor_class"), F.col("ports").cast("array<string>").alias("services"))
+    table = lambda values, schema: rows(inv, values, schema)
+    services = table(SERVICES, "service int, s_type string").withColumn("service", F.col("service").cast("string"))
+    return five_signals(dev, table(VENDOR_PREFIXES, "prefix string, oui_vendor string"), HOSTNAME_RULES, table(OPTION_LISTS, "options string, o_type string, o_conf double"), services, 4)
+
+
+def five_signals(dev: DataFrame, prefixes: DataFrame, patterns: list[tuple], options: DataFrame, services: DataFrame, digits: int = 6) -> DataFrame:
+    """``device``, ``device_type``, ``confidence``, ``signals`` of devices with ``mac``, ``hostname``, ``options`` (the option list as text), ``vendor_class`` and ``services``.
+
+    A known hardware prefix is worth 0.2, a host name pattern and an option list their
+    own confidence, the greatest of which counts; a vendor class adds 0.1 and each
+    known service 0.15, up to 1. Later signals name the type. ``patterns`` are (order,
+    expression, type, confidence), the first that matches names the type.
+    """
+    in_order = sorted(patterns)
+    fits = lambda p: F.col("hostname").rlike("(?i)" + p[1])
+    of_name = F.coalesce(*(F.when(fits(p), F.lit(p[2])) for p in in_order), F.lit(None).cast("string"))
+    sure = F.greatest(F.lit(0.0), *(F.when(fits(p), F.lit(float(p[3]))) for p in in_order))
+    kinds = services.groupBy("service").agg(F.max("s_type").alias("s_type"))
+    s = dev.select("device", F.explode(F.array_distinct("services")).alias("service")).join(kinds, "service").groupBy("device").agg(F.count("*").alias("hits"), F.max("s_type").alias("s_type"))
+    once = lambda df, key: df.dropDuplicates([key])
+    x = dev.withColumn("prefix", F.substring("mac", 1, digits)).withColumns({"h_type": of_name, "h_conf": sure})
+    x = x.join(once(options, "options"), "options", "left").join(once(prefixes, "prefix"), "prefix", "left").join(s, "device", "left")
+    base = F.greatest(F.when(F.col("oui_vendor").isNotNull(), 0.2).otherwise(0.0), F.col("h_conf"), F.coalesce("o_conf", F.lit(0.0)))
+    conf = F.least(F.lit(1.0), base + F.when(F.col("vendor_class").isNotNull(), 0.1).otherwise(0.0) + 0.15 * F.coalesce("hits", F.lit(0)))
     tag = lambda c, n: F.when(F.col(c).isNotNull(), F.lit(n))
-    return x.select("device", F.coalesce("s_type", "o_type", "h_type").alias("device_type"), F.round(conf, 6).alias("confidence"), F.concat_ws(",", tag("oui_vendor", "oui"), tag("h_type", "hostname"), tag("o_type", "options"), tag("vendor", "vendor"), tag("s_type", "services")).alias("signals"))
+    return x.select("device", F.coalesce("s_type", "o_type", "h_type").alias("device_type"), F.round(conf, 6).alias("confidence"), F.concat_ws(",", tag("oui_vendor", "oui"), tag("h_type", "hostname"), tag("o_type", "options"), tag("vendor_class", "vendor"), tag("s_type", "services")).alias("signals"))
 
 
 QUERIES, SQL = R.QUERIES, R.SQL
