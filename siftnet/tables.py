@@ -38,9 +38,10 @@ def micros(df: DataFrame, name: str) -> Column:
 def pack_hex(c: Column | str) -> Column:
     """Text as short binary: hexadecimal text (a digest, or a UUID with its dashes) at half its length, other text as it is. One to one; see ``unpack_hex``."""
     c = F.col(c) if isinstance(c, str) else c
+    n = F.length(c)
     return (
-        F.when(c.rlike(r"^(?:[0-9a-f]{2})+$"), F.concat(F.unhex(F.lit("01")), F.unhex(c)))
-        .when(c.rlike(r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"), F.concat(F.unhex(F.lit("02")), F.unhex(F.replace(c, F.lit("-"), F.lit("")))))
+        F.when((n == 36) & c.rlike(r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\z"), F.concat(F.unhex(F.lit("02")), F.unhex(F.replace(c, F.lit("-"), F.lit("")))))
+        .when((n > 0) & (n % 2 == 0) & c.rlike(r"^[0-9a-f]++\z"), F.concat(F.unhex(F.lit("01")), F.unhex(c)))
         .when(c.isNotNull(), F.concat(F.unhex(F.lit("00")), c.cast("binary")))
     )
 
