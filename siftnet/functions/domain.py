@@ -50,8 +50,12 @@ def entropy(s: Column) -> Column:
 
 
 def entropy_score(s: Column) -> Column:
-    h = entropy(s)
-    return F.when(F.octet_length(s) < 6, 0.0).otherwise(let(h, lambda e: F.when(e < 3.0, 0.0).when(e > 4.2, 1.0).otherwise((e - 3.0) / 1.2)))
+    return let(entropy(s), lambda e: _entropy_part(s, e))
+
+
+def _entropy_part(s: Column, e: Column) -> Column:
+    """From 3.0 to 4.2 bits it rises from 0 to 1; short texts have none."""
+    return F.when(F.octet_length(s) < 6, 0.0).when(e < 3.0, 0.0).when(e > 4.2, 1.0).otherwise((e - 3.0) / 1.2)
 
 
 def bigram_score(s: Column) -> Column:
@@ -69,7 +73,8 @@ def dga(domain: Column) -> Column:
     """Struct of label, entropy, bigram and score of a name that may be machine-made."""
 
     def of(label: Column) -> Column:
-        return F.struct(label.alias("label"), entropy(label).alias("entropy"), bigram_score(label).alias("bigram"), F.when(F.octet_length(label) < 4, 0.0).otherwise(0.6 * entropy_score(label) + 0.4 * bigram_score(label)).alias("score"))
+        parts = F.struct(entropy(label).alias("e"), bigram_score(label).alias("b"))
+        return let(parts, lambda x: F.struct(label.alias("label"), x["e"].alias("entropy"), x["b"].alias("bigram"), F.when(F.octet_length(label) < 4, 0.0).otherwise(0.6 * _entropy_part(label, x["e"]) + 0.4 * x["b"]).alias("score")))
 
     return let(effective_label(domain), of)
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from siftnet.functions import domain as D
 from siftnet.operators.ordered import numbered
 from siftnet.operators.series import hour_of
-from siftnet.plans.base import EV, FW, Registry, events, firewall
+from siftnet.plans.base import EV, FW, Registry, events, firewall, stored_rows
 from siftnet.plans.fixtures import ALLOWED_DOMAINS, FAMILIES
 from siftnet.session import materialize
 from siftnet.sources.logs import parse_eve
@@ -307,7 +307,7 @@ def feed_hostfile(spark, sf_dir: str) -> DataFrame:
 def every_tenth_flow(spark, sf_dir: str) -> DataFrame:
     """Every tenth event of a source and destination."""
     ev = events(spark, sf_dir, "resolved_ip is not null").select("source_hash", "resolved_ip", "event_id", "t_us")
-    return numbered(ev, ["source_hash", "resolved_ip"], ["t_us", "event_id"]).where("rn % 10 = 0").select("source_hash", "resolved_ip", "event_id", F.col("rn").cast("int").alias("rn"))
+    return numbered(ev, ["source_hash", "resolved_ip"], ["t_us", "event_id"], at_most=stored_rows(spark, sf_dir)).where("rn % 10 = 0").select("source_hash", "resolved_ip", "event_id", F.col("rn").cast("int").alias("rn"))
 
 
 @R.query(f"""with {EV}, s as (select domain, array_to_string(string_split(domain, '.')[1:greatest(len(string_split(domain, '.')) - 2, 0)], '') as sub from (select distinct domain from ev where domain is not null))

@@ -9,7 +9,7 @@ from siftnet.functions import crypto
 from siftnet.functions import domain as D
 from siftnet.functions.net import ip_hex, is_private, private_hex, python_hex
 from siftnet.operators.ordered import MOST_ROWS, in_chunks
-from siftnet.plans.base import EV, Registry, deliveries, events, now_us
+from siftnet.plans.base import EV, Registry, deliveries, events, now_us, stored_rows
 from siftnet.plans.fixtures import SAMPLE_PROVIDERS, SAMPLE_RESOLVERS
 from siftnet.session import materialize
 from siftnet.tables import load, pack_hex, unpack_hex
@@ -99,16 +99,16 @@ def beacon_score(cv: Column) -> Column:
     return F.when(cv < 0.05, 1.0).when(cv < CV_THRESHOLD, 0.5 + 0.5 * (CV_THRESHOLD - cv) / (CV_THRESHOLD - 0.05)).when(cv < 0.30, 0.1 + 0.4 * (0.30 - cv) / (0.30 - CV_THRESHOLD)).otherwise(0.0)
 
 
-def beacons(ev: DataFrame, chunk_us: int = 86_400_000_000, most: int = MOST_ROWS, counted: DataFrame | None = None) -> DataFrame:
+def beacons(ev: DataFrame, chunk_us: int = 86_400_000_000, most: int = MOST_ROWS, counted: DataFrame | None = None, at_most: int | None = None) -> DataFrame:
     """Adds ``samples``, ``mean_s``, ``cv`` and ``beacon`` of the last 32 events of a source and name, as of every event in the order of time and id.
 
-    A key of more than ``most`` events is divided into chunks of time (``counted`` may
-    be rows that are cheaper to count). Of each chunk the last 31 times go on: those
+    A key of more than ``most`` events is divided into chunks of time (``counted`` and
+    ``at_most`` as for ``in_chunks``). Of each chunk the last 31 times go on: those
     of the up to 31 chunks before (each has one event at least) are all that a chunk's
     first events need beside their own.
     """
     key = ["source_hash", "domain", "__chunk"]
-    e, some = in_chunks(ev, key[:2], "t_us", chunk_us, most, counted)
+    e, some = in_chunks(ev, key[:2], "t_us", chunk_us, most, counted, at_most)
     both = e.withColumn("__own", F.lit(True))
     if some:
         newest = Window.partitionBy(*key).orderBy(F.desc("t_us"), F.desc("event_id"))
@@ -133,7 +133,7 @@ _BEACON_SQL = f"""{EV}, g as (select event_id, source_hash, domain, t_us, (t_us
 @R.query(f"with {_BEACON_SQL} select event_id, samples, round(cv, 6) as cv, round(case when cv is null then 0 when cv < 0.05 then 1.0::double when cv < 0.15 then 0.5::double + 0.5::double * (0.15::double - cv) / (0.15::double - 0.05::double) when cv < 0.30 then 0.1::double + 0.4::double * (0.30::double - cv) / (0.30::double - 0.15::double) else 0 end, 5) as score from cvs where cv < 0.3 or samples < 6")
 def beacon_scores(spark, sf_dir: str) -> DataFrame:
     slim = lambda e: e.select(pack_hex("event_id").alias("event_id"), pack_hex("source_hash").alias("source_hash"), "domain", "t_us")
-    b = beacons(slim(events(spark, sf_dir, "source_hash is not null", named=True)), counted=slim(deliveries(spark, sf_dir, "source_hash is not null", named=True)))
+    b = beacons(slim(events(spark, sf_dir, "source_hash is not null", named=True)), counted=slim(deliveries(spark, sf_dir, "source_hash is not null", named=True)), at_most=stored_rows(spark, sf_dir))
     return b.where("cv < 0.3 or samples < 6").select(unpack_hex("event_id").alias("event_id"), "samples", F.round("cv", 6).alias("cv"), F.round("beacon", 5).alias("score"))
 
 
@@ -263,15 +263,17 @@ def let_size(s: Column, some: Column, none: Column) -> Column:
 
 def enrich(ev: DataFrame, ind: DataFrame, as_of: int, providers: list[tuple[str, str]] | None = None) -> DataFrame:
     """All detections of every event, joined to one score, tags, a description and metadata: ``event_id``, ``score``, ``new_tags``, ``description``, ``detections``.
+    Events without a column ``tags`` have none before.
 
     The events are written once, each address in its canonical form. What depends on
     the name alone (its scores, indicator, provider and rebinding) is found once per
     distinct name and joined by name; events without a name take no part in that.
     """
     d = F.col("domain")
-    e = materialize(ev.select(pack_hex("event_id").alias("event_id"), "t_us", pack_hex("source_hash").alias("source_hash"), "domain", "resolved_ip", ip_hex("resolved_ip").alias("ip_h"), "query_type", "anomaly_score", "tags"), "events")
+    e = materialize(ev.select(pack_hex("event_id").alias("event_id"), "t_us", pack_hex("source_hash").alias("source_hash"), "domain", "resolved_ip", ip_hex("resolved_ip").alias("ip_h"), "query_type", "anomaly_score", (F.col("tags") if "tags" in ev.columns else F.lit(None).cast("array<string>")).alias("tags")), "events")
     best = materialize(best_indicator(ind).withColumn("c", effective(F.col("confidence"), F.col("last_us"), F.col("ttl_hours"), as_of)), "indicators")
-    names = e.where(d.isNotNull()).select("domain").distinct().withColumn("named", ~D.is_private_reverse(d))
+    # scores cost far more than their names' bytes tell: as many tasks as there are partitions
+    names = e.where(d.isNotNull()).select("domain").distinct().repartition(int(ev.sparkSession.conf.get("spark.sql.shuffle.partitions")), "domain").withColumn("named", ~D.is_private_reverse(d))
     names = names.withColumns({"dga": F.when(F.col("named"), D.dga(d)), "tun": F.when(F.col("named"), D.tunnel(d))})
     names = suffix_match(names, "domain", rows(ev, providers or list(ENCRYPTED_DNS.items()), "suffix string, provider string"), "suffix", "provider")
     names = names.join(best.select(F.col("indicator").alias("domain"), F.col("c").alias("d_conf"), F.col("source").alias("d_source"), F.col("family").alias("d_family")), "domain", "left")
@@ -281,7 +283,7 @@ def enrich(ev: DataFrame, ind: DataFrame, as_of: int, providers: list[tuple[str,
     bad = materialize(e.where("resolved_ip is not null").select(answer.alias("__ip")).distinct().join(best.select(F.col("indicator").alias("__ip"), F.col("c").alias("i_conf")), "__ip"), "answers")
     e = e.join(bad, answer == F.col("__ip"), "left").drop("__ip")
     e = e.withColumn("resolver", F.create_map(*(F.lit(x) for k, v in PUBLIC_RESOLVERS.items() for x in (python_hex(k), v)))[F.col("ip_h")]).drop("resolved_ip", "ip_h")
-    timed = beacons(e.where("domain is not null and source_hash is not null")).unionByName(e.where("domain is not null and source_hash is null"), allowMissingColumns=True)
+    timed = beacons(e.where("domain is not null and source_hash is not null"), at_most=e.count()).unionByName(e.where("domain is not null and source_hash is null"), allowMissingColumns=True)
     e = timed.join(names, "domain").unionByName(e.where(d.isNull()), allowMissingColumns=True)
     lone = F.col("reb_id") == F.col("event_id")
     e = e.withColumns({c: F.when(lone, F.col(c)) for c in ("private_ip", "public_ip")} | {c: F.when(F.col("named") & (F.col("beacon") > 0), F.col(c)) for c in ("beacon", "cv", "mean_s", "samples")})
@@ -330,7 +332,7 @@ def _composite_sql() -> str:
 @R.query(_composite_sql())
 def composite_enrich(spark, sf_dir: str) -> DataFrame:
     """The composite score of every event."""
-    e = enrich(events(spark, sf_dir), indicators(spark, sf_dir), now_us(spark, sf_dir), [*ENCRYPTED_DNS.items(), *SAMPLE_PROVIDERS.items()])
+    e = enrich(events(spark, sf_dir).drop("tags"), indicators(spark, sf_dir), now_us(spark, sf_dir), [*ENCRYPTED_DNS.items(), *SAMPLE_PROVIDERS.items()])
     return e.select("event_id", F.round("score", 5).alias("score"))
 
 

@@ -25,16 +25,19 @@ def _same(keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, (F.col(f"__e_{k}").eqNullSafe(F.col(k)) for k in keys))
 
 
-def in_chunks(df: DataFrame, keys: list[str], t: str, chunk_us: int = HOUR, most: int = MOST_ROWS, counted: DataFrame | None = None) -> tuple[DataFrame, bool]:
+def in_chunks(df: DataFrame, keys: list[str], t: str, chunk_us: int = HOUR, most: int = MOST_ROWS, counted: DataFrame | None = None, at_most: int | None = None) -> tuple[DataFrame, bool]:
     """Adds ``__chunk``: 0 for keys of at most ``most`` rows, chunks of time for others; and tells whether there are others.
 
     Rows are counted by a hash of their key first, which a few thousand counters do;
     only keys of hashes that are too frequent are counted themselves. ``counted`` may
     be rows that are cheaper to count than ``df``, such as ones with repetitions.
-    There are few hot keys, so that the planner broadcasts them by their measured
+    ``at_most`` is a bound of the rows of the whole table, if known; within ``most``
+    nothing needs counting. There are few hot keys, so that the planner broadcasts them by their measured
     size.
     """
     rows, cold = counted if counted is not None else df, df.withColumn("__chunk", F.lit(0).cast("bigint"))
+    if at_most is not None and at_most <= most:
+        return cold, False
     mark = F.pmod(F.xxhash64(*keys), F.lit(HASHES))
     heavy = [r.b for r in rows.groupBy(mark.alias("b")).agg(F.count("*").alias("__n")).where(F.col("__n") > most).collect()]  # at most HASHES numbers
     if not heavy:
@@ -47,10 +50,10 @@ def in_chunks(df: DataFrame, keys: list[str], t: str, chunk_us: int = HOUR, most
     return df.join(hot, _same(keys), "left").withColumn("__chunk", chunk).drop("__hot", *(f"__e_{k}" for k in keys)), True
 
 
-def with_previous(df: DataFrame, keys: list[str], order: list[str], values: list[str], chunk_us: int = HOUR, most: int = MOST_ROWS, counted: DataFrame | None = None) -> DataFrame:
+def with_previous(df: DataFrame, keys: list[str], order: list[str], values: list[str], chunk_us: int = HOUR, most: int = MOST_ROWS, counted: DataFrame | None = None, at_most: int | None = None) -> DataFrame:
     """Adds ``prev``, a struct of ``values`` of the row before within ``keys`` (null for the first), in the order of ``order``, whose first column is a time in microseconds."""
     at = [*keys, "__chunk"]
-    e, some = in_chunks(df, keys, order[0], chunk_us, most, counted)
+    e, some = in_chunks(df, keys, order[0], chunk_us, most, counted, at_most)
     own = F.lag(F.struct(*values)).over(Window.partitionBy(*at).orderBy(*order))
     if not some:
         return e.withColumn("prev", own).drop("__chunk")
@@ -61,10 +64,10 @@ def with_previous(df: DataFrame, keys: list[str], order: list[str], values: list
     return e.withColumn("__own", own).join(edges, _same(at), "left").withColumn("prev", F.coalesce("__own", "__edge")).drop("__chunk", "__own", "__edge", *(f"__e_{k}" for k in at))
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], chunk_us: int = HOUR, name: str = "rn", most: int = MOST_ROWS, counted: DataFrame | None = None) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], order: list[str], chunk_us: int = HOUR, name: str = "rn", most: int = MOST_ROWS, counted: DataFrame | None = None, at_most: int | None = None) -> DataFrame:
     """Adds the 1-based number of each row within ``keys``, in the order of ``order``, whose first column is a time in microseconds."""
     at = [*keys, "__chunk"]
-    e, some = in_chunks(df, keys, order[0], chunk_us, most, counted)
+    e, some = in_chunks(df, keys, order[0], chunk_us, most, counted, at_most)
     own = F.row_number().over(Window.partitionBy(*at).orderBy(*order))
     if not some:
         return e.withColumn(name, own).drop("__chunk")

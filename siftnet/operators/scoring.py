@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siftnet.functions import domain as D
 from siftnet.operators.detect import _BEACON_SQL, _INTEL_SQL, beacons, best_indicator, effective, indicators, rows, sql_rows
 from siftnet.operators.devices import INVENTORY, inventory
-from siftnet.plans.base import EV, HOSTS, Registry, deliveries, events, hosts, now_us
+from siftnet.plans.base import EV, HOSTS, Registry, deliveries, events, hosts, now_us, stored_rows
 from siftnet.plans.fixtures import HOSTNAME_RULES, OPTION_LISTS, SERVICES, VENDOR_PREFIXES
 from siftnet.session import materialize
 from siftnet.tables import pack_hex
@@ -176,7 +176,7 @@ def threat(scores: dict[str, Column]) -> Column:
 def composite_design(spark, sf_dir: str) -> DataFrame:
     """The composite of distinct names as designed (SCA-29), of machine-made labels, tunnels, indicators and the greatest beacon of any source."""
     slim = lambda e: e.select(pack_hex("event_id").alias("event_id"), pack_hex("source_hash").alias("source_hash"), "domain", "t_us")
-    b = beacons(slim(events(spark, sf_dir, "source_hash is not null", named=True)), counted=slim(deliveries(spark, sf_dir, "source_hash is not null", named=True)))
+    b = beacons(slim(events(spark, sf_dir, "source_hash is not null", named=True)), counted=slim(deliveries(spark, sf_dir, "source_hash is not null", named=True)), at_most=stored_rows(spark, sf_dir))
     b = b.groupBy("domain").agg(F.max("beacon").alias("beacon"))
     best = best_indicator(indicators(spark, sf_dir)).select(F.col("indicator").alias("domain"), effective(F.col("confidence"), F.col("last_us"), F.col("ttl_hours"), now_us(spark, sf_dir)).alias("reputation"))
     n = deliveries(spark, sf_dir, named=True).select("domain").distinct().join(b, "domain", "left").join(best, "domain", "left")

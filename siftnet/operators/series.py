@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftnet.operators.ordered import order_statistics, quantile, quantile_ranks, with_previous
-from siftnet.plans.base import EV, HOSTS, Registry, deliveries, events, hosts, now_us
+from siftnet.plans.base import EV, HOSTS, Registry, deliveries, events, hosts, now_us, stored_rows
 from siftnet.session import materialize
 from siftnet.tables import pack_hex
 
@@ -84,7 +84,7 @@ def spike_week(spark, sf_dir: str) -> DataFrame:
 def gaps(spark, sf_dir: str, *keys: str, **which) -> DataFrame:
     """Seconds between neighbouring events with a domain of a key, written once."""
     slim = lambda e: e.select(*keys, "t_us", pack_hex("event_id").alias("event_id"))
-    prev = with_previous(slim(events(spark, sf_dir, named=True, **which)), list(keys), ["t_us", "event_id"], ["t_us"], counted=slim(deliveries(spark, sf_dir, named=True, **which)))
+    prev = with_previous(slim(events(spark, sf_dir, named=True, **which)), list(keys), ["t_us", "event_id"], ["t_us"], counted=slim(deliveries(spark, sf_dir, named=True, **which)), at_most=stored_rows(spark, sf_dir))
     return materialize(prev.select(*keys, ((F.col("t_us") - F.col("prev.t_us")) / 1e6).alias("gap_s")).where("gap_s is not null"), "gaps")
 
 
