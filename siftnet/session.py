@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -59,7 +60,7 @@ def shared_dir(spark: SparkSession) -> str:
     that only one machine has would lose its files with it, so that is refused.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found and not spark.sparkContext.master.startswith("local["):
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
     if not found:
         found = next((d for d in _OWN_DIRS if os.path.isdir(d)), None)

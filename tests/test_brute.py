@@ -140,3 +140,43 @@ def test_partial_states_merge(spark, data):
     ev = events(spark, data)
     whole = {r.domain: (r.n, r.blocked) for r in ev.where("domain is not null").groupBy("domain").agg(F.count("*").alias("n"), F.count_if("blocked").alias("blocked")).collect()}
     assert {r.domain: (r.n, r.blocked) for r in merged(partials(ev, 3_600_000_000), "domain").select("domain", "n", "blocked").collect()} == whole
+
+
+def test_adguard_events(spark, data, duck):
+    from siftnet.sources.ingest import BLOCKED_REASONS, src_adguard
+
+    read = lambda v: json.loads(v) if type(v) is str else v
+    want = set()
+    for i, b in duck.sql("select rec_id, any_value(body) from adguard_log group by 1").fetchall():
+        for at, r in enumerate(records(b)):
+            kids = {}
+            for _, child, pos, _, item in (c for c in children(b) if c[0] == at and c[1] in ("answer", "question")):
+                kids.setdefault(child, item)
+            reason, client = (r.get(k) if isinstance(r.get(k), (str, Num)) else None for k in ("reason", "client"))
+            if kids or reason is not None or client is not None:
+                want.add((i, at, kids.get("question"), kids.get("answer"), reason in BLOCKED_REASONS, client))
+    got = {(r.parent_id, r.rec_pos, r.domain, r.resolved_ip, r.blocked, r.source_ip) for r in src_adguard(spark, data).collect()}
+    assert got == want
+    assert read("[1]") == [1]
+
+
+def test_enriched_events(spark, data):
+    """Scores, tags and descriptions of events agree with the queries of their parts."""
+    from siftnet.functions.domain import DGA_THRESHOLD, is_private_reverse
+    from siftnet.operators import detect
+    from siftnet.plans.base import events
+
+    rows = {r.event_id: r for r in detect.enriched_events(spark, data).collect()}
+    named = {r.event_id: (r.domain, r.p, set(r.tags or [])) for r in events(spark, data).select("event_id", "domain", "tags", is_private_reverse(F.col("domain")).alias("p")).collect()}
+    assert rows.keys() == named.keys()
+    dga = {r.event_id for r in detect.dga_scores(spark, data).collect() if r.score >= DGA_THRESHOLD and not named[r.event_id][1]}
+    assert {i for i, r in rows.items() if "dga_candidate" in (r.tags or "").split(";") and "dga_candidate" not in named[i][2]} == {i for i in dga if "dga_candidate" not in named[i][2]}
+    reb = {r.event_id for r in detect.rebinding_alerts(spark, data).collect()}
+    assert {i for i, r in rows.items() if r.description and "Answer went from" in r.description} == reb
+    known = {r.event_id for r in detect.intel_join(spark, data).collect()}
+    assert all("known_bad" in r.tags for i, r in rows.items() if i in known)
+    sample = tuple("." + d for d in detect.SAMPLE_PROVIDERS)
+    for r in detect.composite_enrich(spark, data).collect():
+        d = named[r.event_id][0]
+        if d is None or not ("." + d).endswith(sample):
+            assert abs(r.score - rows[r.event_id].score) < 1e-5

@@ -220,3 +220,26 @@ def test_whole_tables_of_nested_records(spark):
         assert {tuple(r) for r in arrow.table(name).select(cols).where(f"{cols[-1]} is not null").collect()} == want[name]
         assert {tuple(r) for r in js.table(name).select(cols).where(f"{cols[-1]} is not null").collect()} == want[name]
     assert js.table("rec").count() == 60 and array_tables(df.limit(0), "id", "bs", tree).table("n").count() == 0
+
+
+def test_skew_and_spread(spark):
+    """Order statistics by chunks of value are those of the sorted values."""
+    import statistics
+
+    from siftnet.operators.series import skew_and_spread
+
+    rnd = random.Random(9)
+    values = {k: [rnd.choice([60.0, 60.0, rnd.random() * 900, 0.0]) for _ in range(n)] for k, n in (("a", 200), ("b", 11), ("c", 9))}
+    got = {r.domain: r for r in skew_and_spread(spark.createDataFrame([(k, x) for k, xs in values.items() for x in xs], "domain string, gap_s double")).collect()}
+    assert set(got) == {"a", "b"}
+    for k, r in got.items():
+        q1, q2, q3 = statistics.quantiles(values[k], n=4, method="inclusive")
+        assert r.n == len(values[k]) and abs(r.bowley - ((q3 + q1 - 2 * q2) / (q3 - q1) if q3 > q1 else 0)) < 1e-9 and abs(r.mad - sorted(abs(x - q2) for x in values[k])[r.n // 2]) < 1e-9
+
+
+def test_packing_is_one_to_one(spark):
+    from siftnet.tables import pack_hex, unpack_hex
+
+    ids = ["", "a", "ab", "AB", "abc", "0" * 64, "g" * 64, "123e4567-e89b-12d3-a456-426614174000", "123E4567-e89b-12d3-a456-426614174000", "123e4567-e89b-12d3-a456-42661417400", "é", " ab", "ab\n", "abc\n", "\u00000", None]
+    got = spark.createDataFrame([(i,) for i in ids], "i string").select("i", pack_hex("i").alias("p")).select("i", "p", unpack_hex("p").alias("u")).collect()
+    assert all(r.u == r.i for r in got) and len({bytes(r.p) for r in got if r.p is not None}) == len(ids) - 1
