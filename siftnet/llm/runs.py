@@ -200,13 +200,13 @@ def _by_groups(finish: Callable[[list[pa.Table]], Iterator[pa.RecordBatch]], key
     return work
 
 
-def _stretches(max_gap_us: int, least: int):
-    """Runs of chunks where runs hold one kind only: they end where the kind changes, found by whole columns."""
+def _whole_chunks(max_gap_us: int, penalty: float, mismatch: float, least: int):
+    """Runs of chunks that may be cut anywhere (an ``anchor_length`` of 1), every event of which goes through the dynamic programming."""
 
     def finish(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
         r = _rows_of(tables, ["k", "chunk"])
         cut = r.begins()
-        begin = np.flatnonzero(~r.near(max_gap_us) | np.r_[True, r.code[1:] != r.code[:-1]])
+        begin = np.array(segment(r.code.tolist(), r.near(max_gap_us).tolist(), penalty, mismatch), dtype=np.int64)
         end = np.r_[begin[1:], len(r.code)] - 1
         n = end - begin + 1
         first, last = cut[begin], np.r_[cut[1:], True][end]
@@ -220,7 +220,7 @@ def _stretches(max_gap_us: int, least: int):
     return _by_groups(finish, ["k", "chunk"])
 
 
-# --- finite mismatch: pieces that can be divided on their own --------------------------------------------------------------------------------
+# --- runs that hold unlike events: pieces that can be divided on their own --------------------------------------------------------------------------------
 
 
 def anchor_length(penalty: float, mismatch: float) -> int:
@@ -383,7 +383,7 @@ def _open_pieces(max_gap_us: int, penalty: float, mismatch: float, patience: int
 
 
 def _tolerant(parts: DataFrame, max_gap_us: int, penalty: float, mismatch: float) -> DataFrame:
-    """Runs of ordered chunks with a finite ``mismatch``: ``k``, ``t0``, ``t1``, ``first_id``, ``last_id``, ``kind``, ``n``."""
+    """Runs of ordered chunks with any finite ``mismatch``: ``k``, ``t0``, ``t1``, ``first_id``, ``last_id``, ``kind``, ``n``."""
     pieces = materialize(parts.mapInArrow(_pieces(max_gap_us, penalty, mismatch), _PIECE), "pieces")
     # which open rows of neighbouring chunks are one piece: only one row per chunk is ordered here
     w = Window.partitionBy("k").orderBy("chunk")
@@ -407,19 +407,20 @@ def collapse_runs(events: DataFrame, key: Column, kind: Column, ts: str = "ts",
     """One row per run of at least ``least`` events: ``key_name``, ``first_event_id``, ``last_event_id``, ``kind``, ``start_us``, ``end_us``, ``n_events``, ``duration_us``.
 
     Events are ordered by time and id; rows that repeat an id at its time count
-    once. Events without key, kind, time or id are not part of any sequence. With
-    an infinite ``mismatch`` runs are exactly the longest stretches of one kind
-    whose neighbours are at most ``max_gap_us`` apart. With a finite one a run may
-    hold single other events, where that costs less than boundaries; ``kind`` is
-    then that of its first event. An empty table gives an empty result.
+    once. Events without key, kind, time or id are not part of any sequence. A
+    run may hold single other events, where that costs less than boundaries; ``kind``
+    is then that of its first event. Where ``mismatch`` is more than two boundaries,
+    parting an event from a run unlike it is always cheaper: the best division has
+    the longest stretches of one kind whose neighbours are at most ``max_gap_us``
+    apart, and it is the only best one. An empty table gives an empty result.
 
     An entity's time is divided into chunks of ``chunk_us``, so that one with a
     third of all events is spread over its chunks; their length does not change the
-    result. With an infinite ``mismatch`` only the first and the last run of a chunk
-    are joined to their neighbours. With a finite one a chunk is divided between
-    places where no best division can differ (gaps, and long stretches of one kind);
-    what is before the first and after the last of them is divided together with the
-    neighbouring chunks.
+    result. With a ``mismatch`` of more than two boundaries any place is one where no
+    best division can differ: chunks are divided on their own, and their first and
+    last runs joined to their neighbours. Otherwise a chunk is divided between such
+    places (gaps, and long stretches of one kind); what is before the first and after
+    the last of them is divided together with the neighbouring chunks.
     """
     if not (penalty > 0 and mismatch > 0):
         raise ValueError("penalty and mismatch must be positive")
@@ -427,9 +428,9 @@ def collapse_runs(events: DataFrame, key: Column, kind: Column, ts: str = "ts",
     rows = rows.withColumn("chunk", F.expr(f"(t - pmod(t, {chunk_us}L)) div {chunk_us}L")).select("k", "chunk", "t", "id", "kind")
     parts = rows.repartition("k", "chunk").sortWithinPartitions("k", "chunk", "t")
     shown = [unpack_hex("k").alias(key_name), unpack_hex("first_id").alias("first_event_id"), unpack_hex("last_id").alias("last_event_id"), "kind", F.col("t0").alias("start_us"), F.col("t1").alias("end_us"), F.col("n").alias("n_events"), (F.col("t1") - F.col("t0")).alias("duration_us")]
-    if mismatch < inf:
+    if anchor_length(penalty, mismatch) > 1:
         return _tolerant(parts, max_gap_us, penalty, mismatch).where(F.col("n") >= least).select(*shown)
-    runs = parts.mapInArrow(_stretches(max_gap_us, least), _RUN)
+    runs = parts.mapInArrow(_whole_chunks(max_gap_us, penalty, mismatch, least), _RUN)
     w = Window.partitionBy("k").orderBy("t0", F.col("last").cast("int"), "t1")
     prev = lambda c: F.lag(c).over(w)
     inner = runs.where("not first and not last").select("k", "first_id", "last_id", F.col("first_kind").alias("kind"), "t0", "t1", "n")
@@ -446,10 +447,14 @@ def digits_alike(c: Column) -> Column:
     return F.regexp_replace(c, "[0-9]+", "0")
 
 
+#: What an event unlike its run costs in boundaries, where runs shall hold one kind only: more than the two that part it from the run.
+UNLIKE = 3.0
+
+
 def p7_runs(spark, sf_dir: str) -> DataFrame:
     """Every source's sequence of names with runs replaced by one entry."""
     ev = load(spark, sf_dir, "dns_events")
-    return collapse_runs(ev, F.lower("source_hash"), digits_alike(domain_key("domain")), key_name="source_hash")
+    return collapse_runs(ev, F.lower("source_hash"), digits_alike(domain_key("domain")), mismatch=UNLIKE, key_name="source_hash")
 
 
 def p7_tolerant(spark, sf_dir: str) -> DataFrame:
@@ -460,7 +465,7 @@ def p7_tolerant(spark, sf_dir: str) -> DataFrame:
 
 def p7_found(spark, sf_dir: str) -> DataFrame:
     ev = load(spark, sf_dir, "dns_events")
-    return collapse_runs(ev, F.lower("source_hash"), digits_alike(domain_key("domain")), least=3, key_name="source_hash").select("source_hash", "first_event_id", "last_event_id", "n_events", "duration_us")
+    return collapse_runs(ev, F.lower("source_hash"), digits_alike(domain_key("domain")), mismatch=UNLIKE, least=3, key_name="source_hash").select("source_hash", "first_event_id", "last_event_id", "n_events", "duration_us")
 
 
 _RUNS_SQL = r"""

@@ -1,6 +1,8 @@
 """Operators on events: nearest time, runs, frequent values, distinct counts."""
 
+import os
 import random
+import uuid
 from math import inf
 
 import numpy as np
@@ -9,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftnet.llm import distinct, frequent
+from siftnet.llm import runs as runs_of
 from siftnet.llm.nearest import nearest_in_time
 from siftnet.llm.runs import Frontier, _by_groups, _open_pieces, collapse_runs, segment, whole_costs
 
@@ -184,6 +187,46 @@ def test_tolerant_runs_whatever_the_chunks(spark, kinds, step):
             assert sorted((r.h, r.first_event_id, r.last_event_id, r.n_events, r.duration_us) for r in got.collect()) == want
 
 
+def test_runs_of_one_kind_whatever_the_chunks(spark):
+    """Where an unlike event costs more than two boundaries, or just as much, chunks change nothing either."""
+    rnd = random.Random(21)
+    rows = []
+    for h, n in (("hot", 400), ("few", 30), ("one", 1)):
+        t, kind = 0, "a"
+        for i in range(n):
+            t += rnd.choice([0, 0, 1, 5, 11])
+            kind = kind if rnd.random() < 0.6 else rnd.choice("ab")
+            rows.append((h, f"{h}{i:04d}", t, kind))
+    rows += rnd.sample(rows, 40)
+    for penalty, mismatch in ((1.0, 3.0), (0.1, 0.21), (1.0, 2.0), (1.0, inf)):
+        want = tolerant_by_hand(rows, 10, penalty, mismatch)
+        assert mismatch == 2 * penalty or want == brute_runs(rows, 10, 1)
+        for chunk in (3, 60, 10**6):
+            df = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], E_)
+            got = collapse_runs(df, F.col("h"), F.col("kind"), "t", "event_id", 10, penalty, mismatch, chunk_us=chunk, key_name="h")
+            assert sorted((r.h, r.first_event_id, r.last_event_id, r.n_events, r.duration_us) for r in got.collect()) == want
+
+
+@pytest.mark.parametrize("name", ["p7_found", "p7_runs"])
+def test_runs_come_by_the_dynamic_programming(spark, data, tmp_path, monkeypatch, name):
+    """Every event is weighed at a finite cost; no run is found beside that."""
+    seen = str(tmp_path)
+
+    def spy(kinds, near, penalty, mismatch):
+        with open(os.path.join(seen, uuid.uuid4().hex), "w") as f:
+            f.write(f"{len(kinds)} {penalty} {mismatch}")
+        return segment(kinds, near, penalty, mismatch)
+
+    monkeypatch.setattr(runs_of, "segment", spy)
+    runs_of.QUERIES[name](spark, data).collect()
+    calls = [open(os.path.join(seen, x)).read().split() for x in os.listdir(seen)]
+    assert calls and all(2 * float(p) < float(m) < inf for _, p, m in calls)
+    monkeypatch.undo()
+    events = sum(r.n_events for r in runs_of.p7_runs(spark, data).select("n_events").collect())
+    weighed = sum(int(n) for n, _, _ in calls)
+    assert weighed >= events and weighed % events == 0  # the plan may divide the same shuffled rows for inner and for outer runs
+
+
 def test_long_pieces_are_settled_as_they_come():
     """A sequence without any sure cut is divided with few rows held, as if at once."""
     rnd = random.Random(3)
